@@ -17,19 +17,21 @@ def bracketed(text: Column) -> Column:
     return F.when(text.rlike(r"(?s)\[.*\]"), F.regexp_extract(text, r"(?s)\[.*\]", 0))
 
 
-def strict_chunks(text: Column) -> Column:
-    """Array of ``{summary, refined_text}`` held in free text, or null.
+def strict_json(text: Column, kind: T.DataType) -> Column:
+    """A value of ``kind`` when the text is exactly one JSON value, else null.
 
-    ``from_json`` alone accepts text after the array. Reading the span once as
+    ``from_json`` alone accepts text after the value. Reading the text once as
     a member of an object and once as the only item of an array leaves no room
-    for it: either reading fails when the span is not exactly one JSON array.
+    for it: either reading fails when there is more than the value.
     """
-    span = bracketed(text)
     member = F.from_json(
-        F.concat(F.lit('{"v":'), span, F.lit("}")),
-        T.StructType([T.StructField("v", CLEAN_CHUNKS)]),
+        F.concat(F.lit('{"v":'), text, F.lit("}")),
+        T.StructType([T.StructField("v", kind)]),
     )["v"]
-    item = F.from_json(
-        F.concat(F.lit("["), span, F.lit("]")), T.ArrayType(CLEAN_CHUNKS)
-    )
+    item = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(kind))
     return F.when(member.isNotNull() & (F.size(F.coalesce(item, F.array())) == 1), member)
+
+
+def strict_chunks(text: Column) -> Column:
+    """Array of ``{summary, refined_text}`` held in free text, or null."""
+    return strict_json(bracketed(text), CLEAN_CHUNKS)

@@ -49,14 +49,15 @@ def chunk_profile(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def job_counts(docs: DataFrame, job: str, text: str = "text") -> DataFrame:
     """Per meeting: chunks produced, vectors stored, characters transcribed."""
-    packed = pack_chunks(refine_lines(F.col(text)))
-    vectors = F.size(
-        F.filter(packed, lambda c: c["text"].rlike(r"\p{L}"))
-    )
     return (
         docs.select(
             job, F.length(text).cast("bigint").alias("_chars"),
-            F.size(packed).cast("bigint").alias("_chunks"), vectors.cast("bigint").alias("_vectors"),
+            pack_chunks(refine_lines(F.col(text))).alias("_packed"),
+        )
+        .select(
+            job, "_chars", F.size("_packed").cast("bigint").alias("_chunks"),
+            F.size(F.filter("_packed", lambda c: c["text"].rlike(r"\p{L}")))
+            .cast("bigint").alias("_vectors"),
         )
         .groupBy(job).agg(
             F.sum("_chunks").alias("n_chunks"), F.sum("_vectors").alias("n_vectors"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rostrum.functions.jsontext import strict_json
 from rostrum.schemas import FRAME
 
 PART_FRAMES = 4096
@@ -14,10 +15,9 @@ def parse_frames(frames: DataFrame) -> DataFrame:
     """Adds ``text`` (null when the line carries none) and ``ends``."""
     line = F.regexp_replace("line", r"^\s+|\s+$", "")
     body = F.when(line.startswith(PREFIX), F.substr(line, F.lit(len(PREFIX) + 1))).otherwise(line)
-    frame = F.from_json(F.col("_body"), FRAME)
     return (
         frames.withColumn("_body", body)
-        .withColumn("_frame", F.when(F.try_parse_json("_body").isNotNull(), frame))
+        .withColumn("_frame", strict_json(F.col("_body"), FRAME))
         .withColumn(
             "ends",
             (F.col("_body") == "[DONE]") | F.coalesce(F.col("_frame.event") == "stream_end", F.lit(False)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rostrum.functions.jsontext import strict_json
 from rostrum.functions.names import iso_utc
 from rostrum.limits import MAX_DURATION_SECONDS, MAX_UPLOAD_BYTES
 from rostrum.schemas import JOB_MESSAGE, METADATA
@@ -74,15 +75,12 @@ def job_message() -> Column:
 
 def decode_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     """Adds ``job_id, file_id, metadata, decoded``; no metadata becomes an empty struct."""
-    parsed = F.from_json(F.col(value), JOB_MESSAGE)
     empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in METADATA.fields])
-    # A broken message still parses to a struct, of nulls.
-    decoded = F.try_parse_json(F.col(value)).isNotNull() & parsed.isNotNull()
     return (
-        messages.withColumn("_m", parsed)
-        .withColumn("decoded", F.coalesce(decoded, F.lit(False)))
-        .withColumn("job_id", F.when(F.col("decoded"), F.col("_m.jobId")))
-        .withColumn("file_id", F.when(F.col("decoded"), F.col("_m.fileId")))
-        .withColumn("metadata", F.coalesce(F.when(F.col("decoded"), F.col("_m.metadata")), empty))
+        messages.withColumn("_m", strict_json(F.col(value), JOB_MESSAGE))
+        .withColumn("decoded", F.col("_m").isNotNull())
+        .withColumn("job_id", F.col("_m.jobId"))
+        .withColumn("file_id", F.col("_m.fileId"))
+        .withColumn("metadata", F.coalesce("_m.metadata", empty))
         .drop("_m")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rostrum.session import stage
 
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_TASK = 250_000
 # The list of hot keys is held by the driver, so its length is bounded. With
 # more keys than this above the limit, none of the others is larger than a
 # ten-thousandth of the table.

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rostrum.functions.names import iso_utc
 from rostrum.functions.vectors import dense, hashed_features, l2_norm, width
 from rostrum.limits import VECTOR_WIDTH
-
-JOB_BUCKETS = 256
+from rostrum.sources.by_job import write_by_job
 
 
 def point_id(job: Column, source: Column, chunk_idx: Column) -> Column:
@@ -31,6 +31,15 @@ def transcript_points(chunks: DataFrame) -> DataFrame:
     )
 
 
+def chat_points(pairs: DataFrame, job: str, chat: str, ts: str) -> DataFrame:
+    """Payload and vector of embedded chat pairs (see ``chats.chat_vectors``)."""
+    return pairs.select(
+        point_id(F.col(job), F.col(chat), F.lit("chat")).alias("id"),
+        F.col(job).alias("job_id"), F.col(chat).cast("string").alias("chat_id"),
+        "user_chat", "ai_chat", iso_utc(F.col(ts)).alias("timestamp"), "vector",
+    )
+
+
 def latest_points(points: DataFrame, key: str = "id") -> DataFrame:
     """One row per key, the last written.
 
@@ -77,27 +86,6 @@ def contract_report(df: DataFrame, job: str, vector: str, size: int) -> DataFram
     )
 
 
-def write_points(points: DataFrame, path: str, job: str = "job_id",
-                 buckets: int = JOB_BUCKETS, mode: str = "append") -> None:
-    """Parquet partitioned by a bucket of the meeting key; appended, not replaced.
-
-    Last write wins when read, through ``latest_points``. Rows are spread over tasks by meeting and id, so the bucket of a large
-    meeting is written by many tasks.
-    """
-    bucket = F.pmod(F.xxhash64(F.col(job).cast("string")), F.lit(buckets)).cast("int")
-    (
-        points.withColumn("job_bucket", bucket)
-        .repartition("job_bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
-        .write.mode(mode).partitionBy("job_bucket").parquet(path)
-    )
-
-
-def read_points(spark, path: str, job_value=None, job: str = "job_id",
-                buckets: int = JOB_BUCKETS) -> DataFrame:
-    """The whole table, or one meeting read from its own partition only."""
-    points = spark.read.parquet(path)
-    if job_value is None:
-        return points
-    # Folded to a constant by the optimizer, so only one partition is listed.
-    bucket = F.pmod(F.xxhash64(F.lit(str(job_value))), F.lit(buckets)).cast("int")
-    return points.where((F.col("job_bucket") == bucket) & (F.col(job) == job_value))
+def write_points(points: DataFrame, path: str, job: str = "job_id", **options) -> None:
+    """Appended, not replaced: last write wins when read through ``latest_points``."""
+    write_by_job(points, path, job, "id", **options)

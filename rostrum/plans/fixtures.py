@@ -75,8 +75,8 @@ def format_text() -> Column:
     )
 
 
-def uploads(ev: DataFrame) -> DataFrame:
-    """Slices as uploads, about one in twenty defective by ``k``."""
+def uploads(ev: DataFrame, *extra: str) -> DataFrame:
+    """Slices as uploads, about one in twenty defective by ``k``; keeps ``extra`` columns."""
     k = defect()
     base = ev.where(F.col("event_type").isin(*SLICE_TYPES))
     return base.select(
@@ -86,7 +86,7 @@ def uploads(ev: DataFrame) -> DataFrame:
         F.when(k == 0, None).otherwise((F.col("value") * 131072).cast("bigint")).alias("size_bytes"),
         (k != 3).alias("metadata_ok"),
         F.when(k == 4, None).when(k == 5, 0.0).otherwise(F.col("value") * 4).alias("duration_s"),
-        (F.col("event_type") == "error").alias("failed"),
+        (F.col("event_type") == "error").alias("failed"), *extra,
     )
 
 

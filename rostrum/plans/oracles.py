@@ -216,9 +216,9 @@ SELECT coalesce(reject_reason, 'transcription_failed') AS reject_reason, count(*
 FROM validated WHERE reject_reason IS NOT NULL OR failed GROUP BY 1""",
     "retry_dead_letter": f"""WITH {UPLOADS}
 SELECT event_id FROM validated WHERE reject_reason IS NULL AND failed""",
-    "format_name_lists": f"""
+    "format_names": f"""
 SELECT event_id, array_to_string({FORMATS}, '|') AS formats, len({FORMATS}) AS n_formats FROM events""",
-    "object_ids": f"SELECT event_id, {FILE_ID} AS file_id FROM events",
+    "object_id": f"SELECT event_id, {FILE_ID} AS file_id FROM events",
     "chunk_name_parse": f"""
 SELECT event_id,
   CASE WHEN event_type = 'click' THEN user_id::VARCHAR END AS job_id,
@@ -320,9 +320,12 @@ SELECT conv_id, turn, user_chat, ai_chat, row_number() OVER (PARTITION BY conv_i
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM pairs)
 WHERE back <= 5""",
     "chat_vectors": f"""WITH {COMBINED}, {_features('cf', 'combined', 'conv_id, turn', 'text')}
-SELECT c.conv_id, c.turn, md5(c.text) AS text_md5, count(f.bucket) AS n_buckets,
-  round(sqrt(sum(f.tf * f.tf)), 6) AS norm
-FROM combined c LEFT JOIN cf f ON f.conv_id = c.conv_id AND f.turn = c.turn GROUP BY 1, 2, 3""",
+SELECT sha256(c.conv_id || '|' || c.turn || '|chat') AS id, c.conv_id AS job_id,
+  c.turn::VARCHAR AS chat_id,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c.turn), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp,
+  md5(c.text) AS text_md5, count(f.bucket) AS n_buckets, round(sqrt(sum(f.tf * f.tf)), 6) AS norm
+FROM combined c LEFT JOIN cf f ON f.conv_id = c.conv_id AND f.turn = c.turn
+GROUP BY c.conv_id, c.turn, c.text""",
     "chat_vector_orphans": f"""WITH {PAIRS}
 SELECT conv_id, turn, 'orphan' AS kind FROM pairs
 WHERE ai_chat IS NOT NULL AND length(user_chat) % 11 = 0
@@ -432,4 +435,27 @@ SELECT conv_id, turn, floor(i * 2 / 4096)::BIGINT AS part_no, string_agg(w[i + 1
 FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant'),
   LATERAL (SELECT unnest(range(0, len(w))) AS i)
 GROUP BY 1, 2, 3""",
+    "stream_accept": f"""WITH {UPLOADS}
+SELECT user_id::VARCHAR AS job_id, {FILE_ID} AS file_id
+FROM events JOIN validated v USING (event_id) WHERE v.reject_reason IS NULL""",
+    "stream_ingest": f"""WITH {UPLOADS}
+SELECT user_id::VARCHAR AS job_id, {FILE_ID} AS file_id, {NAME} AS file_name,
+  CAST(trunc(value * 131072) AS BIGINT) AS size_bytes
+FROM events JOIN validated v USING (event_id) WHERE v.reject_reason IS NULL""",
+    "stream_dedup": "SELECT event_id, user_id AS job_id FROM events",
+    "stream_transcript": """
+SELECT conv_id, 0::BIGINT AS part_no, count(*) AS n_chunks,
+  md5(string_agg(text, ' ' ORDER BY turn)) AS transcript_md5
+FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S') GROUP BY 1""",
+    # The last windows stay open: the watermark trails the newest event.
+    "stream_slices": """
+SELECT * FROM (
+  SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, user_id AS job_id, count(*) AS n
+  FROM events GROUP BY 1, 2)
+WHERE window_start + INTERVAL 10 MINUTE
+  <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)""",
 }
+ORACLES["stream_late_drop"] = ORACLES["late_drop"]
+ORACLES["stream_sessions"] = f"""
+SELECT * FROM ({ORACLES["pause_segments"]})
+WHERE segment_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"""

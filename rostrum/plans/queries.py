@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rostrum.functions.jsontext import json_quote
 from rostrum.functions.names import (
     chunk_name_parts, format_names, object_id, recording_name_time,
 )
-from rostrum.functions.text import is_blank, pack_chunks
+from rostrum.functions.text import is_blank
 from rostrum.functions.vectors import feature_norm, hashed_features
 from rostrum.limits import CHAT_HITS, HISTORY_PAGE, TRANSCRIPT_HITS
 from rostrum.operators import (
@@ -27,7 +26,8 @@ PAUSE_SECONDS = 1800
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the function's name; a trailing ``_`` avoids a clash and is dropped."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -65,7 +65,7 @@ def retry_dead_letter(spark, folder):
 
 
 @query
-def format_name_lists(spark, folder):
+def format_names_(spark, folder):
     parsed = format_names(fx.format_text())
     return fx.events(spark, folder).select(
         "event_id", F.array_join(parsed, "|").alias("formats"),
@@ -74,7 +74,7 @@ def format_name_lists(spark, folder):
 
 
 @query
-def object_ids(spark, folder):
+def object_id_(spark, folder):
     return fx.events(spark, folder).select(
         "event_id",
         object_id(F.col("user_id").cast("string"), F.col("ts"), fx.file_name()).alias("file_id"),
@@ -288,9 +288,14 @@ def chat_history_all(spark, folder):
 
 @query
 def chat_vectors(spark, folder):
-    rows = chats.chat_vectors(chat_pairs(spark, folder))
-    return rows.select(
-        "conv_id", "turn", F.md5("combined").alias("text_md5"),
+    """Points of the answered pairs; a turn stands for a minute."""
+    pairs = chat_pairs(spark, folder).withColumn(
+        "ts", F.timestamp_add("MINUTE", F.col("turn"), F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    )
+    points = vector_table.chat_points(chats.chat_vectors(pairs), "conv_id", "turn", "ts")
+    return points.select(
+        "id", "job_id", "chat_id", "timestamp",
+        F.md5(chats.combined_text(F.col("user_chat"), F.col("ai_chat"))).alias("text_md5"),
         F.size("vector").cast("bigint").alias("n_buckets"),
         F.round(feature_norm(F.col("vector")), 6).alias("norm"),
     )
