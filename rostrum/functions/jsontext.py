@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+from rostrum.functions.binding import let
 from rostrum.schemas import CLEAN_CHUNKS
 
 
@@ -20,16 +21,24 @@ def bracketed(text: Column) -> Column:
 def strict_json(text: Column, kind: T.DataType) -> Column:
     """A value of ``kind`` when the text is exactly one JSON value, else null.
 
-    ``from_json`` alone accepts text after the value. Reading the text once as
-    a member of an object and once as the only item of an array leaves no room
-    for it: either reading fails when there is more than the value.
+    ``from_json`` alone accepts text after the value. Read as the only item of
+    an array, the value must be followed by the bracket that closes the array.
+    Only a text with a bracket of its own could close it early; such a text is
+    read a second time, as a member of an object.
     """
+    items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(kind))
     member = F.from_json(
         F.concat(F.lit('{"v":'), text, F.lit("}")),
         T.StructType([T.StructField("v", kind)]),
     )["v"]
-    item = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(kind))
-    return F.when(member.isNotNull() & (F.size(F.coalesce(item, F.array())) == 1), member)
+    return let(
+        items,
+        lambda x: F.when(
+            (F.size(F.coalesce(x, F.array())) == 1)
+            & (~text.contains("]") | member.isNotNull()),
+            F.get(x, F.lit(0)),
+        ),
+    )
 
 
 def strict_chunks(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rostrum.functions.text import chunk_fault, first_sentence, pack_chunks, refine_lines
-from rostrum.functions.vectors import hashed_features
+from rostrum.functions.vectors import feature_norm, hashed_features
 from rostrum.limits import CHUNK_WORDS, TYPICAL_CHUNKS
 
 
@@ -16,9 +16,14 @@ def refined(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def chunked(docs: DataFrame, keys: list[str], text: str = "text",
             limit: int = CHUNK_WORDS) -> DataFrame:
-    """``keys, chunk_idx, words, text``: one row per chunk."""
+    """``keys, chunk_idx, words, text``: one row per chunk.
+
+    The outer form of the generator is used because the plain one makes Spark
+    filter on the size of the array below it, which packs every text twice.
+    """
     packed = pack_chunks(refine_lines(F.col(text)), limit)
-    return docs.select(*keys, F.posexplode(packed).alias("chunk_idx", "_chunk")).select(
+    rows = docs.select(*keys, F.posexplode_outer(packed).alias("chunk_idx", "_chunk"))
+    return rows.where(F.col("chunk_idx").isNotNull()).select(
         *keys,
         F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
         F.col("_chunk.words").cast("bigint").alias("words"),
@@ -69,3 +74,16 @@ def job_counts(docs: DataFrame, job: str, text: str = "text") -> DataFrame:
 def features(df: DataFrame, text: str = "text", name: str = "vector") -> DataFrame:
     """Adds sparse hashed features of a text."""
     return df.withColumn(name, hashed_features(F.col(text)))
+
+
+def feature_rows(df: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
+    """``keys, bucket, weight``: the non-zero items of each unit vector."""
+    return (
+        df.select(*keys, vector, feature_norm(F.col(vector)).alias("_norm"))
+        .select(*keys, "_norm", F.explode_outer(vector).alias("_f"))
+        .where(F.col("_f").isNotNull())
+        .select(
+            *keys, F.col("_f.bucket").cast("bigint").alias("bucket"),
+            (F.col("_f.tf") / F.col("_norm")).alias("weight"),
+        )
+    )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from rostrum.functions.binding import let
 from rostrum.functions.jsontext import strict_json
 from rostrum.schemas import FRAME
 
@@ -11,22 +12,26 @@ PART_FRAMES = 4096
 PREFIX = "data: "
 
 
-def parse_frames(frames: DataFrame) -> DataFrame:
-    """Adds ``text`` (null when the line carries none) and ``ends``."""
+def frame_body() -> Column:
+    """The line without surrounding space and without the ``data: `` prefix."""
     line = F.regexp_replace("line", r"^\s+|\s+$", "")
-    body = F.when(line.startswith(PREFIX), F.substr(line, F.lit(len(PREFIX) + 1))).otherwise(line)
-    return (
-        frames.withColumn("_body", body)
-        .withColumn("_frame", strict_json(F.col("_body"), FRAME))
-        .withColumn(
-            "ends",
-            (F.col("_body") == "[DONE]") | F.coalesce(F.col("_frame.event") == "stream_end", F.lit(False)),
-        )
-        .withColumn("text", F.when(F.col("_frame.text") != "", F.col("_frame.text")))
-        .drop("_body", "_frame", "line")
+    return F.when(line.startswith(PREFIX), F.substr(line, F.lit(len(PREFIX) + 1))).otherwise(line)
+
+
+def frame_text() -> Column:
+    """Text the line carries; null for heartbeats, broken lines and empty texts."""
+    return let(
+        strict_json(frame_body(), FRAME),
+        lambda f: F.when(f["text"] != "", f["text"]),
     )
 
 
+def ends_answer() -> Column:
+    body = frame_body()
+    event = strict_json(body, FRAME)["event"]
+    return (body == "[DONE]") | F.coalesce(event == "stream_end", F.lit(False))
+
+
 def rebuild_answers(
     frames: DataFrame, keys: list[str], seq: str = "seq", part_frames: int = PART_FRAMES
 ) -> DataFrame:
@@ -35,19 +40,33 @@ def rebuild_answers(
     A log is assembled in parts of ``part_frames`` sequence numbers, so a log of
     any length is spread over tasks; an ordinary answer is one part.
     """
-    parsed = parse_frames(frames)
-    ends = parsed.where(F.col("ends")).groupBy(*keys).agg(F.min(seq).alias("_end"))
+    # Cheap tests on the raw line first: only lines that may matter are parsed.
+    # A JSON escape could hide the name of the event.
+    may_end = (
+        F.col("line").contains("stream_end") | F.col("line").contains("[DONE]")
+        | F.col("line").contains("\\u")
+    )
+    ends = (
+        frames.where(may_end).groupBy(*keys)
+        .agg(F.min(F.when(ends_answer(), F.col(seq))).alias("_end"))
+        .where(F.col("_end").isNotNull())
+    )
     part = F.floor(F.col(seq) / part_frames).cast("bigint")
+    # collect_list leaves out the nulls of lines without a text.
+    said = let(
+        frame_text(), lambda t: F.when(t.isNotNull(), F.struct(F.col(seq).alias("s"), t.alias("t")))
+    )
     parts = (
-        parsed.where(F.col("text").isNotNull())
+        frames.where(F.col("line").contains("{"))
         .groupBy(*keys, part.alias("part_no"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), "text"))).alias("_said"))
+        .agg(F.array_sort(F.collect_list(said)).alias("_said"))
     )
     heard = F.filter("_said", lambda x: F.col("_end").isNull() | (x["s"] < F.col("_end")))
     # The join comes last: with nothing after it that needs its partitioning,
     # a log with a large share of all parts is split as a skewed join.
     return (
         parts.join(ends, keys, "left")
-        .withColumn("_said", heard).where(F.size("_said") > 0)
-        .select(*keys, "part_no", F.array_join(F.transform("_said", lambda x: x["text"]), "").alias("text"))
+        .select(*keys, "part_no", heard.alias("_said"))
+        .where(F.size("_said") > 0)
+        .select(*keys, "part_no", F.array_join(F.transform("_said", lambda x: x["t"]), "").alias("text"))
     )

@@ -18,8 +18,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from rostrum.functions.vectors import cosine
+from rostrum.functions.vectors import FEATURES, cosine
 from rostrum.limits import VECTOR_WIDTH
 from rostrum.session import stage
 
@@ -29,15 +30,21 @@ DIGITS = 6
 
 
 def _matrix(indices: pa.ChunkedArray | None, values: pa.ChunkedArray, size: int) -> np.ndarray:
-    """Rows of a list column as a dense matrix; sparse when indices are given."""
+    """Rows of a list column as a dense matrix; an empty list is a zero row.
+
+    With ``indices`` the lists are sparse, else they have ``size`` items.
+    """
     values = values.combine_chunks()
     lengths = np.diff(values.offsets.to_numpy())
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if indices is None:
-        return flat.reshape(len(values), -1) if len(values) else np.zeros((0, size))
+    if indices is None and np.any((lengths != size) & (lengths != 0)):
+        raise ValueError(f"vector width is not {size}")
     out = np.zeros((len(values), size))
-    rows = np.repeat(np.arange(len(values)), lengths)
-    out[rows, indices.combine_chunks().flatten().to_numpy(zero_copy_only=False)] = flat
+    flat = values.flatten().to_numpy(zero_copy_only=False)
+    if indices is None:
+        out[lengths > 0] = flat.reshape(-1, size)
+    else:
+        rows = np.repeat(np.arange(len(values)), lengths)
+        out[rows, indices.combine_chunks().flatten().to_numpy(zero_copy_only=False)] = flat
     return out
 
 
@@ -110,38 +117,41 @@ def _block_hits(k: int, size: int, sparse: bool, ordered: bool, distinct: bool,
 
 def _side(df: DataFrame, job: str, ident: str, ident_name: str, vector: str,
           order: str | None, sparse: bool) -> DataFrame:
-    """The columns a block needs; rows without a vector are left out."""
+    """The columns a block needs. A missing vector counts as an empty one.
+
+    Empty vectors are skipped in the block and not by a filter here: the filter
+    would be pushed below the expression that makes the vector and repeat it.
+    """
     columns = [F.col(job).alias("job"), F.col(ident).alias(ident_name)]
     if sparse:
-        columns += [F.col(vector)["bucket"].alias("_idx"), F.col(vector)["tf"].alias("_val")]
+        items = F.coalesce(F.col(vector), F.array().cast(FEATURES))
+        columns += [items["bucket"].alias("_idx"), items["tf"].alias("_val")]
     else:
-        columns += [F.col(vector).alias("_val")]
+        items = F.coalesce(F.col(vector), F.array().cast(df.schema[vector].dataType))
+        columns += [items.alias("_val")]
     if order:
         columns.append(F.col(order).alias("_ord"))
-    return df.where(F.size(F.coalesce(vector, F.array())) > 0).select(*columns)
+    return df.select(*columns)
 
 
 def _large_jobs(prompts: DataFrame, candidates: DataFrame, rows: int):
-    """Largest side in rows, and the meetings that need more than one block."""
-    per_side = [
-        side.groupBy("job").agg(F.count("*").alias(name))
-        for side, name in ((prompts, "_p"), (candidates, "_c"))
-    ]
-    totals = [
-        side.agg(F.sum(name), F.max(name)).first()
-        for side, name in zip(per_side, ("_p", "_c"))
-    ]
-    total = max(t[0] or 0 for t in totals)
-    if max(t[1] or 0 for t in totals) <= rows:
-        return total, None
-    blocks = lambda name: F.greatest(
-        F.ceil(F.coalesce(name, F.lit(0)) / rows).cast("int"), F.lit(1)
-    )
-    large = (
-        per_side[0].join(per_side[1], "job")
-        .where((F.col("_p") > rows) | (F.col("_c") > rows))
-        .select("job", blocks("_p").alias("_pn"), blocks("_c").alias("_cn"))
+    """Rows of the larger side, and the meetings that need more than one block.
+
+    Reads the meeting column only. One row per meeting is shuffled; the table
+    of large meetings is written once, since both sides are joined with it.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    sizes = (
+        prompts.select("job", one.alias("_p"), none.alias("_c"))
+        .unionByName(candidates.select("job", none.alias("_p"), one.alias("_c")))
+        .groupBy("job").agg(F.sum("_p").alias("_p"), F.sum("_c").alias("_c"))
     )
+    both = F.greatest("_p", "_c")
+    total, largest = sizes.agg(F.greatest(F.sum("_p"), F.sum("_c")), F.max(both)).first()
+    if (largest or 0) <= rows:
+        return total or 0, None
+    blocks = lambda name: F.greatest(F.ceil(F.col(name) / rows).cast("int"), F.lit(1))
+    large = sizes.where(both > rows).select("job", blocks("_p").alias("_pn"), blocks("_c").alias("_cn"))
     return total, stage(large, "blocks")
 
 
@@ -186,8 +196,6 @@ def top_similar(
         T.StructField("candidate_id", right.schema["candidate_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     kernel = _block_hits(k, size, sparse, ordered, exclude_self, to_arrow_schema(result))
     keys = ["_cell", "_pb", "_cb"]
     hits = (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rostrum.functions.jsontext import json_quote
 from rostrum.functions.names import epoch_millis, format_names, iso_utc, object_id
-from rostrum.sources.tables import read_table
+from rostrum.sources.tables import read_table, spread
 
 SLICE_TYPES = ("click", "view", "error")
 
@@ -108,6 +108,10 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "conversations")
 
 
+def spread_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(turns(spark, folder), "conv_id")
+
+
 def spoken(tn: DataFrame) -> DataFrame:
     """Transcript fragments of a conversation."""
     return tn.where(F.col("role") != "system").select("conv_id", "turn", "text")
@@ -123,6 +127,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents")
 
 
+def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(documents(spark, folder), "doc_id")
+
+
 def clean_attempts(tn: DataFrame) -> DataFrame:
     """Four cleaner responses per answer, valid or broken by text length."""
     item = F.concat(

@@ -315,7 +315,7 @@ def chat_vector_orphans(spark, folder):
 
 @query
 def refine_text(spark, folder):
-    return chunks.refined(fx.documents(spark, folder)).select(
+    return chunks.refined(fx.spread_documents(spark, folder)).select(
         "doc_id", F.size("lines").cast("bigint").alias("n_lines"),
         F.md5(F.array_join("lines", "\n")).alias("lines_md5"),
     )
@@ -323,21 +323,21 @@ def refine_text(spark, folder):
 
 @query
 def chunk_text(spark, folder):
-    return chunks.chunked(fx.documents(spark, folder), ["doc_id"]).select(
+    return chunks.chunked(fx.spread_documents(spark, folder), ["doc_id"]).select(
         "doc_id", "chunk_idx", "words", F.md5("text").alias("text_md5")
     )
 
 
 @query
 def chunk_summary(spark, folder):
-    rows = chunks.summarised(chunks.chunked(fx.documents(spark, folder), ["doc_id"]))
+    rows = chunks.summarised(chunks.chunked(fx.spread_documents(spark, folder), ["doc_id"]))
     return rows.select("doc_id", "chunk_idx", "summary")
 
 
 @query
 def chunk_contract(spark, folder):
     """Produced chunks, and whole documents offered as one chunk each (index -1)."""
-    docs = fx.documents(spark, folder)
+    docs = fx.spread_documents(spark, folder)
     made = chunks.summarised(chunks.chunked(docs, ["doc_id"])).select(
         "doc_id", "chunk_idx", "summary", "text"
     )
@@ -352,12 +352,12 @@ def chunk_contract(spark, folder):
 
 @query
 def chunk_profile(spark, folder):
-    return chunks.chunk_profile(fx.documents(spark, folder))
+    return chunks.chunk_profile(fx.spread_documents(spark, folder))
 
 
 @query
 def job_counts(spark, folder):
-    return chunks.job_counts(fx.documents(spark, folder), "source")
+    return chunks.job_counts(fx.spread_documents(spark, folder), "source")
 
 
 # ---- vectors
@@ -384,7 +384,7 @@ def vector_contract(spark, folder):
 def vector_upsert(spark, folder):
     """Chunks of every document delivered twice, the second time for odd documents only
     with a later time; one point per chunk remains."""
-    rows = chunks.summarised(chunks.chunked(fx.documents(spark, folder), ["doc_id", "source"]))
+    rows = chunks.summarised(chunks.chunked(fx.spread_documents(spark, folder), ["doc_id", "source"]))
     delivered = rows.withColumn(
         "seq", F.explode(F.when(F.col("doc_id") % 2 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     ).select(
@@ -404,14 +404,8 @@ def vector_upsert(spark, folder):
 
 @query
 def hash_embedding(spark, folder):
-    rows = chunks.features(fx.turns(spark, folder))
-    norm = feature_norm(F.col("vector"))
-    return rows.select(
-        "conv_id", "turn", norm.alias("_norm"), F.explode("vector").alias("_f")
-    ).select(
-        "conv_id", "turn", F.col("_f.bucket").cast("bigint").alias("bucket"),
-        F.round(F.col("_f.tf") / F.col("_norm"), 6).alias("weight"),
-    )
+    rows = chunks.features(fx.spread_turns(spark, folder))
+    return chunks.feature_rows(rows, ["conv_id", "turn"]).withColumn("weight", F.round("weight", 6))
 
 
 # ---- retrieval
@@ -453,18 +447,18 @@ def _chat_hits(tn: DataFrame) -> DataFrame:
 
 @query
 def text_topk(spark, folder):
-    return _snippet_hits(fx.turns(spark, folder))
+    return _snippet_hits(fx.spread_turns(spark, folder))
 
 
 @query
 def topk_chats(spark, folder):
-    return _chat_hits(fx.turns(spark, folder))
+    return _chat_hits(fx.spread_turns(spark, folder))
 
 
 @query
 def rag_context(spark, folder):
     """The text each prompt would be answered from."""
-    tn = fx.turns(spark, folder)
+    tn = fx.spread_turns(spark, folder)
     keys = ["conv_id", "prompt_turn"]
     snippets = context.joined_hits(
         _snippet_hits(tn).join(fx.spoken(tn), ["conv_id", "turn"]),
@@ -482,7 +476,7 @@ def rag_context(spark, folder):
 
 @query
 def clean_resolution(spark, folder):
-    tried = fx.clean_attempts(fx.turns(spark, folder))
+    tried = fx.clean_attempts(fx.spread_turns(spark, folder))
     return attempts.resolve_cleaning(tried, ["conv_id", "turn"]).select(
         "conv_id", "turn", "attempt", "outcome",
         F.coalesce(F.size("chunks").cast("bigint"), F.lit(0)).alias("n_chunks"),
@@ -491,7 +485,7 @@ def clean_resolution(spark, folder):
 
 @query
 def clean_chunks(spark, folder):
-    tried = fx.clean_attempts(fx.turns(spark, folder))
+    tried = fx.clean_attempts(fx.spread_turns(spark, folder))
     resolved = attempts.resolve_cleaning(tried, ["conv_id", "turn"])
     return attempts.cleaned_chunks(resolved, ["conv_id", "turn"])
 
@@ -499,7 +493,7 @@ def clean_chunks(spark, folder):
 @query
 def unembedded_transcripts(spark, folder):
     """Fragments stored as text whose cleaning failed, so that no vector exists."""
-    tn = fx.turns(spark, folder)
+    tn = fx.spread_turns(spark, folder)
     keys = ["conv_id", "turn"]
     stored = tn.where(F.col("role") == "assistant").select(*keys)
     embedded = attempts.cleaned_chunks(
@@ -516,5 +510,5 @@ def answer_resolution(spark, folder):
 
 @query
 def stream_reassembly(spark, folder):
-    log = fx.frames(fx.turns(spark, folder))
+    log = fx.frames(fx.spread_turns(spark, folder))
     return frames.rebuild_answers(log, ["conv_id", "turn"])

@@ -10,6 +10,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores when its files give fewer tasks than there are cores.
+
+    A small table may be one row group, which one task reads; work that costs
+    much per row should not stay there. A table with a task per core or more
+    is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def read_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
                **options: str) -> DataFrame:
     """Batch intake; the schema is given, so no file is read to infer it."""
