@@ -6,7 +6,6 @@ from pyspark.sql import Column, functions as F
 
 CHUNK_NAME = r"^chunk_(.+)_(\d+)_(\d+)\.webm$"
 RECORDING_NAME = r"^recording-(.+)\.webm$"
-ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def format_names(names: Column) -> Column:
@@ -37,8 +36,16 @@ def micros_to_ntz(micros: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text with milliseconds of a UTC wall-clock time."""
-    return F.date_format(ts, ISO_MILLIS)
+    """ISO-8601 text with milliseconds of a UTC wall-clock time.
+
+    Built from the time's own text: formatting it would go through the session
+    zone and move times that a change of clocks skips there.
+    """
+    millis = F.pmod(epoch_millis(ts), F.lit(1000)).cast("string")
+    return F.concat(
+        F.translate(F.substring(ts.cast("string"), 1, 19), " ", "T"),
+        F.lit("."), F.lpad(millis, 3, "0"), F.lit("Z"),
+    )
 
 
 def object_id(job: Column, ts: Column, name: Column) -> Column:

@@ -16,6 +16,8 @@ ANSWER_ATTEMPTS = 2
 SLICE = "10 minutes"
 PAUSE = "30 minutes"
 
+NO_SESSION_JOB = "default"
+
 STATUS_OPEN = "in-progress"
 STATUS_DONE = "completed"
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rostrum.functions.jsontext import strict_json
 from rostrum.functions.names import iso_utc
-from rostrum.limits import MAX_DURATION_SECONDS, MAX_UPLOAD_BYTES
+from rostrum.limits import MAX_DURATION_SECONDS, MAX_UPLOAD_BYTES, NO_SESSION_JOB
 from rostrum.schemas import JOB_MESSAGE, METADATA
 
 
@@ -15,6 +15,11 @@ def is_present(value: Column) -> Column:
     return F.coalesce(value, F.lit("")) != ""
 
 
+def client_job(job: Column) -> Column:
+    """Meeting key a chat client sends; one without a session sends the default."""
+    return F.when(is_present(job), job).otherwise(NO_SESSION_JOB)
+
+
 def has_duration(duration: Column) -> Column:
     """Null, NaN and zero all mean that the probe found no duration."""
     return (F.coalesce(duration, F.lit(0.0)) != 0) & ~F.coalesce(F.isnan(duration), F.lit(False))

@@ -10,6 +10,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
+# Spark type -> DuckDB type the SQL should give.
+KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP", "int": "INTEGER"}
 
 
 def open_oracle(folder: str):
@@ -52,6 +55,12 @@ def compare(spark, con, name, folder):
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     assert sorted(names) == columns, f"{name}: {sorted(names)} vs {columns}"
+    kinds = {n: str(d[1]) for n, d in zip(names, result.description)}
+    for field in df.schema.fields:
+        want = KINDS.get(field.dataType.simpleString())
+        assert want is None or want == kinds[field.name], (
+            f"{name}.{field.name}: {field.dataType.simpleString()} vs {kinds[field.name]}"
+        )
     theirs = rows_of([dict(zip(names, r)) for r in result.fetchall()], columns)
     diff = []
     if mine != theirs:

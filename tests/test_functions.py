@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import jsontext, names, text, vectors
 from rostrum.limits import CHUNK_WORDS
+from rostrum.operators import intake
 
 
 def test_format_names(column):
@@ -31,6 +32,20 @@ def test_object_id_uses_utc_millis(spark):
     assert got == "job_1704067207179_x.y"
 
 
+def test_iso_is_the_same_in_every_zone(spark):
+    rows = spark.sql(
+        "SELECT * FROM VALUES (1, timestamp_ntz'2024-03-10 02:30:00.0459'), (2, timestamp_ntz'1969-12-31 23:59:59.9') AS (i, ts)"
+    )
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = [r[0] for r in rows.orderBy("i").select(names.iso_utc(F.col("ts"))).collect()]
+        assert got == ["2024-03-10T02:30:00.045Z", "1969-12-31T23:59:59.900Z"]
+
+
+def test_client_job(column):
+    assert column(["j", "", None], "string", intake.client_job) == ["j", "default", "default"]
+
+
 def test_chunk_name(spark):
     rows = spark.createDataFrame(
         [("chunk_a_b_3_1704067207179.webm",), ("chunk_a_3.webm",), ("recording-2024-01-01T00:00:07.179Z.webm",)],
