@@ -1,7 +1,7 @@
 """The driver's tables read as uploads, meeting events, turns, frames and attempts.
 
-Defects are derived from the data itself (the number ``k`` in ``props``, text
-lengths, turn numbers), over whole tables.
+Defects are derived from the data itself (cents of ``value``, text lengths,
+turn numbers), over whole tables.
 """
 
 from __future__ import annotations
@@ -20,7 +20,12 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def defect() -> Column:
-    return F.get_json_object("props", "$.k").try_cast("int")
+    """The cents of ``value``, 0 to 99: which defect an upload has, if any."""
+    return F.round(F.col("value") * 100).cast("bigint") % 100
+
+
+def props_key() -> Column:
+    return F.get_json_object("props", "$.k").try_cast("bigint")
 
 
 def kind() -> Column:
@@ -76,7 +81,7 @@ def format_text() -> Column:
 
 
 def uploads(ev: DataFrame, *extra: str) -> DataFrame:
-    """Slices as uploads, about one in twenty defective by ``k``; keeps ``extra`` columns."""
+    """Slices as uploads, about one in twenty defective; keeps ``extra`` columns."""
     k = defect()
     base = ev.where(F.col("event_type").isin(*SLICE_TYPES))
     return base.select(
@@ -85,7 +90,8 @@ def uploads(ev: DataFrame, *extra: str) -> DataFrame:
         F.when(k == 0, None).otherwise(file_name()).alias("file_name"),
         F.when(k == 0, None).otherwise((F.col("value") * 131072).cast("bigint")).alias("size_bytes"),
         (k != 3).alias("metadata_ok"),
-        F.when(k == 4, None).when(k == 5, 0.0).otherwise(F.col("value") * 4).alias("duration_s"),
+        F.when(k == 4, None).when(k == 5, 0.0).when(k == 6, F.col("value") * 4 + 900)
+        .otherwise(F.col("value") * 4).alias("duration_s"),
         (F.col("event_type") == "error").alias("failed"), *extra,
     )
 

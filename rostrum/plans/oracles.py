@@ -40,8 +40,9 @@ UPLOADS = f"""uploads AS (
     k <> 0 AS has_file,
     CASE WHEN k = 0 THEN NULL ELSE CAST(trunc(value * 131072) AS BIGINT) END AS size_bytes,
     k <> 3 AS metadata_ok,
-    CASE WHEN k = 4 THEN NULL WHEN k = 5 THEN 0.0 ELSE value * 4 END AS duration_s
-  FROM (SELECT *, {K} AS k FROM events WHERE event_type IN ('click', 'view', 'error'))),
+    CASE WHEN k = 4 THEN NULL WHEN k = 5 THEN 0.0
+      WHEN k = 6 THEN value * 4 + 900 ELSE value * 4 END AS duration_s
+  FROM (SELECT *, CAST(round(value * 100) AS BIGINT) % 100 AS k FROM events WHERE event_type IN ('click', 'view', 'error'))),
 validated AS (
   SELECT event_id, failed,
     CASE WHEN size_bytes > 26214400 THEN 'file_too_large'

@@ -109,7 +109,7 @@ def decode_job_message(spark, folder):
         .otherwise(whole)
     )
     sent = fx.message_fields(fx.events(spark, folder)).select(
-        "event_id", fx.defect().cast("bigint").alias("k"), value.alias("value")
+        "event_id", fx.props_key().alias("k"), value.alias("value")
     )
     return intake.decode_messages(sent).select(
         "event_id", "k", "decoded", "job_id", "file_id",
