@@ -39,7 +39,8 @@ def kind() -> Column:
 
 
 def meeting_events(ev: DataFrame) -> DataFrame:
-    return ev.select(
+    roles = ev.where(F.col("event_type").isin("signup", "click", "view", "purchase"))
+    return roles.select(
         "event_id", F.col("user_id").alias("job_id"), "ts", kind().alias("kind")
     ).where(F.col("kind").isNotNull())
 

@@ -436,12 +436,12 @@ def _snippet_hits(tn: DataFrame) -> DataFrame:
     ).withColumnsRenamed({"prompt_id": "prompt_turn", "candidate_id": "turn"})
 
 
-def _chat_hits(tn: DataFrame) -> DataFrame:
+def _chat_hits(tn: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exchanges asked before the prompt, most similar first."""
-    pairs = chats.chat_vectors(chats.chat_pairs(tn, "conv_id", "turn"))
     return retrieval.top_similar(
-        _prompt_vectors(tn), pairs, CHAT_HITS, job="conv_id", prompt_id="prompt_turn",
-        candidate_id="turn", prompt_order="prompt_turn", candidate_order="turn",
+        _prompt_vectors(tn), chats.chat_vectors(pairs), CHAT_HITS, job="conv_id",
+        prompt_id="prompt_turn", candidate_id="turn",
+        prompt_order="prompt_turn", candidate_order="turn",
     ).withColumnsRenamed({"prompt_id": "prompt_turn", "candidate_id": "turn"})
 
 
@@ -452,20 +452,22 @@ def text_topk(spark, folder):
 
 @query
 def topk_chats(spark, folder):
-    return _chat_hits(fx.spread_turns(spark, folder))
+    tn = fx.spread_turns(spark, folder)
+    return _chat_hits(tn, chats.chat_pairs(tn, "conv_id", "turn"))
 
 
 @query
 def rag_context(spark, folder):
     """The text each prompt would be answered from."""
     tn = fx.spread_turns(spark, folder)
+    pairs = chats.chat_pairs(tn, "conv_id", "turn")
     keys = ["conv_id", "prompt_turn"]
     snippets = context.joined_hits(
         _snippet_hits(tn).join(fx.spoken(tn), ["conv_id", "turn"]),
         keys, context.snippet_line(F.col("text")), "snippets",
     )
     exchanges = context.joined_hits(
-        _chat_hits(tn).join(chats.chat_pairs(tn, "conv_id", "turn"), ["conv_id", "turn"]),
+        _chat_hits(tn, pairs).join(pairs, ["conv_id", "turn"]),
         keys, context.chat_lines(F.col("user_chat"), F.col("ai_chat")), "chats",
     )
     return context.prompt_context(fx.prompts(tn), snippets, exchanges, keys, "question")

@@ -11,14 +11,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores when its files give fewer tasks than there are cores.
+    """``df`` over all cores when its files leave at least half of them idle.
 
     A small table may be one row group, which one task reads; work that costs
-    much per row should not stay there. A table with a task per core or more
-    is returned as it is.
+    much per row should not stay there. A larger table is returned as it is,
+    so this never shuffles what the cluster is already busy with.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",

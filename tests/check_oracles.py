@@ -35,7 +35,7 @@ def rows_of(frame, columns):
         if isinstance(v, dt.datetime):
             return v.isoformat()
         if isinstance(v, float):
-            return f"{v:.9g}"
+            return repr(v)
         return str(v)
 
     return sorted(tuple(plain(r[c]) for c in columns) for r in frame)

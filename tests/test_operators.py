@@ -117,6 +117,18 @@ def test_next_row_does_not_depend_on_the_path(skewed):
         assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_scratch_is_shared_and_cleared(spark, skewed):
+    from pathlib import Path
+
+    from rostrum.session import clear_scratch, scratch_path, shared_folder, stage
+
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert stage(skewed, "x").count() == skewed.count()
+    assert list(Path(scratch_path(spark, "y")).parent.glob("x-*"))
+    clear_scratch(spark)
+    assert not Path(scratch_path(spark, "y")).parent.exists()
+
+
 def test_hot_keys_are_found(skewed):
     assert ordering.hot_keys(skewed, "k", 150) == ["hot"]
     assert set(ordering.hot_keys(skewed, "k", 0)) == {"hot", "k1", "k2", "k3", None}
