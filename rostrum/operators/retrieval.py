@@ -26,6 +26,7 @@ from rostrum.session import stage
 
 BLOCK_ROWS = 4096
 STRIP = 256
+BROADCAST_JOBS = 100_000
 DIGITS = 6
 
 
@@ -117,10 +118,10 @@ def _block_hits(k: int, size: int, sparse: bool, ordered: bool, distinct: bool,
 
 def _side(df: DataFrame, job: str, ident: str, ident_name: str, vector: str,
           order: str | None, sparse: bool) -> DataFrame:
-    """The columns a block needs. A missing vector counts as an empty one.
+    """The columns a block needs; without a meeting there is nothing to find.
 
-    Empty vectors are skipped in the block and not by a filter here: the filter
-    would be pushed below the expression that makes the vector and repeat it.
+    A missing vector counts as an empty one. Those are skipped in the block and not by a filter here, which would be
+    pushed below the expression that makes the vector and repeat it.
     """
     columns = [F.col(job).alias("job"), F.col(ident).alias(ident_name)]
     if sparse:
@@ -131,28 +132,17 @@ def _side(df: DataFrame, job: str, ident: str, ident_name: str, vector: str,
         columns += [items.alias("_val")]
     if order:
         columns.append(F.col(order).alias("_ord"))
-    return df.select(*columns)
+    return df.where(F.col(job).isNotNull()).select(*columns)
 
 
-def _large_jobs(prompts: DataFrame, candidates: DataFrame, rows: int):
-    """Rows of the larger side, and the meetings that need more than one block.
-
-    Reads the meeting column only. One row per meeting is shuffled; the table
-    of large meetings is written once, since both sides are joined with it.
-    """
+def _sizes(prompts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Prompts and candidates per meeting; reads the meeting column only."""
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    sizes = (
+    return (
         prompts.select("job", one.alias("_p"), none.alias("_c"))
         .unionByName(candidates.select("job", none.alias("_p"), one.alias("_c")))
         .groupBy("job").agg(F.sum("_p").alias("_p"), F.sum("_c").alias("_c"))
     )
-    both = F.greatest("_p", "_c")
-    total, largest = sizes.agg(F.greatest(F.sum("_p"), F.sum("_c")), F.max(both)).first()
-    if (largest or 0) <= rows:
-        return total or 0, None
-    blocks = lambda name: F.greatest(F.ceil(F.col(name) / rows).cast("int"), F.lit(1))
-    large = sizes.where(both > rows).select("job", blocks("_p").alias("_pn"), blocks("_c").alias("_cn"))
-    return total, stage(large, "blocks")
 
 
 def top_similar(
@@ -172,9 +162,28 @@ def top_similar(
     left = _side(prompts, job, prompt_id, "prompt_id", vector, prompt_order, sparse)
     right = _side(candidates, job, candidate_id, "candidate_id", vector, candidate_order, sparse)
 
-    total, large = _large_jobs(left, right, block_rows)
+    sizes = _sizes(left, right)
+    asked, both = F.col("_p") > 0, F.greatest("_p", "_c")
+    total = sizes.agg(
+        F.coalesce(F.greatest(F.sum("_p"), F.sum(F.when(asked, F.col("_c")))), F.lit(0)).alias("rows"),
+        F.coalesce(F.max(F.when(asked, both)), F.lit(0)).alias("largest"),
+        F.count_if(asked).alias("asked"), F.count("*").alias("jobs"),
+    ).first()
+    if total.asked < total.jobs and total.asked <= BROADCAST_JOBS:
+        # Few meetings are asked about: candidates of the others stay where they
+        # are. The list of meetings was just counted, so its size is known.
+        right = right.join(F.broadcast(left.select("job").distinct()), "job", "left_semi")
+    large = None
+    if total.largest > block_rows:
+        blocks = lambda n: F.greatest(F.ceil(F.col(n) / block_rows).cast("int"), F.lit(1))
+        # Written once, since both sides are joined with it.
+        large = stage(
+            sizes.where(asked & (both > block_rows))
+            .select("job", blocks("_p").alias("_pn"), blocks("_c").alias("_cn")),
+            "blocks",
+        )
     spark = prompts.sparkSession
-    cells = max(-(-total // block_rows), 2 * spark.sparkContext.defaultParallelism)
+    cells = max(-(-total.rows // block_rows), 2 * spark.sparkContext.defaultParallelism)
 
     def lay_out(df: DataFrame, own: str, ident: str) -> DataFrame:
         other = "_c" if own == "_p" else "_p"

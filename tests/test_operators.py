@@ -236,6 +236,20 @@ def test_top_similar_sparse_and_numeric_ids(spark):
     ]
 
 
+def test_top_similar_for_few_meetings(spark, vectors):
+    """Only some meetings are asked about; prompts may lack a meeting or have none of their own."""
+    df = spark.createDataFrame(vectors, "job string, id string, n int, v array<double>")
+    asked = [r for r in vectors if r[0] in ("j1", "j3")]
+    lone = [(None, "p0", 1, [1.0] * 6), ("elsewhere", "p1", 1, [1.0] * 6)]
+    prompts = spark.createDataFrame(asked + lone, df.schema)
+    got = retrieval.top_similar(prompts, df.unionByName(prompts.where("job is null")), 3, job="job",
+                                prompt_id="id", candidate_id="id", vector="v", size=6)
+    assert [(*r[:4], r[4] + 0.0) for r in sorted(map(tuple, got.collect()))] == [
+        (*r[:4], r[4] + 0.0) for r in brute(asked, vectors, 3)
+    ]
+    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_similar_without_rows(spark, vectors):
     df = spark.createDataFrame(vectors, "job string, id string, n int, v array<double>")
     none = df.where("id = 'absent'")
