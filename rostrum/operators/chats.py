@@ -71,9 +71,9 @@ def history_pages(
     rows = chats
     if before is not None:
         rows = (
-            salted_lookup(rows, before.select(job, "before_id"), job, ident)
+            salted_lookup(rows, before.select(job, "before_id"), [job], ident)
             .where(F.col("before_id").isNull() | (F.col(ident) < F.col("before_id")))
-            .drop("before_id", "_salt")
+            .drop("before_id")
         )
     newest = Window.partitionBy(job).orderBy(F.desc(order), F.desc(ident))
     oldest = Window.partitionBy(job).orderBy(order, ident)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rostrum.functions.binding import let
 from rostrum.functions.jsontext import strict_json
+from rostrum.operators.ordering import salted_lookup
 from rostrum.schemas import FRAME
 
 PART_FRAMES = 4096
@@ -62,10 +63,8 @@ def rebuild_answers(
         .agg(F.array_sort(F.collect_list(said)).alias("_said"))
     )
     heard = F.filter("_said", lambda x: F.col("_end").isNull() | (x["s"] < F.col("_end")))
-    # The join comes last: with nothing after it that needs its partitioning,
-    # a log with a large share of all parts is split as a skewed join.
     return (
-        parts.join(ends, keys, "left")
+        salted_lookup(parts, ends, keys, "part_no")
         .select(*keys, "part_no", heard.alias("_said"))
         .where(F.size("_said") > 0)
         .select(*keys, "part_no", F.array_join(F.transform("_said", lambda x: x["t"]), "").alias("text"))

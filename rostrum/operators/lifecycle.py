@@ -47,32 +47,30 @@ def stop_times(events: DataFrame) -> DataFrame:
     )
     stops = events.where(F.col("kind") == "stop").select("job_id", "ts")
     return (
-        salted_lookup(stops, opened, "job_id", "ts", "inner")
+        salted_lookup(stops, opened, ["job_id"], "ts", "inner")
         .where(F.col("ts") > F.col("created_at"))
         .groupBy("job_id").agg(F.min("ts").alias("stop_ts"))
     )
 
 
-def with_status(jobs: DataFrame, meeting_rows: DataFrame) -> DataFrame:
-    """Adds the meeting's status; a meeting that is not there gives null.
-
-    No broadcast hint: the meetings grow with the data, so the choice is left
-    to their measured size, and a hot meeting to skew-join splitting.
-    """
-    return jobs.join(meeting_rows.select("job_id", "status"), "job_id", "left")
+def with_status(jobs: DataFrame, meeting_rows: DataFrame, spread: str = "event_id") -> DataFrame:
+    """Adds the meeting's status; a meeting that is not there gives null."""
+    return salted_lookup(jobs, meeting_rows.select("job_id", "status"), ["job_id"], spread)
 
 
-def drop_completed(jobs: DataFrame, meeting_rows: DataFrame) -> DataFrame:
+def drop_completed(jobs: DataFrame, meeting_rows: DataFrame, spread: str = "event_id") -> DataFrame:
     """Jobs whose meeting is not completed, by its final status."""
     done = meeting_rows.where(F.col("status") == STATUS_DONE).select("job_id")
-    return jobs.join(done, "job_id", "left_anti")
+    return salted_lookup(jobs, done, ["job_id"], spread, "left_anti")
 
 
-def drop_late(slices: DataFrame, stops: DataFrame, grace: str = "0 seconds") -> DataFrame:
+def drop_late(
+    slices: DataFrame, stops: DataFrame, grace: str = "0 seconds", spread: str = "event_id"
+) -> DataFrame:
     """Slices taken no later than their meeting's end, plus ``grace``."""
     limit = F.col("stop_ts") + F.expr(f"interval {grace}")
     return (
-        slices.join(stops, "job_id", "left")
+        salted_lookup(slices, stops, ["job_id"], spread)
         .where(F.col("stop_ts").isNull() | (F.col("ts") <= limit))
         .drop("stop_ts")
     )

@@ -112,16 +112,18 @@ def with_next(
 
 
 def salted_lookup(
-    facts: DataFrame, dim: DataFrame, key: str, spread: str, how: str = "left",
+    facts: DataFrame, dim: DataFrame, keys: list[str], spread: str, how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    """``facts`` joined with ``dim``, one row per ``key``, on the key and a salt.
-
-    For joins whose result is then grouped by the key: without the salt the
-    grouping would take over the join's partitioning and pull a hot key into
-    one task. With it the rows of a key arrive in ``salts`` parts and are
-    reduced there before they are brought together.
+    """``facts`` joined with ``dim``, one row per key, on the keys and a salt.
+
+    A lookup table is mostly the result of a grouping by the same keys. A plain
+    join takes over that partitioning, and then AQE does not split a skewed key
+    (it only looks at joins that read two shuffles). With the salt the rows of a
+    key arrive in ``salts`` parts, both sides are shuffled for the join, and a
+    part that is still too large is split. The price is ``salts`` copies of a
+    table that is small beside the facts.
     """
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("_salt", salt).join(copies, [key, "_salt"], how)
+    return facts.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -24,7 +24,7 @@ def next_state(state: DataFrame, batch: DataFrame) -> DataFrame:
     )
     stops = batch.where(F.col("kind") == "stop").select("job_id", "ts")
     counted = (
-        salted_lookup(stops, created, "job_id", "ts", "inner")
+        salted_lookup(stops, created, ["job_id"], "ts", "inner")
         .where(F.col("ts") > F.col("created_at"))
         .groupBy("job_id").agg(F.min("ts").alias("stop_ts"))
     )

@@ -89,7 +89,7 @@ def test_late_slices(meeting_events):
 
 
 def test_status_of_unknown_meeting(spark, meeting_events):
-    jobs = spark.createDataFrame([("a",), ("nowhere",), (None,)], "job_id string")
+    jobs = spark.createDataFrame([(1, "a"), (2, "nowhere"), (3, None)], "event_id int, job_id string")
     got = {r.job_id: r.status for r in lifecycle.with_status(jobs, lifecycle.meetings(meeting_events)).collect()}
     assert got == {"a": "completed", "nowhere": None, None: None}
 
@@ -129,6 +129,15 @@ def test_scratch_is_shared_and_cleared(spark, skewed):
     assert not Path(scratch_path(spark, "y")).parent.exists()
 
 
+def test_salted_lookup_equals_join(spark, skewed):
+    dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k9", 3)], "k string, v int")
+    for how in ("left", "inner", "left_anti", "left_semi"):
+        want = skewed.join(dim, "k", how)
+        got = ordering.salted_lookup(skewed, dim, ["k"], "i", how)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_hot_keys_are_found(skewed):
     assert ordering.hot_keys(skewed, "k", 150) == ["hot"]
     assert set(ordering.hot_keys(skewed, "k", 0)) == {"hot", "k1", "k2", "k3", None}
