@@ -11,7 +11,7 @@ _SINGLE = [w for w in FILLERS if " " not in w]
 _DOUBLE = [tuple(w.split(" ")) for w in FILLERS if " " in w]
 # Lines without such a word are left alone; most lines are.
 _STARTS = "|".join(_SINGLE + [first for first, _ in _DOUBLE])
-MAY_HOLD_FILLER = rf"(?i)(^| )(?:{_STARTS})([ ,.;!?]|$)"
+MAY_HOLD_FILLER = rf"(?i) (?:{_STARTS})[ ,.;!?]"
 # A line that is only a stage mark, such as [music] or (laughs).
 STAGE_MARK = r"^[\[(][^\])]*[\])]$"
 FIRST_SENTENCE = r"(?s)^\s*(.*?[.!?])(?:\s|$)"
@@ -53,7 +53,7 @@ def refine_line(line: Column) -> Column:
     return let(
         squeezed,
         lambda x: F.when(
-            x.rlike(MAY_HOLD_FILLER),
+            F.concat(F.lit(" "), x, F.lit(" ")).rlike(MAY_HOLD_FILLER),
             F.trim(F.regexp_replace(_without_fillers(x), r" +([.,;!?])", "$1")),
         ).otherwise(x),
     )

@@ -17,7 +17,7 @@ ROWS_PER_TASK = 250_000
 # more keys than this above the limit, none of the others is larger than a
 # ten-thousandth of the table.
 MAX_HOT_KEYS = 10_000
-SALTS = 16
+SALTS = 8
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> list:
