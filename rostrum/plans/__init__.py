@@ -1 +1 @@
-"""Queries bound to the driver's tables, and the SQL each one is checked with."""
+"""Whole flows, queries bound to the driver's tables, and the SQL each is checked with."""

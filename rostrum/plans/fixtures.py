@@ -138,6 +138,16 @@ def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(documents(spark, folder), "doc_id")
 
 
+def recordings(docs: DataFrame) -> DataFrame:
+    """Documents as transcribed slices, one a minute; some lengths end the meeting instead."""
+    return docs.select(
+        F.col("doc_id").alias("event_id"), F.col("source").alias("job_id"),
+        F.timestamp_add("MINUTE", F.col("doc_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("ts"),
+        F.when(F.col("n_chars") % 50 == 0, "stop").otherwise("slice").alias("kind"), "text",
+        F.concat(F.lit("rec-"), F.col("doc_id").cast("string"), F.lit(".webm")).alias("file_name"),
+    )
+
+
 def clean_attempts(tn: DataFrame) -> DataFrame:
     """Four cleaner responses per answer, valid or broken by text length."""
     item = F.concat(

@@ -460,3 +460,21 @@ ORACLES["stream_late_drop"] = ORACLES["late_drop"]
 ORACLES["stream_sessions"] = f"""
 SELECT * FROM ({ORACLES["pause_segments"]})
 WHERE segment_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"""
+ORACLES["recording_points"] = f"""{WITH_CHUNKS},
+recorded AS (
+  SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS ts, n_chars % 50 = 0 AS stops
+  FROM documents),
+first_slice AS (SELECT source, min(ts) AS created_at FROM recorded WHERE NOT stops GROUP BY 1),
+first_stop AS (
+  SELECT r.source, min(r.ts) AS stop_ts FROM recorded r JOIN first_slice f USING (source)
+  WHERE r.stops AND r.ts > f.created_at GROUP BY 1),
+timely AS (
+  SELECT r.* FROM recorded r LEFT JOIN first_stop s USING (source)
+  WHERE NOT r.stops AND (s.stop_ts IS NULL OR r.ts <= s.stop_ts)),
+{_features("cf", "chunks", "doc_id, chunk_idx", "text")}
+SELECT sha256(t.source || '|' || c.doc_id || '|' || c.chunk_idx) AS id, t.source AS job_id,
+  'rec-' || c.doc_id || '.webm' AS filename, t.ts AS upload_timestamp, md5(c.text) AS text_md5, c.summary,
+  (SELECT count(*) FROM cf WHERE cf.doc_id = c.doc_id AND cf.chunk_idx = c.chunk_idx) AS n_buckets
+FROM summarised c JOIN timely t USING (doc_id)
+WHERE NOT regexp_matches(c.text, '(?m)^- \\p{{L}}[\\p{{L}}\\p{{N}} ]{{0,30}}: ')"""
+ORACLES["stream_recordings"] = ORACLES["recording_points"]

@@ -13,10 +13,10 @@ from rostrum.functions.text import is_blank
 from rostrum.functions.vectors import feature_norm, hashed_features
 from rostrum.limits import CHAT_HITS, HISTORY_PAGE, TRANSCRIPT_HITS
 from rostrum.operators import (
-    attempts, chats, chunks, context, frames, intake, lifecycle, quality, retrieval,
-    segments, transcript, vector_table,
+    attempts, chats, chunks, frames, intake, lifecycle, quality, retrieval, segments,
+    transcript, vector_table,
 )
-from rostrum.plans import fixtures as fx
+from rostrum.plans import fixtures as fx, flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -402,6 +402,20 @@ def vector_upsert(spark, folder):
     )
 
 
+@query
+def recording_points(spark, folder):
+    """Documents as the slices of their source's meeting, from event to stored point."""
+    tables = flows.recordings_to_tables(fx.recordings(fx.spread_documents(spark, folder)))
+    return point_report(tables.points)
+
+
+def point_report(points: DataFrame) -> DataFrame:
+    return points.select(
+        "id", "job_id", "filename", "upload_timestamp", F.md5("text").alias("text_md5"),
+        "summary", F.size("vector").cast("bigint").alias("n_buckets"),
+    )
+
+
 @query
 def hash_embedding(spark, folder):
     rows = chunks.features(fx.spread_turns(spark, folder))
@@ -460,17 +474,11 @@ def topk_chats(spark, folder):
 def rag_context(spark, folder):
     """The text each prompt would be answered from."""
     tn = fx.spread_turns(spark, folder)
-    pairs = chats.chat_pairs(tn, "conv_id", "turn")
-    keys = ["conv_id", "prompt_turn"]
-    snippets = context.joined_hits(
-        _snippet_hits(tn).join(fx.spoken(tn), ["conv_id", "turn"]),
-        keys, context.snippet_line(F.col("text")), "snippets",
-    )
-    exchanges = context.joined_hits(
-        _chat_hits(tn, pairs).join(pairs, ["conv_id", "turn"]),
-        keys, context.chat_lines(F.col("user_chat"), F.col("ai_chat")), "chats",
+    return flows.prompt_contexts(
+        fx.prompts(tn), fx.spoken(tn), chats.chat_pairs(tn, "conv_id", "turn"),
+        job="conv_id", prompt_id="prompt_turn", question="question",
+        snippet_id="turn", chat_id="turn",
     )
-    return context.prompt_context(fx.prompts(tn), snippets, exchanges, keys, "question")
 
 
 # ---- attempts and frames

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.functions.names import format_names, object_id
 from rostrum.limits import PAUSE
-from rostrum.operators import transcript
+from rostrum.operators import transcript, vector_table
 from rostrum.plans import fixtures as fx
-from rostrum.plans.queries import query
+from rostrum.plans.queries import point_report, query
 from rostrum.schemas import EVENTS
 from rostrum.session import scratch_path
 from rostrum.sources.sinks import append_files, read_batches
@@ -89,6 +89,18 @@ def stream_late_drop(spark, folder):
     return read_batches(spark, f"{path}/slices").select("event_id", "job_id")
 
 
+@query
+def stream_recordings(spark, folder):
+    """The stored points of recordings that arrived as a stream."""
+    schema = fx.documents(spark, folder).schema
+    rows = fx.recordings(stream_files(spark, f"{folder}/documents*.parquet", schema))
+    path = scratch_path(spark, "recordings")
+    meetings.keep_timely_slices(
+        rows, path, f"{path}/checkpoint", store=meetings.store_searchable
+    ).awaitTermination()
+    return point_report(vector_table.latest_points(read_batches(spark, f"{path}/points")))
+
+
 @query
 def stream_transcript(spark, folder):
     """Transcripts assembled from fragments that arrived as a stream."""

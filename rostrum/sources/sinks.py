@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
+def batch_path(path: str, batch_id: int) -> str:
+    return f"{path}/batch_id={batch_id}"
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """The rows of one micro-batch under its own folder, replaced on a re-run."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    df.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
 
 def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:

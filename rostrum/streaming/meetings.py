@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 from rostrum.limits import SLICE
 from rostrum.operators.lifecycle import drop_late
 from rostrum.operators.ordering import salted_lookup
-from rostrum.sources.sinks import drop_folder, each_batch, write_batch
+from rostrum.plans.flows import store_recordings
+from rostrum.sources.sinks import batch_path, drop_folder, each_batch, write_batch
 
 KEPT_VERSIONS = 2
 
@@ -33,12 +34,31 @@ def next_state(state: DataFrame, batch: DataFrame) -> DataFrame:
     return created.join(first, "job_id", "left")
 
 
+def store_slices(timely: DataFrame, path: str, batch_id: int) -> None:
+    write_batch(timely, f"{path}/slices", batch_id)
+
+
+def store_searchable(timely: DataFrame, path: str, batch_id: int) -> None:
+    """Transcribed slices into ``slices``, then ``points`` and ``rejected``.
+
+    The text is stored first and read back: should the rest fail, text without
+    points remains, until the micro-batch runs again and replaces all three.
+    """
+    store_slices(timely, path, batch_id)
+    stored = timely.sparkSession.read.schema(timely.schema).parquet(batch_path(f"{path}/slices", batch_id))
+    tables = store_recordings(stored)
+    write_batch(tables.points, f"{path}/points", batch_id)
+    write_batch(tables.rejected, f"{path}/rejected", batch_id)
+
+
 def keep_timely_slices(
-    events: DataFrame, path: str, checkpoint: str, grace: str = "0 seconds"
+    events: DataFrame, path: str, checkpoint: str, grace: str = "0 seconds", store=None
 ) -> StreamingQuery:
     """Slices not later than the end of their meeting, as known when they are read.
 
-    ``events``: ``event_id, job_id, ts, kind``. The state of the meetings is a
+    ``events``: ``event_id, job_id, ts, kind`` and any other columns. The slices
+    go to ``store(slices, path, batch_id)``, by default a table below ``path``.
+    The state of the meetings is a
     table with one version per micro-batch, made from the version before, so a
     micro-batch that is run again makes the same version again. It is joined
     like any table: no key is bound to one task.
@@ -58,8 +78,8 @@ def keep_timely_slices(
         next_state(before, batch).write.mode("overwrite").parquet(version(batch_id))
         state = spark.read.schema(schema).parquet(version(batch_id))
         stops = state.where(F.col("stop_ts").isNotNull()).select("job_id", "stop_ts")
-        slices = batch.where(F.col("kind") == "slice").select("event_id", "job_id", "ts")
-        write_batch(drop_late(slices, stops, grace), f"{path}/slices", batch_id)
+        slices = batch.where(F.col("kind") == "slice").drop("kind")
+        (store or store_slices)(drop_late(slices, stops, grace), path, batch_id)
         if batch_id >= KEPT_VERSIONS:
             drop_folder(spark, version(batch_id - KEPT_VERSIONS))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostrum.operators import lifecycle, segments, transcript
+from rostrum.plans import flows
 from rostrum.sources.sinks import append_files, read_batches
 from rostrum.sources.tables import read_files, stream_files
 from rostrum.streaming import intake, meetings
@@ -44,6 +45,33 @@ def test_late_slices_equal_batch(spark, event_files):
     assert ids(got) == ids(want) and 0 < got.count() < slices.count()
 
 
+def test_recordings_become_points(spark, event_files):
+    whole, path, out = event_files
+    said = lambda df: df.select(
+        "*", F.when(F.col("event_id") % 9 != 4, F.concat(F.lit("word "), F.col("event_id").cast("string"), F.lit(". Speaker?")))
+        .otherwise(" ").alias("text"), F.lit("f.webm").alias("file_name"),
+    )
+    for _ in range(2):  # the second run finds nothing new
+        meetings.keep_timely_slices(
+            said(stream(spark, whole, path)), f"{out}/rec", f"{out}/ck", store=meetings.store_searchable
+        ).awaitTermination()
+    want = flows.recordings_to_tables(said(whole))
+    got = read_batches(spark, f"{out}/rec/points")
+    assert sorted(map(str, got.select(want.points.columns).collect())) == sorted(map(str, want.points.collect()))
+    assert got.count() == want.fragments.count() > 0
+    assert read_batches(spark, f"{out}/rec/rejected").count() == want.rejected.count() == 0
+    assert read_batches(spark, f"{out}/rec/slices").count() > got.count()
+
+
+def test_rejected_chunks_are_not_searchable(spark):
+    rows = [(1, "a", at(1), "slice", "fine words", "f"), (2, "a", at(2), "slice", "Speaker A: hello", "f")]
+    df = spark.createDataFrame(rows, "event_id int, job_id string, ts timestamp_ntz, kind string, text string, file_name string")
+    tables = flows.recordings_to_tables(df)
+    assert [r.text for r in tables.points.collect()] == ["- fine words\n"]
+    assert [(r.event_id, r.reject_reason) for r in tables.rejected.collect()] == [(2, "speaker_label")]
+    assert tables.fragments.count() == 2
+
+
 def test_state_grows_batch_by_batch(spark, event_files):
     whole, _, _ = event_files
     empty = spark.createDataFrame([], "job_id string, created_at timestamp_ntz, stop_ts timestamp_ntz")
