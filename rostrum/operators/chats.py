@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rostrum.functions.vectors import hashed_features
 from rostrum.limits import HISTORY_PAGE
-from rostrum.operators.ordering import ROWS_PER_TASK, salted_lookup, with_next
+from rostrum.operators.lookup import lookup
+from rostrum.operators.ordering import ROWS_PER_TASK, with_next
 
 
 def chat_pairs(
@@ -71,7 +72,7 @@ def history_pages(
     rows = chats
     if before is not None:
         rows = (
-            salted_lookup(rows, before.select(job, "before_id"), [job], ident)
+            lookup(rows, before.select(job, "before_id"), [job], ident)
             .where(F.col("before_id").isNull() | (F.col(ident) < F.col("before_id")))
             .drop("before_id")
         )

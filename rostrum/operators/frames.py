@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rostrum.functions.binding import let
 from rostrum.functions.jsontext import strict_json
-from rostrum.operators.ordering import salted_lookup
+from rostrum.operators.lookup import lookup
 from rostrum.schemas import FRAME
 
 PART_FRAMES = 4096
@@ -64,7 +64,7 @@ def rebuild_answers(
     )
     heard = F.filter("_said", lambda x: F.col("_end").isNull() | (x["s"] < F.col("_end")))
     return (
-        salted_lookup(parts, ends, keys, "part_no")
+        lookup(parts, ends, keys, "part_no")
         .select(*keys, "part_no", heard.alias("_said"))
         .where(F.size("_said") > 0)
         .select(*keys, "part_no", F.array_join(F.transform("_said", lambda x: x["t"]), "").alias("text"))

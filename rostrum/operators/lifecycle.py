@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rostrum.limits import STATUS_DONE, STATUS_OPEN
-from rostrum.operators.ordering import salted_lookup
+from rostrum.operators.lookup import lookup
 
 
 def meetings(events: DataFrame) -> DataFrame:
@@ -36,10 +36,8 @@ def meetings(events: DataFrame) -> DataFrame:
 def stop_times(events: DataFrame) -> DataFrame:
     """``job_id, stop_ts``: the first stop after the creation, completed meetings only.
 
-    The stops of one meeting meet its row on several salts, so that a meeting
-    with a large part of all stops is spread. The grouping by meeting alone
-    needs its own shuffle then, before which each task keeps one minimum per
-    meeting, and which lets a skewed join be split further.
+    Each task keeps one minimum per meeting before the stops are brought
+    together, so a meeting with a large part of all stops is no burden.
     """
     opened = (
         events.where(F.col("kind").isin("start", "slice"))
@@ -47,7 +45,7 @@ def stop_times(events: DataFrame) -> DataFrame:
     )
     stops = events.where(F.col("kind") == "stop").select("job_id", "ts")
     return (
-        salted_lookup(stops, opened, ["job_id"], "ts", "inner")
+        lookup(stops, opened, ["job_id"], "ts", "inner")
         .where(F.col("ts") > F.col("created_at"))
         .groupBy("job_id").agg(F.min("ts").alias("stop_ts"))
     )
@@ -55,22 +53,26 @@ def stop_times(events: DataFrame) -> DataFrame:
 
 def with_status(jobs: DataFrame, meeting_rows: DataFrame, spread: str = "event_id") -> DataFrame:
     """Adds the meeting's status; a meeting that is not there gives null."""
-    return salted_lookup(jobs, meeting_rows.select("job_id", "status"), ["job_id"], spread)
+    return lookup(jobs, meeting_rows.select("job_id", "status"), ["job_id"], spread)
 
 
 def drop_completed(jobs: DataFrame, meeting_rows: DataFrame, spread: str = "event_id") -> DataFrame:
     """Jobs whose meeting is not completed, by its final status."""
     done = meeting_rows.where(F.col("status") == STATUS_DONE).select("job_id")
-    return salted_lookup(jobs, done, ["job_id"], spread, "left_anti")
+    return lookup(jobs, done, ["job_id"], spread, "left_anti")
 
 
 def drop_late(
-    slices: DataFrame, stops: DataFrame, grace: str = "0 seconds", spread: str = "event_id"
+    slices: DataFrame, stops: DataFrame, grace: str = "0 seconds", spread: str = "event_id",
+    stored: bool = False,
 ) -> DataFrame:
-    """Slices taken no later than their meeting's end, plus ``grace``."""
+    """Slices taken no later than their meeting's end, plus ``grace``.
+
+    ``stored`` says that ``stops`` is read from a table already.
+    """
     limit = F.col("stop_ts") + F.expr(f"interval {grace}")
     return (
-        salted_lookup(slices, stops, ["job_id"], spread)
+        lookup(slices, stops, ["job_id"], spread, stored=stored)
         .where(F.col("stop_ts").isNull() | (F.col("ts") <= limit))
         .drop("stop_ts")
     )

@@ -17,7 +17,6 @@ ROWS_PER_TASK = 250_000
 # more keys than this above the limit, none of the others is larger than a
 # ten-thousandth of the table.
 MAX_HOT_KEYS = 10_000
-SALTS = 8
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> list:
@@ -38,9 +37,15 @@ def is_any_of(key: str, values: list) -> Column:
     return hit | F.col(key).isNull() if len(known) < len(values) else hit
 
 
-def split_hot(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK):
-    """``(ordinary rows, hot rows or None)``."""
-    hot = hot_keys(df, key, rows_per_task)
+def split_hot(
+    df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK, counted: DataFrame | None = None
+):
+    """``(ordinary rows, hot rows or None)``.
+
+    ``counted`` may hold more rows than ``df`` when it is cheaper to count, as a
+    table is before a filter that reads its texts.
+    """
+    hot = hot_keys(counted if counted is not None else df, key, rows_per_task)
     if not hot:
         return df, None
     member = is_any_of(key, hot)
@@ -71,13 +76,13 @@ def _number_by_range(df: DataFrame, key: str, order: list[str], name: str) -> Da
 
 def number_rows(
     df: DataFrame, key: str, order: list[str], name: str = "n",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK, counted: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the 1-based position of each row within its key.
 
-    ``order`` must be total within a key.
+    ``order`` must be total within a key. ``counted``: see ``split_hot``.
     """
-    ordinary, hot = split_hot(df, key, rows_per_task)
+    ordinary, hot = split_hot(df, key, rows_per_task, counted)
     window = Window.partitionBy(key).orderBy(*order)
     numbered = ordinary.withColumn(name, F.row_number().over(window).cast("bigint"))
     if hot is None:
@@ -109,21 +114,3 @@ def with_next(
         "left",
     )
     return result.unionByName(paired.select(*result.columns))
-
-
-def salted_lookup(
-    facts: DataFrame, dim: DataFrame, keys: list[str], spread: str, how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
-    """``facts`` joined with ``dim``, one row per key, on the keys and a salt.
-
-    A lookup table is mostly the result of a grouping by the same keys. A plain
-    join takes over that partitioning, and then AQE does not split a skewed key
-    (it only looks at joins that read two shuffles). With the salt the rows of a
-    key arrive in ``salts`` parts, both sides are shuffled for the join, and a
-    part that is still too large is split. The price is ``salts`` copies of a
-    table that is small beside the facts.
-    """
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -30,7 +30,7 @@ def append_fragments(
     length is one row. Its transcript is its parts in order.
     """
     spoken = fragments.where(~is_blank(F.col(text))).select(job, *order, text)
-    numbered = number_rows(spoken, job, order, "_n", rows_per_task)
+    numbered = number_rows(spoken, job, order, "_n", rows_per_task, counted=fragments)
     part = F.floor((F.col("_n") - 1) / part_fragments).cast("bigint")
     return (
         numbered.groupBy(job, part.alias("part_no"))

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rostrum.limits import SLICE
 from rostrum.operators.lifecycle import drop_late
-from rostrum.operators.ordering import salted_lookup
+from rostrum.operators.lookup import lookup
 from rostrum.plans.flows import store_recordings
 from rostrum.sources.sinks import batch_path, drop_folder, each_batch, write_batch
 
@@ -25,7 +25,8 @@ def next_state(state: DataFrame, batch: DataFrame) -> DataFrame:
     )
     stops = batch.where(F.col("kind") == "stop").select("job_id", "ts")
     counted = (
-        salted_lookup(stops, created, ["job_id"], "ts", "inner")
+        # Not written for the lookup: a stream would leave a table per micro-batch.
+        lookup(stops, created, ["job_id"], "ts", "inner", stored=True)
         .where(F.col("ts") > F.col("created_at"))
         .groupBy("job_id").agg(F.min("ts").alias("stop_ts"))
     )
@@ -79,7 +80,7 @@ def keep_timely_slices(
         state = spark.read.schema(schema).parquet(version(batch_id))
         stops = state.where(F.col("stop_ts").isNotNull()).select("job_id", "stop_ts")
         slices = batch.where(F.col("kind") == "slice").drop("kind")
-        (store or store_slices)(drop_late(slices, stops, grace), path, batch_id)
+        (store or store_slices)(drop_late(slices, stops, grace, stored=True), path, batch_id)
         if batch_id >= KEPT_VERSIONS:
             drop_folder(spark, version(batch_id - KEPT_VERSIONS))
 

@@ -12,6 +12,7 @@ from rostrum.operators import (
     attempts, chats, context, frames, intake, lifecycle, ordering, quality, retrieval,
     segments, transcript, vector_table,
 )
+from rostrum.operators.lookup import lookup
 from rostrum.sources.by_job import read_by_job, write_by_job
 
 
@@ -129,13 +130,16 @@ def test_scratch_is_shared_and_cleared(spark, skewed):
     assert not Path(scratch_path(spark, "y")).parent.exists()
 
 
-def test_salted_lookup_equals_join(spark, skewed):
+@pytest.mark.parametrize("rows", [10, 0])
+def test_lookup_equals_join(spark, skewed, rows):
     dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k9", 3)], "k string, v int")
     for how in ("left", "inner", "left_anti", "left_semi"):
         want = skewed.join(dim, "k", how)
-        got = ordering.salted_lookup(skewed, dim, ["k"], "i", how)
+        got = lookup(skewed, dim, ["k"], "i", how, broadcast_rows=rows)
         assert got.columns == want.columns
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (rows > 0)
 
 
 def test_hot_keys_are_found(skewed):
