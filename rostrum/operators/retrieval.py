@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from rostrum.functions.vectors import FEATURES, cosine
 from rostrum.limits import VECTOR_WIDTH
+from rostrum.operators.lookup import lookup
 from rostrum.session import stage
 
 BLOCK_ROWS = 4096
@@ -191,7 +192,7 @@ def top_similar(
         if large is None:
             zero = F.lit(0)
             return df.select("*", cell.alias("_cell"), zero.alias("_pb"), zero.alias("_cb"))
-        placed = df.join(large, "job", "left")
+        placed = lookup(df, large, ["job"], ident, stored=True)
         count = lambda side: F.coalesce(F.col(f"{side}n"), F.lit(1))
         return placed.select(
             *df.columns, cell.alias("_cell"),
