@@ -51,17 +51,18 @@ def _matrix(indices: pa.ChunkedArray | None, values: pa.ChunkedArray, size: int)
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the ``k`` best of each row; ties go to the lower column."""
+    """Row and column of the ``k`` best of each row; ties go to the lower column.
+
+    Of the columns that tie at the least score still needed only the first ones
+    are taken, so that a block full of copies costs no more than any other.
+    """
+    picked = np.isfinite(scores)
     if scores.shape[1] > k:
-        least = np.partition(scores, -k, axis=1)[:, -k]
-        rows, cols = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-    else:
-        rows, cols = np.nonzero(np.isfinite(scores))
-    order = np.lexsort((cols, -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
-    return rows[keep], cols[keep]
+        least = np.partition(scores, -k, axis=1)[:, -k, None]
+        above, level = scores > least, scores == least
+        open_places = k - above.sum(axis=1, keepdims=True)
+        picked &= above | (level & (level.cumsum(axis=1) <= open_places))
+    return np.nonzero(picked)
 
 
 def _block_hits(k: int, size: int, sparse: bool, ordered: bool, distinct: bool, schema: pa.Schema):

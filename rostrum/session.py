@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rostrum.sources.sinks import drop_folder
+
 # Correctness never depends on these; they are what the plans are tuned for.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -73,6 +75,4 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove what this application staged, once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
