@@ -8,37 +8,62 @@ from pyspark.sql import DataFrame, functions as F
 
 from rostrum.functions.text import is_blank
 from rostrum.limits import CHAT_HITS, TRANSCRIPT_HITS
-from rostrum.operators import chats, chunks, context, lifecycle, retrieval, vector_table
+from rostrum.operators import attempts, chats, chunks, context, lifecycle, retrieval, vector_table
 
 
 class RecordingTables(NamedTuple):
-    """What becomes of transcribed slices: stored text, points, and chunks that broke a rule."""
+    """What becomes of transcribed slices: stored text, and points to search."""
 
     fragments: DataFrame
     points: DataFrame
+
+
+class CleanedTables(NamedTuple):
+    """What becomes of a cleaner's responses: points, chunks that broke a rule, failures."""
+
+    points: DataFrame
     rejected: DataFrame
+    dead: DataFrame
+
+
+RECORDING = ["job_id", "event_id", "ts", "file_name"]
+
+
+def _points(cut: DataFrame) -> DataFrame:
+    """Points of chunk rows that carry their recording's columns."""
+    return chunks.features(vector_table.transcript_points(cut.select(
+        "job_id", F.col("event_id").alias("source_id"), "chunk_idx",
+        "text", "summary", F.col("file_name").alias("original_file_name"),
+        "ts", F.col("event_id").alias("seq"),
+    )))
 
 
 def store_recordings(timely: DataFrame) -> RecordingTables:
     """``event_id, job_id, ts, text, file_name`` of slices that were not late.
 
-    Text is stored as it was heard; points come from its chunks, so a slice
-    may be stored without being searchable, never the other way round.
+    Text is stored as it was heard; points come from its chunks.
     """
     heard = timely.where(~is_blank(F.col("text")))
-    cut = chunks.checked(chunks.summarised(
-        chunks.chunked(heard, ["job_id", "event_id", "ts", "file_name"])
-    ))
-    good = cut.where(F.col("reject_reason").isNull()).select(
-        "job_id", F.col("event_id").alias("source_id"), "chunk_idx", "text", "summary",
-        F.col("file_name").alias("original_file_name"), "ts", F.col("event_id").alias("seq"),
-    )
-    return RecordingTables(
-        heard.select("job_id", "ts", "event_id", "text"),
-        chunks.features(vector_table.transcript_points(good)),
-        cut.where(F.col("reject_reason").isNotNull()).select(
-            "job_id", "event_id", "chunk_idx", "reject_reason"
-        ),
+    cut = chunks.summarised(chunks.chunked(heard, RECORDING))
+    return RecordingTables(heard.select("job_id", "ts", "event_id", "text"), _points(cut))
+
+
+def store_cleaned(responses: DataFrame, recordings: DataFrame) -> CleanedTables:
+    """The same from a cleaner's responses ``job_id, event_id, attempt, response``.
+
+    The first valid attempt counts. Its chunks are held to the contract, which
+    chunks made here meet by construction; a recording without a valid attempt
+    is dead, its text stored but not searchable.
+    """
+    keys = ["job_id", "event_id"]
+    resolved = attempts.resolve_cleaning(responses, keys)
+    cut = attempts.cleaned_chunks(resolved, keys).withColumnRenamed("refined_text", "text")
+    held = chunks.checked(cut)
+    good = held.where(F.col("reject_reason").isNull()).join(recordings.select(*RECORDING), keys)
+    return CleanedTables(
+        _points(good),
+        held.where(F.col("reject_reason").isNotNull()).select(*keys, "chunk_idx", "reject_reason"),
+        resolved.where(F.col("outcome") == "dead").select(*keys),
     )
 
 

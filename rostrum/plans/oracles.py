@@ -475,6 +475,5 @@ timely AS (
 SELECT sha256(t.source || '|' || c.doc_id || '|' || c.chunk_idx) AS id, t.source AS job_id,
   'rec-' || c.doc_id || '.webm' AS filename, t.ts AS upload_timestamp, md5(c.text) AS text_md5, c.summary,
   (SELECT count(*) FROM cf WHERE cf.doc_id = c.doc_id AND cf.chunk_idx = c.chunk_idx) AS n_buckets
-FROM summarised c JOIN timely t USING (doc_id)
-WHERE NOT regexp_matches(c.text, '(?m)^- \\p{{L}}[\\p{{L}}\\p{{N}} ]{{0,30}}: ')"""
+FROM summarised c JOIN timely t USING (doc_id)"""
 ORACLES["stream_recordings"] = ORACLES["recording_points"]

@@ -40,16 +40,14 @@ def store_slices(timely: DataFrame, path: str, batch_id: int) -> None:
 
 
 def store_searchable(timely: DataFrame, path: str, batch_id: int) -> None:
-    """Transcribed slices into ``slices``, then ``points`` and ``rejected``.
+    """Transcribed slices into ``slices``, then ``points``.
 
     The text is stored first and read back: should the rest fail, text without
-    points remains, until the micro-batch runs again and replaces all three.
+    points remains, until the micro-batch runs again and replaces both.
     """
     store_slices(timely, path, batch_id)
     stored = timely.sparkSession.read.schema(timely.schema).parquet(batch_path(f"{path}/slices", batch_id))
-    tables = store_recordings(stored)
-    write_batch(tables.points, f"{path}/points", batch_id)
-    write_batch(tables.rejected, f"{path}/rejected", batch_id)
+    write_batch(store_recordings(stored).points, f"{path}/points", batch_id)
 
 
 def keep_timely_slices(

@@ -13,6 +13,7 @@ from rostrum.operators import (
     segments, transcript, vector_table,
 )
 from rostrum.operators.lookup import lookup
+from rostrum.plans import flows
 from rostrum.sources.by_job import read_by_job, write_by_job
 
 
@@ -340,6 +341,28 @@ def test_cleaning_takes_the_first_valid_attempt(spark):
     assert [tuple(r) for r in flat] == [(1, 0, "s", "- t")]
 
 
+def test_cleaner_responses_become_points(spark):
+    recordings = spark.createDataFrame(
+        [(i, "a", at(i), "text", f"f{i}") for i in (1, 2, 3)],
+        "event_id int, job_id string, ts timestamp_ntz, text string, file_name string",
+    )
+    responses = spark.createDataFrame([
+        ("a", 1, 1, '[{"summary":"s","refined_text":"- fine words\\n"},{"summary":"s","refined_text":"- Speaker A: hi"}]'),
+        ("a", 2, 1, '[{"refined_text":"- no summary"}]'), ("a", 3, 1, "none"), ("a", 3, 2, None),
+    ], "job_id string, event_id int, attempt int, response string")
+    tables = flows.store_cleaned(responses, recordings)
+    assert [(r.text, r.filename, r.summary) for r in tables.points.collect()] == [("- fine words\n", "f1", "s")]
+    assert sorted((r.event_id, r.chunk_idx, r.reject_reason) for r in tables.rejected.collect()) == [
+        (1, 1, "speaker_label"), (2, 0, "missing_summary")]
+    assert [r.event_id for r in tables.dead.collect()] == [3]
+
+
+def test_labels_said_in_a_meeting_stay_searchable(spark):
+    rows = [(1, "a", at(1), "slice", "Note: buy milk", "f")]
+    df = spark.createDataFrame(rows, "event_id int, job_id string, ts timestamp_ntz, kind string, text string, file_name string")
+    assert [r.text for r in flows.recordings_to_tables(df).points.collect()] == ["- Note: buy milk\n"]
+
+
 def test_answers_and_apologies(spark):
     rows = [(1, 1, " \n", False), (1, 2, "yes", False), (2, 1, None, True), (2, 2, "", False),
             (3, 1, "", False), (3, 2, None, True), (4, 1, "first", False), (4, 2, "second", False),

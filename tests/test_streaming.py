@@ -59,19 +59,9 @@ def test_recordings_become_points(spark, event_files):
     got = read_batches(spark, f"{out}/rec/points")
     assert sorted(map(str, got.select(want.points.columns).collect())) == sorted(map(str, want.points.collect()))
     assert got.count() == want.fragments.count() > 0
-    assert read_batches(spark, f"{out}/rec/rejected").count() == want.rejected.count() == 0
     assert read_batches(spark, f"{out}/rec/slices").count() > got.count()
 
 
-def test_rejected_chunks_are_not_searchable(spark):
-    rows = [(1, "a", at(1), "slice", "fine words", "f"), (2, "a", at(2), "slice", "Speaker A: hello", "f")]
-    df = spark.createDataFrame(rows, "event_id int, job_id string, ts timestamp_ntz, kind string, text string, file_name string")
-    tables = flows.recordings_to_tables(df)
-    assert [r.text for r in tables.points.collect()] == ["- fine words\n"]
-    assert [(r.event_id, r.reject_reason) for r in tables.rejected.collect()] == [(2, "speaker_label")]
-    assert tables.fragments.count() == 2
-
-
 def test_state_grows_batch_by_batch(spark, event_files):
     whole, _, _ = event_files
     empty = spark.createDataFrame([], "job_id string, created_at timestamp_ntz, stop_ts timestamp_ntz")
