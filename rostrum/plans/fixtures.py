@@ -116,7 +116,7 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spread_turns(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(turns(spark, folder), "conv_id")
+    return spread(turns(spark, folder), "conv_id", "turn")
 
 
 def spoken(tn: DataFrame) -> DataFrame:

@@ -477,3 +477,19 @@ SELECT sha256(t.source || '|' || c.doc_id || '|' || c.chunk_idx) AS id, t.source
   (SELECT count(*) FROM cf WHERE cf.doc_id = c.doc_id AND cf.chunk_idx = c.chunk_idx) AS n_buckets
 FROM summarised c JOIN timely t USING (doc_id)"""
 ORACLES["stream_recordings"] = ORACLES["recording_points"]
+ORACLES["cleaned_points"] = f"""WITH {CLEAN_CHUNKS},
+bodies AS (
+  SELECT *, trim(regexp_replace(regexp_replace(refined_text, '(?m)^- ', '', 'g'), '\\s+', ' ', 'g'), ' ') AS body
+  FROM clean_chunks),
+kept AS (
+  SELECT * FROM bodies
+  WHERE summary IS NOT NULL AND refined_text <> '' AND len(string_split(body, ' ')) <= 140
+    AND len(list_filter(string_split(refined_text, chr(10)), lambda x: x <> '' AND x[1:2] <> '- ')) = 0
+    AND NOT regexp_matches(refined_text, '(?m)^- \\p{{L}}[\\p{{L}}\\p{{N}} ]{{0,30}}: ')),
+{_features("kf", "kept", "conv_id, turn, chunk_idx", "refined_text")}
+SELECT sha256(k.conv_id || '|' || k.turn || '|' || k.chunk_idx) AS id, k.conv_id AS job_id,
+  'rec-' || k.turn || '.webm' AS filename,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(k.turn) AS upload_timestamp,
+  md5(k.refined_text) AS text_md5, k.summary, count(f.bucket) AS n_buckets
+FROM kept k LEFT JOIN kf f USING (conv_id, turn, chunk_idx)
+GROUP BY k.conv_id, k.turn, k.chunk_idx, k.refined_text, k.summary"""

@@ -500,6 +500,19 @@ def clean_chunks(spark, folder):
     return attempts.cleaned_chunks(resolved, ["conv_id", "turn"])
 
 
+@query
+def cleaned_points(spark, folder):
+    """Points of the cleaner's chunks that keep the contract; a turn stands for a minute."""
+    tn = fx.spread_turns(spark, folder)
+    recordings = tn.where(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("job_id"), F.col("turn").alias("event_id"), "text",
+        F.timestamp_add("MINUTE", F.col("turn"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("ts"),
+        F.concat(F.lit("rec-"), F.col("turn").cast("string"), F.lit(".webm")).alias("file_name"),
+    )
+    responses = fx.clean_attempts(tn).withColumnsRenamed({"conv_id": "job_id", "turn": "event_id"})
+    return point_report(flows.store_cleaned(responses, recordings).points)
+
+
 @query
 def unembedded_transcripts(spark, folder):
     """Fragments stored as text whose cleaning failed, so that no vector exists."""

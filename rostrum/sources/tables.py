@@ -10,15 +10,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over all cores when its files leave at least half of them idle.
 
+    ``keys`` identify a row, so that no value of one of them gathers in a task.
+
     A small table may be one row group, which one task reads; work that costs
     much per row should not stay there. A larger table is returned as it is,
     so this never shuffles what the cluster is already busy with.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores, *keys) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
