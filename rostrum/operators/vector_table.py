@@ -65,11 +65,13 @@ def embed(df: DataFrame, text: str, name: str = "vector",
 
 def usable(df: DataFrame, vector: str = "vector", size: int = VECTOR_WIDTH) -> DataFrame:
     """Points that may be stored: empty vectors skipped, a wrong width is an error."""
-    checked = F.when(
-        width(F.col(vector)) != size,
-        F.raise_error(F.concat(F.lit("vector width is not "), F.lit(size))),
+    w = width(F.col(vector))
+    # Says by itself that empty vectors pass, since filters may be reordered.
+    fits = F.when(
+        (w > 0) & (w != size),
+        F.raise_error(F.concat(F.lit("vector width is not "), F.lit(size))).cast("boolean"),
     ).otherwise(F.lit(True))
-    return df.where(width(F.col(vector)) > 0).where(checked.cast("boolean"))
+    return df.where((w > 0) & fits)
 
 
 def contract_report(df: DataFrame, job: str, vector: str, size: int) -> DataFrame:
@@ -88,4 +90,4 @@ def contract_report(df: DataFrame, job: str, vector: str, size: int) -> DataFram
 
 def write_points(points: DataFrame, path: str, job: str = "job_id", **options) -> None:
     """Appended, not replaced: last write wins when read through ``latest_points``."""
-    write_by_job(points, path, job, "id", **options)
+    write_by_job(points, path, job, **options)

@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 JOB_BUCKETS = 256
-SPREAD = 16
 
 
 def job_bucket(job: Column, buckets: int = JOB_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(job.cast("string")), F.lit(buckets)).cast("int")
 
 
-def write_by_job(df: DataFrame, path: str, job: str, spread_by: str,
-                 buckets: int = JOB_BUCKETS, mode: str = "append") -> None:
-    """Parquet partitioned by a bucket of the meeting key.
+def write_by_job(df: DataFrame, path: str, job: str, buckets: int = JOB_BUCKETS,
+                 mode: str = "append") -> None:
+    """Parquet partitioned by a bucket of the meeting key, sorted by meeting.
 
-    Rows of a bucket are spread over ``SPREAD`` tasks by another column, so a
-    large meeting is written by many tasks and files.
+    Rebalancing gives each task an even share of the rows: the bucket of a large
+    meeting is cut over many tasks and files, small buckets share a task. The
+    order lets a read of one meeting skip the row groups of others.
     """
     (
         df.withColumn("job_bucket", job_bucket(F.col(job), buckets))
-        .repartition("job_bucket", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)))
+        .hint("rebalance", F.col("job_bucket"))
+        .sortWithinPartitions("job_bucket", job)
         .write.mode(mode).partitionBy("job_bucket").parquet(path)
     )
 

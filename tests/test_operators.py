@@ -172,7 +172,7 @@ def test_full_transcript_default(spark, tmp_path):
     got = {r.job: (r.n_chunks, r.transcript) for r in transcript.full_transcripts(jobs, said, "job", ["n"]).collect()}
     assert got == {"a": (2, "hello world"), "b": (0, NO_TRANSCRIPT)}
     appended = transcript.append_fragments(said, "job", ["n"])
-    write_by_job(appended, str(tmp_path / "t"), "job", "part_no")
+    write_by_job(appended, str(tmp_path / "t"), "job")
     appended = read_by_job(spark, str(tmp_path / "t"), "job")
     assert [r.chunks for r in transcript.transcript_of(appended, "job", "a").collect()] == [["hello", "world"]]
     assert transcript.transcript_of(appended, "job", "b").count() == 0
