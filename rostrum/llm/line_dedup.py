@@ -200,9 +200,9 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                           left: str = "lines_left") -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and ``left``: how many
-    lines with words remain. Blank lines stay. A text that loses nothing is
+                           left: str = "lines_left", lost: str = "lines_lost") -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text``, and ``left`` and ``lost``:
+    how many lines with words remain and went. Blank lines stay. A text that loses nothing is
     unchanged; null texts and rows without ``doc_id`` are returned as they are."""
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
@@ -212,10 +212,10 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
         "kept", F.coalesce("kept", F.array().cast("array<int>")))
     lines = lines_of(F.col("_text"))
     stay = F.array_sort(F.array_union("kept", _blank_lines(lines)))
-    unknown = F.col("_id").isNull() | F.col("_text").isNull()
-    total = F.size(F.filter(lines, lambda x: folded(x) != ""))
-    new = F.when(unknown | (F.size("kept") >= total), F.col("_text")).otherwise(
+    total = F.coalesce(F.size(F.filter(lines, lambda x: folded(x) != "")), F.lit(0))
+    remain = F.when(F.col("_id").isNull(), total).otherwise(F.least(F.size("kept"), total))
+    new = F.when(F.col("_text").isNull() | (remain >= total), F.col("_text")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return joined.select(
         *[new.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns],
-        F.when(unknown, F.coalesce(total, F.lit(0))).otherwise(F.size("kept")).alias(left))
+        remain.alias(left), (total - remain).alias(lost))

@@ -4,20 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.llm import jaccard_join, line_dedup
+from rostrum.llm import jaccard_join, line_dedup, mixing, packing, toxicity
 from rostrum.llm.common import documents
+from rostrum.sources.tables import read_table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(documents(spark, sf_dir))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op8_line_dedup)
+    f.__name__: f for f in (
+        op1_ngram_jaccard_join, op4_packing, op5_mixing, op7_toxicity, op8_line_dedup,
+    )
 }
+
+ORACLES: dict[str, str] = {}
