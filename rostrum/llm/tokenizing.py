@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,18 @@ import pyarrow.compute as pc
 KNOWN_WORDS = 300_000  # kept per Python worker; then the table starts anew
 
 
+# A word of plain letters, with a mark after it or not: its ids are those of its
+# letters in lower case, and those of the mark.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_MARKS = {"": 0, ".": 1, ",": 2}
+
+
 class WordTokens:
     """Encodes each different word once.
 
-    Holds for tokenizers whose pre-tokenization can't make a piece that spans a
-    space or a line feed, which are the only places where texts are cut here.
+    Holds for tokenizers that lower-case, and whose pre-tokenization can't make a
+    piece that spans a space or a line feed, which are the only places where texts
+    are cut here, and parts letters from marks.
     """
 
     def __init__(self, path: str) -> None:
@@ -29,13 +37,15 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
+        self.codes: dict[str, int] = {}  # word -> 3 * place of its letters + mark
         self.place: dict[str, int] = {}
         self.first = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.int32)
         self.used = 0
+        self._encode(list(_MARKS))
 
-    def _learn(self, words: list[str]) -> None:
+    def _encode(self, words: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum()))
@@ -50,6 +60,15 @@ class WordTokens:
         self.used += len(flat)
         self.place.update(zip(words, range(at, at + n)))
 
+    def _learn(self, words: list[str]) -> None:
+        parts = [(m[1].lower(), _MARKS[m[2]]) if (m := _PLAIN.fullmatch(w)) else (w, 0)
+                 for w in words]
+        place = self.place
+        new = list(dict.fromkeys(core for core, _ in parts if core not in place))
+        if new:
+            self._encode(new)
+        self.codes.update((w, 3 * place[core] + mark) for w, (core, mark) in zip(words, parts))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts, ids per text)``; a null text is empty."""
         spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
@@ -57,21 +76,22 @@ class WordTokens:
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         encoded = lists.flatten().dictionary_encode()
         words = encoded.dictionary.to_pylist()
-        if len(self.place) + len(words) > KNOWN_WORDS:
+        if len(self.codes) + len(words) > KNOWN_WORDS:
             self.forget()
-        place = self.place
-        new = [w for w in words if w not in place]
+        codes = self.codes
+        new = [w for w in words if w not in codes]
         if new:
             self._learn(new)
-        at = np.fromiter((place[w] for w in words), np.int64, len(words))
-        at = at[encoded.indices.to_numpy(zero_copy_only=False)]
+        code = np.fromiter((codes[w] for w in words), np.int64, len(words))
+        code = code[encoded.indices.to_numpy(zero_copy_only=False)]
+        at = np.column_stack([code // 3, code % 3]).ravel()  # letters, mark, letters, mark
         lengths = self.length[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.ids[np.repeat(self.first[at] - ends + lengths, lengths) + np.arange(total)]
         owner = np.repeat(np.arange(len(counts)), counts)
-        per_text = np.bincount(owner, lengths, len(counts)).astype(np.int64)
-        return flat, per_text
+        per_word = lengths[0::2] + lengths[1::2]
+        return flat, np.bincount(owner, per_word, len(counts)).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=1)
