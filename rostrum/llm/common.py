@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.sources.tables import read_table
@@ -52,6 +53,17 @@ def groups_in_order(
         yield pa.Table.from_batches(held)
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``limit`` bytes of text, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def group_starts(rows, keys: list[str]) -> np.ndarray:
     """Positions at which a new group of equal, non-null integer keys begins."""
     new = np.zeros(rows.num_rows, dtype=bool)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rostrum.llm.common import id_and_text
+from rostrum.llm.common import by_bytes, id_and_text
 from rostrum.llm.tokenizing import word_tokens
 from rostrum.session import stage
 
@@ -153,8 +153,7 @@ def _tokenize(path: str, end_id: int, window: int):
         width = "<u2" if tokens.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         rests, full = np.zeros(window, np.int64), 0
         for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                batch = whole.slice(begin, 500)
+            for batch in by_bytes(whole, "text", 8 << 20):
                 flat, counts = tokens.encode(batch.column("text"))
                 ends = np.cumsum(counts)
                 small = flat.astype(width)

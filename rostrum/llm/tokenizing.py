@@ -10,12 +10,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KNOWN_WORDS = 300_000  # kept per Python worker; then the table starts anew
+KNOWN_WORDS = 1_000_000  # kept per Python worker; then the table starts anew
 
 
 # A word of plain letters, with a mark after it or not: its ids are those of its
 # letters in lower case, and those of the mark.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_LOWER = re.compile("[a-zß-öø-ÿ]+")
+# Byte-level vocabularies write bytes that print as nothing as characters from 256 on.
+_BYTES = {b: chr(256 + i) for i, b in enumerate(
+    b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 _MARKS = {"": 0, ".": 1, ",": 2}
 
 
@@ -34,19 +38,27 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.forget()
 
     def forget(self) -> None:
         self.codes: dict[str, int] = {}  # word -> 3 * place of its letters + mark
         self.place: dict[str, int] = {}
-        self.first = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
+        self.first = np.zeros(1 << 16, np.int32)
+        self.length = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.int32)
         self.used = 0
         self._encode(list(_MARKS))
 
     def _encode(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """What is Latin letters in lower case is one piece as it stands, and goes to the
+        model at once, its bytes as characters; the rest takes all steps before it."""
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTES))]
+                 if _LOWER.fullmatch(w) else None for w in words]
+        others = [w for w, ids in zip(words, found) if ids is None]
+        rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        found = [next(rest).ids if ids is None else ids for ids in found]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum()))
         at, n = len(self.place), len(words)
@@ -82,13 +94,15 @@ class WordTokens:
         new = [w for w in words if w not in codes]
         if new:
             self._learn(new)
-        code = np.fromiter((codes[w] for w in words), np.int64, len(words))
+        code = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
         code = code[encoded.indices.to_numpy(zero_copy_only=False)]
         at = np.column_stack([code // 3, code % 3]).ravel()  # letters, mark, letters, mark
         lengths = self.length[at]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(self.first[at] - ends + lengths, lengths) + np.arange(total)]
+        place = np.repeat(self.first[at] - ends + lengths, lengths)
+        place += np.arange(total, dtype=np.int32)
+        flat = self.ids[place]
         owner = np.repeat(np.arange(len(counts)), counts)
         per_word = lengths[0::2] + lengths[1::2]
         return flat, np.bincount(owner, per_word, len(counts)).astype(np.int64)
