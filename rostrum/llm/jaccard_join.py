@@ -361,6 +361,7 @@ def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         F.col("doc_id").alias("_keep")).distinct()
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.col(doc_id).cast("bigint").alias("_keep"), F.col(text).cast("string").alias("_text"))
+        F.col(doc_id).cast("bigint").alias("_keep"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     one = whole.join(kept, "_keep").groupBy("_keep").agg(F.min_by("_row", "_text").alias("_row"))
     return one.select("_row.*").unionByName(whole.where("_keep is null").select("_row.*"))

@@ -93,7 +93,7 @@ class Duels:
     def __init__(self, names: list[str], machines: dict[tuple[str, str], tuple]) -> None:
         self.names = names
         self.pairs = [(names.index(a), names.index(b)) for a, b in machines]
-        self.weights = np.array([w for w, _ in machines.values()]).reshape(len(machines), -1)
+        self.weights = np.array([w for w, _ in machines.values()]).reshape(len(machines), WIDTH)
         self.shift = np.array([c for _, c in machines.values()])
 
     def decide(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
