@@ -36,9 +36,17 @@ def create_chats(prompts: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
 
 
-def answer_chats(chats: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Chat rows with the answers of ``answers(keys, answer)`` filled in."""
-    return chats.join(answers.select(*keys, "answer"), keys, "left").select(
+def answer_chats(
+    chats: DataFrame, answers: DataFrame, keys: list[str], order: str | None = None
+) -> DataFrame:
+    """Chat rows with the answers of ``answers(keys, answer)`` filled in.
+
+    A chat that is answered again keeps its last answer by ``order``; without an
+    order, and among ties, the greatest one.
+    """
+    rank = F.struct(order, "answer") if order else F.col("answer")
+    last = answers.groupBy(*keys).agg(F.max_by("answer", rank).alias("answer"))
+    return chats.join(last, keys, "left").select(
         *keys, "user_chat", F.coalesce("answer", "ai_chat").alias("ai_chat")
     )
 

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rostrum.functions.binding import let
 from rostrum.functions.jsontext import strict_json
-from rostrum.operators.lookup import lookup
 from rostrum.schemas import FRAME
 
-PART_FRAMES = 4096
 PREFIX = "data: "
 
 
@@ -33,13 +31,11 @@ def ends_answer() -> Column:
     return (body == "[DONE]") | F.coalesce(event == "stream_end", F.lit(False))
 
 
-def rebuild_answers(
-    frames: DataFrame, keys: list[str], seq: str = "seq", part_frames: int = PART_FRAMES
-) -> DataFrame:
-    """``keys, part_no, text``: texts before the first end frame, in order.
+def rebuild_answers(frames: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """``keys, text``: the texts before the first end frame, in order, one row an answer.
 
-    A log is assembled in parts of ``part_frames`` sequence numbers, so a log of
-    any length is spread over tasks; an ordinary answer is one part.
+    The log is read once: end and texts come from one grouping. An answer is as
+    long as its model may speak, so it fits a row whatever the log holds beside it.
     """
     # Cheap tests on the raw line first: only lines that may matter are parsed.
     # A JSON escape could hide the name of the event.
@@ -47,25 +43,17 @@ def rebuild_answers(
         F.col("line").contains("stream_end") | F.col("line").contains("[DONE]")
         | F.col("line").contains("\\u")
     )
-    ends = (
-        frames.where(may_end).groupBy(*keys)
-        .agg(F.min(F.when(ends_answer(), F.col(seq))).alias("_end"))
-        .where(F.col("_end").isNotNull())
-    )
-    part = F.floor(F.col(seq) / part_frames).cast("bigint")
     # collect_list leaves out the nulls of lines without a text.
     said = let(
         frame_text(), lambda t: F.when(t.isNotNull(), F.struct(F.col(seq).alias("s"), t.alias("t")))
     )
-    parts = (
-        frames.where(F.col("line").contains("{"))
-        .groupBy(*keys, part.alias("part_no"))
-        .agg(F.array_sort(F.collect_list(said)).alias("_said"))
-    )
     heard = F.filter("_said", lambda x: F.col("_end").isNull() | (x["s"] < F.col("_end")))
     return (
-        lookup(parts, ends, keys, "part_no")
-        .select(*keys, "part_no", heard.alias("_said"))
+        frames.where(F.col("line").contains("{") | may_end)
+        .groupBy(*keys)
+        .agg(F.min(F.when(may_end & ends_answer(), F.col(seq))).alias("_end"),
+             F.array_sort(F.collect_list(said)).alias("_said"))
+        .select(*keys, heard.alias("_said"))
         .where(F.size("_said") > 0)
-        .select(*keys, "part_no", F.array_join(F.transform("_said", lambda x: x["t"]), "").alias("text"))
+        .select(*keys, F.array_join(F.transform("_said", lambda x: x["t"]), "").alias("text"))
     )

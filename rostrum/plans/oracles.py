@@ -432,10 +432,10 @@ SELECT conv_id, turn, attempt::BIGINT AS attempt,
   coalesce(answer, CASE WHEN failed THEN {_q(ANSWER_ERROR)} ELSE {_q(NO_ANSWER)} END) AS answer
 FROM r""",
     "stream_reassembly": """
-SELECT conv_id, turn, floor(i * 2 / 4096)::BIGINT AS part_no, string_agg(w[i + 1] || ' ', '' ORDER BY i) AS text
+SELECT conv_id, turn, string_agg(w[i + 1] || ' ', '' ORDER BY i) AS text
 FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant'),
   LATERAL (SELECT unnest(range(0, len(w))) AS i)
-GROUP BY 1, 2, 3""",
+GROUP BY 1, 2""",
     "stream_accept": f"""WITH {UPLOADS}
 SELECT user_id::VARCHAR AS job_id, {FILE_ID} AS file_id
 FROM events JOIN validated v USING (event_id) WHERE v.reject_reason IS NULL""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,15 +47,7 @@ def consume_messages(messages: DataFrame, path: str, checkpoint: str) -> Streami
 def drop_redelivered(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     """Each key once, as long as its copies arrive within ``delay`` of event time.
 
-    Deduplication shuffles every copy to the task that knows its key. Copies
-    that lie together are dropped before that, where they are read, so a message
-    delivered very often does not fill one task.
+    A copy that is late goes, and the first one that is not stays: nothing is
+    dropped before the watermark has been looked at.
     """
-
-    def first_copies(batches):
-        for batch in batches:
-            keys = batch.column(batch.schema.get_field_index(key)).to_pandas()
-            yield batch.filter(pa.array(~keys.duplicated().to_numpy()))
-
-    fewer = stream.mapInArrow(first_copies, stream.schema)
-    return fewer.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

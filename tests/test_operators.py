@@ -385,11 +385,22 @@ def test_frames(spark):
     df = spark.createDataFrame(rows, "id string, seq int, line string")
     got = {r.id: r.text for r in frames.rebuild_answers(df, ["id"]).collect()}
     assert got == {"x": "a b\né", "y": "1", "z": "open"}
-    parts = frames.rebuild_answers(df, ["id"], part_frames=2).collect()
-    joined = {}
-    for r in sorted(parts, key=lambda r: r.part_no):
-        joined[r.id] = joined.get(r.id, "") + r.text
-    assert joined == got
+
+
+def test_a_long_answer_is_one_row(spark):
+    log = spark.range(10_000).select(
+        F.lit("x").alias("id"), F.col("id").alias("seq"),
+        F.concat(F.lit('data: {"text":"'), F.col("id").cast("string"), F.lit('."}')).alias("line"))
+    (row,) = frames.rebuild_answers(log.repartition(7), ["id"]).collect()
+    assert row.text == "".join(f"{i}." for i in range(10_000))
+
+
+def test_last_answer_counts(spark):
+    made = spark.createDataFrame([(1, "q", None), (2, "p", "kept")], "id int, user_chat string, ai_chat string")
+    answers = spark.createDataFrame([(1, 1, "first"), (1, 3, "last"), (1, 2, "second")],
+                                    "id int, at int, answer string")
+    got = chats.answer_chats(made, answers, ["id"], "at").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "q", "last"), (2, "p", "kept")]
 
 
 def test_vector_contract_and_usable(spark):

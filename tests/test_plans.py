@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from rostrum.operators import chats
+from rostrum.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-BATCH = sorted(n for n in entry.queries() if not n.startswith("stream_") or n == "stream_reassembly")
+BATCH = sorted(n for n in QUERIES if not n.startswith("stream_") or n == "stream_reassembly")
 
 
 def plan_of(spark, name):
@@ -47,3 +48,8 @@ def test_scans_are_pruned_and_filtered(spark):
     plan = plan_of(spark, "drop_completed")
     assert "props" not in plan and "value" not in plan
     assert "PushedFilters: [IsNotNull(event_type), In(event_type" in plan
+
+
+def test_an_answer_log_is_read_once(spark):
+    plan = plan_of(spark, "stream_reassembly")
+    assert "Join" not in plan and plan.count("Scan parquet") <= 3  # the fixture's union

@@ -1,6 +1,7 @@
 """Streams over several micro-batches give what the batch twins give."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,21 @@ def test_redelivered_once_across_batches(spark, event_files):
     assert ids(spark.read.parquet(f"{out}/once")) == list(range(120))
 
 
+def test_a_late_copy_does_not_hide_a_timely_one(spark, tmp_path):
+    rows = [[(9, 100)], [(6, 100)], [(1, 0), (1, 101), (8, 102), (7, 1)]]
+    for k, part in enumerate(rows):
+        df = spark.createDataFrame(part, "key int, minute int")
+        df = df.select("key", F.timestamp_seconds(F.col("minute") * 60).alias("ts"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        for file in (tmp_path / "in" / str(k)).glob("*.parquet"):
+            os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))  # files are read in this order
+    read = (spark.readStream.schema("key int, ts timestamp").option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"))
+    once = intake.drop_redelivered(read, "key", "ts", "10 minutes")
+    append_files(once, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert sorted(r.key for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 6, 8, 9]
+
+
 def test_sessions_and_windows_equal_batch_when_closed(spark, event_files):
     whole, path, out = event_files
     rows = stream(spark, whole, path).withColumn("ts", F.col("ts").cast("timestamp"))
