@@ -27,6 +27,7 @@ MIN_TEXTS = 4  # toxic texts that a lexicon entry must occur in
 STEM = 5
 NEAR = 6  # words within which a second person counts as near a lexicon hit
 TREES, DEPTH = 20, 3
+KNOWN_WORDS = 200_000  # kept per task; then the table starts anew
 FEATURES = [
     "hits", "hit_density", "weight_sum", "weight_top", "weight_density", "stem_hits",
     "second_person", "second_near_hit", "capital_words", "capital_letters", "exclamation",
@@ -79,8 +80,8 @@ def lexicon(labelled: DataFrame, size: int = LEXICON) -> dict[str, float]:
 
 
 def _features(entries: dict[str, float]):
-    """An Arrow function of texts; a word is looked at once per batch, however often
-    it occurs."""
+    """An Arrow function of texts; a word is looked at once per task, as long as no more
+    than ``KNOWN_WORDS`` are met, however often it occurs."""
     second = set(SECOND_PERSON)
     table = str.maketrans(LOOKALIKES)
 
@@ -104,16 +105,32 @@ def _features(entries: dict[str, float]):
                 sum(not c.isalnum() for c in word),
                 "!!" in word or "??" in word or "!?" in word)
 
+    place: dict[str, int] = {}
+    known = np.zeros((1 << 12, 12))
+
+    def about(words: list[str]) -> np.ndarray:
+        nonlocal known
+        if len(place) + len(words) > KNOWN_WORDS:
+            place.clear()
+        new = [w for w in words if w not in place]
+        at = len(place)
+        place.update(zip(new, range(at, at + len(new))))
+        if len(place) > len(known):
+            known = np.concatenate([known, np.zeros((max(len(known), len(new)), 12))])
+        if new:
+            known[at:at + len(new)] = [describe(w) for w in new]
+        return known[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
+
     def run(texts: pa.Array) -> pa.Array:
         parts = [np.zeros((0, len(FEATURES)))]
-        for start in range(0, len(texts), 1000):
-            lists = pc.utf8_split_whitespace(pc.fill_null(texts.slice(start, 1000), ""))
+        for start in range(0, len(texts), 2000):
+            lists = pc.utf8_split_whitespace(pc.fill_null(texts.slice(start, 2000), ""))
             counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             encoded = lists.flatten().dictionary_encode()
             words = encoded.dictionary.to_pylist()
             index = encoded.indices.to_numpy(zero_copy_only=False)
-            about = np.array([describe(w) for w in words], float).reshape(-1, 12)
-            parts.append(_dense(about, index, counts, np.array([w != "" for w in words], float)))
+            parts.append(_dense(about(words), index, counts,
+                                np.array([w != "" for w in words], float)))
         rows = np.concatenate(parts)
         offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES))
         return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
