@@ -37,6 +37,11 @@ def folded(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
 
 
+def has_words(line: Column) -> Column:
+    """Whether a line has anything but white space, so that ``folded`` isn't empty."""
+    return line.rlike(r"\S")
+
+
 def _word_count(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
@@ -59,7 +64,7 @@ def first_lines(known: DataFrame) -> DataFrame:
     """Each different line once: ``doc_id, line_no`` of the earliest, and its ends."""
     lines = (
         known.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
-        .withColumn("line", folded(F.col("line"))).where("line != ''")
+        .where(has_words(F.col("line"))).withColumn("line", folded(F.col("line")))
         .withColumn("words", _word_count(F.col("line")))
         .withColumn("p", F.expr("cast(pow(2, floor(log2(greatest(words, 2) / 2))) as int)"))
     )
@@ -184,7 +189,7 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def _blank_lines(lines: Column) -> Column:
     return F.filter(
         F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)),
-        lambda i: folded(F.get(lines, i)) == "")
+        lambda i: ~has_words(F.get(lines, i)))
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,7 +198,7 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     own = id_and_text(docs, doc_id, text)
     lines = lines_of(F.col("text"))
     counted = own.select("doc_id", F.coalesce(
-        F.size(F.filter(lines, lambda x: folded(x) != "")), F.lit(0)).alias("n_lines"))
+        F.size(F.filter(lines, has_words)), F.lit(0)).alias("n_lines"))
     return counted.join(kept_lines(docs, doc_id, text), "doc_id", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("kept"), F.lit(0)).alias("n_kept"),
         F.coalesce(F.concat_ws(",", F.col("kept").cast("array<string>")), F.lit("")).alias("kept"))
@@ -212,7 +217,7 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
         "kept", F.coalesce("kept", F.array().cast("array<int>")))
     lines = lines_of(F.col("_text"))
     stay = F.array_sort(F.array_union("kept", _blank_lines(lines)))
-    total = F.coalesce(F.size(F.filter(lines, lambda x: folded(x) != "")), F.lit(0))
+    total = F.coalesce(F.size(F.filter(lines, has_words)), F.lit(0))
     remain = F.when(F.col("_id").isNull(), total).otherwise(F.least(F.size("kept"), total))
     new = F.when(F.col("_text").isNull() | (remain >= total), F.col("_text")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
