@@ -64,7 +64,7 @@ def drop_completed(jobs: DataFrame, meeting_rows: DataFrame, spread: str = "even
 
 def drop_late(
     slices: DataFrame, stops: DataFrame, grace: str = "0 seconds", spread: str = "event_id",
-    stored: bool = False,
+    stored: bool = False, ts: str = "ts",
 ) -> DataFrame:
     """Slices taken no later than their meeting's end, plus ``grace``.
 
@@ -73,6 +73,6 @@ def drop_late(
     limit = F.col("stop_ts") + F.expr(f"interval {grace}")
     return (
         lookup(slices, stops, ["job_id"], spread, stored=stored)
-        .where(F.col("stop_ts").isNull() | (F.col("ts") <= limit))
+        .where(F.col("stop_ts").isNull() | (F.col(ts) <= limit))
         .drop("stop_ts")
     )

@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from rostrum.session import stage
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 8
 
 
+def payload_bytes(table: DataFrame) -> int:
+    """Bytes of all values: the length of what varies, 8 for what does not."""
+    def width(field: T.StructField):
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)) + 8
+        return F.lit(8)
+
+    total = sum((width(f) for f in table.schema.fields), F.lit(0)).cast("bigint")
+    return table.agg(F.sum(total)).first()[0] or 0
+
+
 def lookup(
     facts: DataFrame, dim: DataFrame, keys: list[str], spread: str, how: str = "left",
-    stored: bool = False, broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS,
+    stored: bool = False, broadcast_bytes: int = BROADCAST_BYTES, salts: int = SALTS,
 ) -> DataFrame:
     """``facts`` joined with ``dim``, a narrow table with one row per key.
 
     The lookup table is mostly the result of a grouping; it is written once, so
     that its size is known before the join is planned (``stored`` leaves that
-    out for what is a table already, or cheap enough to be made twice). Up to ``broadcast_rows`` rows it is broadcast,
+    out for what is a table already, or cheap enough to be made twice). Up to
+    ``broadcast_bytes`` of values, keys of any width included, it is broadcast,
     and the facts with their texts are not shuffled at all. AQE would measure it
     too, but only once the facts were shuffled.
 
@@ -30,7 +45,7 @@ def lookup(
     after the join depends on its partitioning.
     """
     table = dim if stored else stage(dim, "lookup")
-    if table.count() <= broadcast_rows:
+    if payload_bytes(table) <= broadcast_bytes:
         return facts.join(F.broadcast(table), keys, how)
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -8,33 +8,23 @@ by key. Both paths give the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rostrum.session import stage
 
 ROWS_PER_TASK = 250_000
-# The list of hot keys is held by the driver, so its length is bounded. With
-# more keys than this above the limit, none of the others is larger than a
-# ten-thousandth of the table.
-MAX_HOT_KEYS = 10_000
-
-
-def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> list:
-    """Keys with more rows than one task should sort. Reads the key column only."""
-    rows = (
-        df.groupBy(key).agg(F.count("*").alias("n"))
-        .where(F.col("n") > rows_per_task)
-        .orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
-        .collect()
-    )
-    return [r[key] for r in rows]
 
 
-def is_any_of(key: str, values: list) -> Column:
-    """Null-safe membership: never null itself."""
-    known = [v for v in values if v is not None]
-    hit = F.coalesce(F.col(key).isin(known), F.lit(False)) if known else F.lit(False)
-    return hit | F.col(key).isNull() if len(known) < len(values) else hit
+def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more rows than one task should sort, as a written table ``_hot``.
+
+    Reads the key column only. The driver sees none of the keys, and there may
+    be any number of them.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    return stage(
+        counts.where(F.col("_n") > rows_per_task).select(F.col(key).alias("_hot")), "hot-keys"
+    )
 
 
 def split_hot(
@@ -44,12 +34,15 @@ def split_hot(
 
     ``counted`` may hold more rows than ``df`` when it is cheaper to count, as a
     table is before a filter that reads its texts.
+
+    The table of hot keys is small, so the size of its files lets Spark
+    broadcast it; if it is not, AQE splits the skewed side of the join.
     """
     hot = hot_keys(counted if counted is not None else df, key, rows_per_task)
-    if not hot:
+    if hot.isEmpty():
         return df, None
-    member = is_any_of(key, hot)
-    return df.where(~member), df.where(member)
+    member = F.col(key).eqNullSafe(F.col("_hot"))
+    return df.join(hot, member, "left_anti"), df.join(hot, member, "left_semi")
 
 
 def _number_by_range(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:

@@ -8,8 +8,6 @@ from rostrum.functions.text import is_blank
 from rostrum.limits import NO_TRANSCRIPT
 from rostrum.operators.ordering import ROWS_PER_TASK, number_rows
 
-PART_FRAGMENTS = 512
-
 
 def number_chunks(
     slices: DataFrame, job: str, order: list[str], rows_per_task: int = ROWS_PER_TASK
@@ -20,55 +18,46 @@ def number_chunks(
 
 def append_fragments(
     fragments: DataFrame, job: str, order: list[str], text: str = "text",
-    part_fragments: int = PART_FRAGMENTS, rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Ordered text fragments per meeting: ``job, part_no, n_chunks, chunks``.
+    """Ordered text fragments: ``job, chunk_no, text``, counted from 1 per meeting.
 
-    Blank fragments are not appended. A meeting fills parts of
-    ``part_fragments`` fragments each, numbered from 0, so no row or task holds
-    more than one part however long the meeting is; a meeting of ordinary
-    length is one row. Its transcript is its parts in order.
+    Blank fragments are not appended. A fragment is a row however long its
+    meeting is, so no row grows with a meeting; ``transcript_of`` makes the
+    text of one.
     """
     spoken = fragments.where(~is_blank(F.col(text))).select(job, *order, text)
-    numbered = number_rows(spoken, job, order, "_n", rows_per_task, counted=fragments)
-    part = F.floor((F.col("_n") - 1) / part_fragments).cast("bigint")
-    return (
-        numbered.groupBy(job, part.alias("part_no"))
-        .agg(F.array_sort(F.collect_list(F.struct("_n", F.col(text).alias("t")))).alias("_c"))
-        .select(
-            job, "part_no",
-            F.size("_c").cast("bigint").alias("n_chunks"),
-            F.transform("_c", lambda x: x["t"]).alias("chunks"),
-        )
-    )
+    numbered = number_rows(spoken, job, order, "chunk_no", rows_per_task, counted=fragments)
+    return numbered.select(job, "chunk_no", F.col(text).alias("text"))
 
 
 def full_transcripts(
     jobs: DataFrame, fragments: DataFrame, job: str, order: list[str], text: str = "text",
-    part_fragments: int = PART_FRAGMENTS, rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Every meeting's text, fragments joined by one space, or the default sentence.
+    """Every meeting's fragments in order, or the default sentence as number 0.
 
-    ``job, part_no, n_chunks, transcript``; the parts of a meeting are joined
-    by one space too. Meetings without text are found by an anti join on keys,
-    so the text itself is not shuffled again.
+    ``job, chunk_no, text``. Meetings without text are found by an anti join on
+    keys, so the text itself is not shuffled again.
     """
-    spoken = append_fragments(fragments, job, order, text, part_fragments, rows_per_task).select(
-        job, "part_no", "n_chunks", F.array_join("chunks", " ").alias("transcript")
-    )
+    spoken = append_fragments(fragments, job, order, text, rows_per_task)
     heard = fragments.where(~is_blank(F.col(text))).select(job).distinct()
     silent = jobs.select(job).distinct().join(heard, job, "left_anti").select(
-        job,
-        F.lit(0).cast("bigint").alias("part_no"),
-        F.lit(0).cast("bigint").alias("n_chunks"),
-        F.lit(NO_TRANSCRIPT).alias("transcript"),
+        job, F.lit(0).cast("bigint").alias("chunk_no"), F.lit(NO_TRANSCRIPT).alias("text"),
     )
     return spoken.unionByName(silent)
 
 
 def transcript_of(appended: DataFrame, job: str, job_value) -> DataFrame:
-    """The stored fragments of one meeting, without its key; no rows when absent."""
-    return appended.where(F.col(job) == job_value).orderBy("part_no").drop(job)
+    """The text of one meeting, ``job, n_chunks, transcript``; no row when absent.
+
+    Fragments are joined by one space.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "text")))
+    return appended.where(F.col(job) == job_value).groupBy(job).agg(
+        F.count("*").alias("n_chunks"),
+        F.array_join(F.transform(ordered, lambda f: f["text"]), " ").alias("transcript"),
+    )
 
 
 def job_progress(slices: DataFrame, job: str) -> DataFrame:

@@ -30,12 +30,16 @@ RECORDING = ["job_id", "event_id", "ts", "file_name"]
 
 
 def _points(cut: DataFrame) -> DataFrame:
-    """Points of chunk rows that carry their recording's columns."""
-    return chunks.features(vector_table.transcript_points(cut.select(
+    """Points of chunk rows that carry their recording's columns.
+
+    A chunk without a letter has an empty vector; it is text, but no point.
+    """
+    points = chunks.features(vector_table.transcript_points(cut.select(
         "job_id", F.col("event_id").alias("source_id"), "chunk_idx",
         "text", "summary", F.col("file_name").alias("original_file_name"),
         "ts", F.col("event_id").alias("seq"),
     )))
+    return points.where(F.size("vector") > 0)
 
 
 def store_recordings(timely: DataFrame) -> RecordingTables:

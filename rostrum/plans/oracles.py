@@ -144,7 +144,8 @@ def _features(name: str, source: str, keys: str, text: str) -> str:
 {name}_norm AS (SELECT {keys}, sqrt(sum(tf * tf)) AS norm FROM {name} GROUP BY ALL)"""
 
 
-def _hits(name: str, prompts: str, candidates: str, k: int) -> str:
+def _hits(name: str, prompts: str, candidates: str, k: int, before: bool = True) -> str:
+    earlier = "c{0}.turn < p{0}.prompt_turn" if before else "true"
     return f"""{name} AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (
@@ -153,11 +154,11 @@ def _hits(name: str, prompts: str, candidates: str, k: int) -> str:
       SELECT pn.conv_id, pn.prompt_turn, cn.turn,
         round(coalesce(d.dot, 0) / (pn.norm * cn.norm), 6) AS score
       FROM {prompts}_norm pn
-      JOIN {candidates}_norm cn ON cn.conv_id = pn.conv_id AND cn.turn < pn.prompt_turn
+      JOIN {candidates}_norm cn ON cn.conv_id = pn.conv_id AND {earlier.format('n')}
       LEFT JOIN (
         SELECT p.conv_id, p.prompt_turn, c.turn, sum(p.tf * c.tf)::DOUBLE AS dot
         FROM {prompts} p JOIN {candidates} c ON c.conv_id = p.conv_id AND c.bucket = p.bucket
-        WHERE c.turn < p.prompt_turn GROUP BY ALL) d
+        WHERE {earlier.format('')} GROUP BY ALL) d
       ON d.conv_id = pn.conv_id AND d.prompt_turn = pn.prompt_turn AND d.turn = cn.turn))
   WHERE rank <= {k})"""
 
@@ -292,15 +293,35 @@ FROM (SELECT job_id, ts, sum(opens) OVER (PARTITION BY job_id ORDER BY ts ROWS U
       THEN 0 ELSE 1 END AS opens FROM events))
 GROUP BY job_id, seg""",
     "transcript_append": """
-SELECT conv_id, 0::BIGINT AS part_no, count(*) AS n_chunks,
-  to_json(list(text ORDER BY turn))::VARCHAR AS chunks_json
-FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S') GROUP BY 1""",
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS chunk_no, text
+FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S')""",
     "full_transcript": f"""
-SELECT c.conv_id, 0::BIGINT AS part_no, coalesce(t.n, 0) AS n_chunks,
-  coalesce(t.transcript, {_q(NO_TRANSCRIPT)}) AS transcript
-FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (
-  SELECT conv_id, count(*) AS n, string_agg(text, ' ' ORDER BY turn) AS transcript
-  FROM conversations WHERE role = 'assistant' AND regexp_matches(text, '\\S') GROUP BY 1) t USING (conv_id)""",
+WITH heard AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS chunk_no, text
+  FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S'))
+SELECT c.conv_id, coalesce(h.chunk_no, 0) AS chunk_no, coalesce(h.text, {_q(NO_TRANSCRIPT)}) AS text
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN heard h USING (conv_id)""",
+    "one_transcript": """
+SELECT conv_id, count(*) AS n_chunks, string_agg(text, ' ' ORDER BY turn) AS transcript
+FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S')
+  AND conv_id = (SELECT min(conv_id) FROM conversations WHERE role <> 'system') GROUP BY 1""",
+    "running_progress": """
+SELECT conv_id, count(*) AS n_fragments, sum(length(text))::BIGINT AS n_chars
+FROM conversations WHERE role <> 'system' GROUP BY 1""",
+    "stored_points": f"""{WITH_CHUNKS}
+SELECT d.source AS job_id, count(*) AS n, 0::BIGINT AS n_empty, 0::BIGINT AS n_wrong_width,
+  0::BIGINT AS n_no_direction, count(*) AS n_usable, false AS none_left
+FROM chunks c JOIN documents d USING (doc_id) WHERE regexp_matches(c.text, '\\p{{L}}') GROUP BY 1""",
+    "dense_embedding": f"""WITH {_features('f', 'conversations', 'conv_id, turn', 'text')}
+SELECT conv_id, turn, bucket, 768::BIGINT AS width, round((tf / norm)::FLOAT::DOUBLE, 6) AS weight
+FROM f JOIN f_norm USING (conv_id, turn)""",
+    "one_search": """
+WITH asked AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1)
+SELECT * FROM (
+  SELECT e.label::BIGINT AS job_id, e.vec_id,
+    round(list_cosine_similarity(a.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings e JOIN asked a ON a.label = e.label)
+ORDER BY score DESC, vec_id LIMIT 5""",
     "chat_pairs": f"WITH {PAIRS} SELECT conv_id, turn, user_chat, ai_chat FROM pairs",
     "chat_answer_update": """
 SELECT u.conv_id, u.turn, u.text AS user_chat, a.text AS ai_chat FROM conversations u
@@ -391,6 +412,9 @@ SELECT job_id, prompt_id, vec_id, rank, score FROM (
     FROM embeddings p JOIN embeddings c ON c.label = p.label AND c.vec_id <> p.vec_id))
 WHERE rank <= 5""",
     "text_topk": f"""WITH {PROMPTS}, {PROMPT_FEATURES}, {SNIPPETS}
+SELECT conv_id, prompt_turn, turn, rank, score FROM snippet_hits""",
+    "text_topk_all": f"""WITH {PROMPTS}, {PROMPT_FEATURES}, {_features("sf", "spoken", "conv_id, turn", "text")},
+{_hits("snippet_hits", "pf", "sf", 5, before=False)}
 SELECT conv_id, prompt_turn, turn, rank, score FROM snippet_hits""",
     "topk_chats": f"""WITH {PROMPTS}, {PROMPT_FEATURES}, {CHAT_HITS}
 SELECT conv_id, prompt_turn, turn, rank, score FROM chat_hits""",
@@ -445,21 +469,14 @@ SELECT user_id::VARCHAR AS job_id, {FILE_ID} AS file_id, {NAME} AS file_name,
 FROM events JOIN validated v USING (event_id) WHERE v.reject_reason IS NULL""",
     "stream_dedup": "SELECT event_id, user_id AS job_id FROM events",
     "stream_transcript": """
-SELECT conv_id, 0::BIGINT AS part_no, count(*) AS n_chunks,
-  md5(string_agg(text, ' ' ORDER BY turn)) AS transcript_md5
-FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S') GROUP BY 1""",
-    # The last windows stay open: the watermark trails the newest event.
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS chunk_no, md5(text) AS text_md5
+FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S')""",
     "stream_slices": """
-SELECT * FROM (
-  SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, user_id AS job_id, count(*) AS n
-  FROM events GROUP BY 1, 2)
-WHERE window_start + INTERVAL 10 MINUTE
-  <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)""",
+SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, user_id AS job_id, count(*) AS n
+FROM events GROUP BY 1, 2""",
 }
 ORACLES["stream_late_drop"] = ORACLES["late_drop"]
-ORACLES["stream_sessions"] = f"""
-SELECT * FROM ({ORACLES["pause_segments"]})
-WHERE segment_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"""
+ORACLES["stream_sessions"] = ORACLES["pause_segments"]
 ORACLES["recording_points"] = f"""{WITH_CHUNKS},
 recorded AS (
   SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS ts, n_chars % 50 = 0 AS stops
@@ -475,7 +492,7 @@ timely AS (
 SELECT sha256(t.source || '|' || c.doc_id || '|' || c.chunk_idx) AS id, t.source AS job_id,
   'rec-' || c.doc_id || '.webm' AS filename, t.ts AS upload_timestamp, md5(c.text) AS text_md5, c.summary,
   (SELECT count(*) FROM cf WHERE cf.doc_id = c.doc_id AND cf.chunk_idx = c.chunk_idx) AS n_buckets
-FROM summarised c JOIN timely t USING (doc_id)"""
+FROM summarised c JOIN timely t USING (doc_id) WHERE n_buckets > 0"""
 ORACLES["stream_recordings"] = ORACLES["recording_points"]
 ORACLES["cleaned_points"] = f"""WITH {CLEAN_CHUNKS},
 bodies AS (
@@ -492,4 +509,4 @@ SELECT sha256(k.conv_id || '|' || k.turn || '|' || k.chunk_idx) AS id, k.conv_id
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(k.turn) AS upload_timestamp,
   md5(k.refined_text) AS text_md5, k.summary, count(f.bucket) AS n_buckets
 FROM kept k LEFT JOIN kf f USING (conv_id, turn, chunk_idx)
-GROUP BY k.conv_id, k.turn, k.chunk_idx, k.refined_text, k.summary"""
+GROUP BY k.conv_id, k.turn, k.chunk_idx, k.refined_text, k.summary HAVING count(f.bucket) > 0"""

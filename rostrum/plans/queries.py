@@ -10,13 +10,15 @@ from rostrum.functions.names import (
     chunk_name_parts, format_names, object_id, recording_name_time,
 )
 from rostrum.functions.text import is_blank
-from rostrum.functions.vectors import feature_norm, hashed_features
-from rostrum.limits import CHAT_HITS, HISTORY_PAGE, TRANSCRIPT_HITS
+from rostrum.functions.vectors import dense, feature_norm, hashed_features
+from rostrum.limits import CHAT_HITS, HISTORY_PAGE, TRANSCRIPT_HITS, VECTOR_WIDTH
 from rostrum.operators import (
     attempts, chats, chunks, frames, intake, lifecycle, quality, retrieval, segments,
     transcript, vector_table,
 )
 from rostrum.plans import fixtures as fx, flows
+from rostrum.session import scratch_path
+from rostrum.sources.by_job import read_by_job, write_by_job
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -230,15 +232,24 @@ def pause_segments(spark, folder):
 def transcript_append(spark, folder):
     said = fx.spoken(fx.turns(spark, folder))
     return transcript.append_fragments(said, "conv_id", ["turn"]).select(
-        "conv_id", "part_no", "n_chunks", F.to_json("chunks").alias("chunks_json")
+        "conv_id", "chunk_no", "text"
     )
 
 
 @query
 def full_transcript(spark, folder):
     tn = fx.turns(spark, folder)
-    said = tn.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    return transcript.full_transcripts(tn, said, "conv_id", ["turn"])
+    return transcript.full_transcripts(tn, fx.spoken(tn), "conv_id", ["turn"])
+
+
+@query
+def one_transcript(spark, folder):
+    """The text of the first conversation, out of a table laid out by meeting."""
+    said = fx.spoken(fx.turns(spark, folder))
+    path = scratch_path(spark, "transcripts")
+    write_by_job(transcript.append_fragments(said, "conv_id", ["turn"]), path, "conv_id")
+    wanted = said.agg(F.min("conv_id")).first()[0]
+    return transcript.transcript_of(read_by_job(spark, path, "conv_id", wanted), "conv_id", wanted)
 
 
 # ---- chat
@@ -422,9 +433,55 @@ def hash_embedding(spark, folder):
     return chunks.feature_rows(rows, ["conv_id", "turn"]).withColumn("weight", F.round("weight", 6))
 
 
+@query
+def dense_embedding(spark, folder):
+    """The non-zero items of every turn's dense vector, and its width."""
+    rows = vector_table.embed(
+        fx.spread_turns(spark, folder), "text", fn=lambda text: dense(hashed_features(text))
+    )
+    return (
+        rows.select("conv_id", "turn", F.size("vector").cast("bigint").alias("width"),
+                    F.posexplode("vector").alias("bucket", "weight"))
+        .where(F.col("weight") != 0)
+        .select("conv_id", "turn", F.col("bucket").cast("bigint").alias("bucket"), "width",
+                F.round(F.col("weight").cast("double"), 6).alias("weight"))
+    )
+
+
+@query
+def stored_points(spark, folder):
+    """Documents cut, embedded, written by meeting without empty vectors, and read back."""
+    cut = chunks.summarised(chunks.chunked(fx.spread_documents(spark, folder), ["doc_id", "source"]))
+    points = vector_table.embed(vector_table.transcript_points(cut.select(
+        F.col("source").alias("job_id"), F.col("doc_id").alias("source_id"), "chunk_idx", "text", "summary",
+        F.lit("rec.webm").alias("original_file_name"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("ts"), F.col("doc_id").alias("seq"),
+    )), "text")
+    path = scratch_path(spark, "points")
+    vector_table.write_points(vector_table.usable(points), path)
+    stored = vector_table.latest_points(read_by_job(spark, path, "job_id"))
+    return vector_table.contract_report(stored, "job_id", "vector", VECTOR_WIDTH)
+
+
 # ---- retrieval
 
 
+@query
+def one_search(spark, folder):
+    """The first vector asks its own meeting, out of a table laid out by meeting."""
+    stored = spark.read.parquet(f"{folder}/embeddings.parquet").select(
+        F.col("label").cast("bigint").alias("job_id"), "vec_id", F.col("embedding").alias("vector")
+    )
+    path = scratch_path(spark, "vectors")
+    write_by_job(stored, path, "job_id")
+    asked = stored.orderBy("vec_id").first()
+    job, vector = (asked.job_id, asked.vector) if asked else (None, [])
+    return retrieval.search(
+        read_by_job(spark, path, "job_id", job), TRANSCRIPT_HITS, job="job_id", job_value=job,
+        prompt=F.array(*map(F.lit, vector)).cast("array<double>"), candidate_id="vec_id",
+    )
+
+
 @query
 def topk_chunks(spark, folder):
     """Every vector asks for the most similar others of its meeting."""
@@ -441,12 +498,13 @@ def _prompt_vectors(tn: DataFrame) -> DataFrame:
     return chunks.features(fx.prompts(tn), "question")
 
 
-def _snippet_hits(tn: DataFrame) -> DataFrame:
-    """Fragments said before the prompt, most similar first."""
+def _snippet_hits(tn: DataFrame, before: bool = True) -> DataFrame:
+    """Fragments said before the prompt, or in all of its meeting, most similar first."""
     said = chunks.features(fx.spoken(tn))
     return retrieval.top_similar(
         _prompt_vectors(tn), said, TRANSCRIPT_HITS, job="conv_id", prompt_id="prompt_turn",
-        candidate_id="turn", prompt_order="prompt_turn", candidate_order="turn",
+        candidate_id="turn", prompt_order="prompt_turn" if before else None,
+        candidate_order="turn" if before else None,
     ).withColumnsRenamed({"prompt_id": "prompt_turn", "candidate_id": "turn"})
 
 
@@ -464,6 +522,11 @@ def text_topk(spark, folder):
     return _snippet_hits(fx.spread_turns(spark, folder))
 
 
+@query
+def text_topk_all(spark, folder):
+    return _snippet_hits(fx.spread_turns(spark, folder), before=False)
+
+
 @query
 def topk_chats(spark, folder):
     tn = fx.spread_turns(spark, folder)

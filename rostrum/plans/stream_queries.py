@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.functions.names import format_names, object_id
@@ -16,10 +18,38 @@ from rostrum.sources.tables import stream_files
 from rostrum.streaming import intake, meetings
 
 DELAY = "10 minutes"
+FILES_PER_STEP = 64  # bounds what one micro-batch takes in
+STEPS = 4
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return stream_files(spark, f"{folder}/events*.parquet", EVENTS)
+    return stream_files(spark, f"{folder}/events*.parquet", EVENTS, files_per_step=FILES_PER_STEP)
+
+
+def _shuffled(df: DataFrame, key: str) -> DataFrame:
+    """A table as a stream of ``STEPS`` micro-batches that do not follow its order."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), STEPS)
+    path = scratch_path(spark, "shuffled")
+    df.repartition(n, key).write.parquet(path)
+    return stream_files(spark, path, df.schema, files_per_step=-(-n // STEPS))
+
+
+def _closed(spark: SparkSession, folder: str, label: str, windows) -> DataFrame:
+    """All windows over the events, the last ones too.
+
+    A second run on the same checkpoint reads one event far in the future; the
+    watermark passes every window but the one of that event.
+    """
+    path = scratch_path(spark, label)
+    spark.createDataFrame([], EVENTS).write.parquet(f"{path}/closing")
+    for closing in (False, True):
+        if closing:
+            last = [(None, dt.datetime(9000, 1, 1), None, None, None, None)]
+            spark.createDataFrame(last, EVENTS).write.mode("append").parquet(f"{path}/closing")
+        rows = _events(spark, folder).unionByName(stream_files(spark, f"{path}/closing", EVENTS))
+        append_files(windows(_timed(rows)), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/rows")
 
 
 def _timed(events: DataFrame) -> DataFrame:
@@ -60,12 +90,14 @@ def stream_accept(spark, folder):
 
 @query
 def stream_ingest(spark, folder):
-    """Published messages consumed again, each stored once."""
+    """Published messages, each delivered twice, consumed once."""
     published = _accepted_messages(spark, folder)
     path = scratch_path(spark, "ingest")
-    messages = spark.readStream.option("maxFilesPerTrigger", 4).text(published)
+    messages = spark.readStream.option("maxFilesPerTrigger", 4).text(published).withColumn(
+        "value", F.explode(F.array("value", "value"))
+    )
     intake.consume_messages(messages, path, f"{path}/checkpoint").awaitTermination()
-    return read_batches(spark, f"{path}/accepted").select(
+    return intake.accepted_once(read_batches(spark, f"{path}/accepted")).select(
         "job_id", "file_id", F.col("metadata.originalFileName").alias("file_name"),
         F.col("metadata.size").alias("size_bytes"),
     )
@@ -83,52 +115,65 @@ def stream_dedup(spark, folder):
 
 @query
 def stream_late_drop(spark, folder):
+    """Slices in time, from events that come out of order."""
     path = scratch_path(spark, "late")
-    rows = fx.meeting_events(_events(spark, folder))
+    rows = _shuffled(fx.meeting_events(fx.events(spark, folder)), "event_id")
     meetings.keep_timely_slices(rows, path, f"{path}/checkpoint").awaitTermination()
-    return read_batches(spark, f"{path}/slices").select("event_id", "job_id")
+    stored = read_batches(spark, f"{path}/slices")
+    return meetings.still_timely(stored, path).select("event_id", "job_id")
 
 
 @query
 def stream_recordings(spark, folder):
     """The stored points of recordings that arrived as a stream."""
     schema = fx.documents(spark, folder).schema
-    rows = fx.recordings(stream_files(spark, f"{folder}/documents*.parquet", schema))
+    rows = fx.recordings(
+        stream_files(spark, f"{folder}/documents*.parquet", schema, files_per_step=FILES_PER_STEP)
+    )
     path = scratch_path(spark, "recordings")
     meetings.keep_timely_slices(
         rows, path, f"{path}/checkpoint", store=meetings.store_searchable
     ).awaitTermination()
-    return point_report(vector_table.latest_points(read_batches(spark, f"{path}/points")))
+    stored = vector_table.latest_points(read_batches(spark, f"{path}/points"))
+    return point_report(meetings.still_timely(stored, path, ts="upload_timestamp", spread="id"))
+
+
+@query
+def running_progress(spark, folder):
+    """What has been heard of every conversation, kept while fragments come in."""
+    rows = _shuffled(fx.spoken(fx.turns(spark, folder)), "turn")
+    path = scratch_path(spark, "progress")
+    meetings.keep_progress(rows, f"{path}/rows", f"{path}/checkpoint", "conv_id", "text").awaitTermination()
+    return meetings.latest_progress(spark, f"{path}/rows", "conv_id")
 
 
 @query
 def stream_transcript(spark, folder):
     """Transcripts assembled from fragments that arrived as a stream."""
     schema = fx.turns(spark, folder).schema
-    rows = stream_files(spark, f"{folder}/conversations*.parquet", schema)
+    rows = stream_files(spark, f"{folder}/conversations*.parquet", schema, files_per_step=FILES_PER_STEP)
     path = scratch_path(spark, "fragments")
     meetings.store_fragments(fx.spoken(rows), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     stored = read_batches(spark, f"{path}/rows")
     return transcript.append_fragments(stored, "conv_id", ["turn"]).select(
-        "conv_id", "part_no", "n_chunks", F.md5(F.array_join("chunks", " ")).alias("transcript_md5")
+        "conv_id", "chunk_no", F.md5("text").alias("text_md5")
     )
 
 
 @query
 def stream_slices(spark, folder):
-    """Ten-minute counts of the slices that are over."""
-    path = scratch_path(spark, "slices")
-    counts = meetings.slice_windows(_timed(_events(spark, folder)), "job_id", "ts", DELAY)
-    append_files(counts, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/rows").select(_local("window_start"), "job_id", "n")
+    """Ten-minute counts of all slices."""
+    rows = _closed(spark, folder, "slices", lambda e: meetings.slice_windows(e, "job_id", "ts", DELAY))
+    return rows.select(_local("window_start"), "job_id", "n")
 
 
 @query
 def stream_sessions(spark, folder):
-    """Activity between pauses, for the pauses that are certain."""
-    path = scratch_path(spark, "sessions")
-    rows = meetings.activity_sessions(_timed(_events(spark, folder)), "job_id", "ts", DELAY, PAUSE)
-    append_files(rows, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/rows").select(
+    """Activity between pauses."""
+    rows = _closed(
+        spark, folder, "sessions",
+        lambda e: meetings.activity_sessions(e, "job_id", "ts", DELAY, PAUSE),
+    )
+    return rows.select(
         "job_id", _local("segment_start"), _local("segment_end"), "n"
     )

@@ -17,21 +17,6 @@ JOB_MESSAGE = T.StructType([
     T.StructField("metadata", METADATA),
 ])
 
-MEETING = T.StructType([
-    T.StructField("job_id", T.StringType(), False),
-    T.StructField("created_at", T.TimestampNTZType()),
-    T.StructField("transcription_chunks", T.ArrayType(T.StringType())),
-    T.StructField("status", T.StringType()),
-])
-
-CHAT = T.StructType([
-    T.StructField("chat_id", T.StringType()),
-    T.StructField("job_id", T.StringType(), False),
-    T.StructField("created_at", T.TimestampNTZType()),
-    T.StructField("user_chat", T.StringType()),
-    T.StructField("ai_chat", T.StringType()),
-])
-
 CLEAN_CHUNKS = T.ArrayType(T.StructType([
     T.StructField("summary", T.StringType()),
     T.StructField("refined_text", T.StringType()),

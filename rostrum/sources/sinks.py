@@ -30,16 +30,42 @@ def append_files(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parq
     )
 
 
-def each_batch(stream: DataFrame, step, checkpoint: str) -> StreamingQuery:
+def each_batch(stream: DataFrame, step, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """``step(rows, batch_id)`` per micro-batch; the checkpoint acknowledges it afterwards."""
     return (
-        stream.writeStream.foreachBatch(step)
+        stream.writeStream.foreachBatch(step).outputMode(mode)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and the file system that holds it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
-    """Remove a folder through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _folder(spark, path)
+    files.delete(target, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    target, files = _folder(spark, path)
+    return files.exists(target)
+
+
+def keep_last_folders(spark: SparkSession, path: str, name: str, last: int, keep: int = 2) -> None:
+    """Remove numbered folders ``name=<n>`` before the ``keep`` newest up to ``last``.
+
+    Does nothing unless the folder of ``last`` is there, which is newer than what goes.
+    """
+    target, files = _folder(spark, path)
+    if not files.exists(target):
+        return
+    numbers = sorted(
+        int(f.getPath().getName().split("=")[1]) for f in files.listStatus(target)
+        if f.getPath().getName().startswith(f"{name}=")
+    )
+    if last in numbers:
+        for n in [n for n in numbers if n <= last][:-keep]:
+            drop_folder(spark, f"{path}/{name}={n}")

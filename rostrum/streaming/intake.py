@@ -23,11 +23,12 @@ def consume_messages(messages: DataFrame, path: str, checkpoint: str) -> Streami
     """Decode messages into ``accepted`` and ``dead`` tables below ``path``.
 
     Both are written per micro-batch, and a micro-batch that is run again
-    replaces what it wrote: at-least-once delivery, each message stored once.
+    replaces what it wrote. A message that is delivered again later is stored
+    again; ``accepted_once`` reads each one once.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        decoded = intake.decode_messages(batch)
+        decoded = intake.decode_messages(batch).persist()  # read for both tables
         usable = F.col("decoded") & intake.is_present(F.col("job_id"))
         write_batch(
             decoded.where(usable).select("job_id", "file_id", "metadata"),
@@ -40,10 +41,16 @@ def consume_messages(messages: DataFrame, path: str, checkpoint: str) -> Streami
             ),
             f"{path}/dead", batch_id,
         )
+        decoded.unpersist()
 
     return each_batch(messages, step, checkpoint)
 
 
+def accepted_once(accepted: DataFrame) -> DataFrame:
+    """Stored messages without redeliveries: one per meeting and file, however late the copy."""
+    return accepted.dropDuplicates(["job_id", "file_id"])
+
+
 def drop_redelivered(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     """Each key once, as long as its copies arrive within ``delay`` of event time.
 
