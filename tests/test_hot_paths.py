@@ -8,13 +8,14 @@ from rostrum.operators import chats, lookup, ordering, retrieval, transcript
 FOLDER = "/root/testdata/sf0.001"
 LOW = [
     (ordering.ROWS_PER_TASK, 2, (ordering, transcript, chats)),
-    (lookup.BROADCAST_ROWS, 0, (lookup,)),
+    (lookup.BROADCAST_BYTES, 0, (lookup,)),
     (retrieval.BLOCK_ROWS, 3, (retrieval,)),
 ]
 QUERIES = [
     "chunk_number", "transcript_append", "full_transcript", "chat_pairs", "chat_history_page",
     "topk_chunks", "text_topk", "topk_chats", "rag_context", "late_drop", "meeting_status",
-    "drop_completed", "stream_reassembly", "recording_points", "stream_late_drop",
+    "drop_completed", "stream_reassembly", "recording_points", "stream_late_drop", "text_topk_all",
+    "stream_transcript", "one_transcript",
 ]
 
 

@@ -12,6 +12,7 @@ from rostrum.operators import (
     attempts, chats, context, frames, intake, lifecycle, ordering, quality, retrieval,
     segments, transcript, vector_table,
 )
+from rostrum.operators import lookup as lookup_module
 from rostrum.operators.lookup import lookup
 from rostrum.plans import flows
 from rostrum.sources.by_job import read_by_job, write_by_job
@@ -136,32 +137,42 @@ def test_lookup_equals_join(spark, skewed, rows):
     dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k9", 3)], "k string, v int")
     for how in ("left", "inner", "left_anti", "left_semi"):
         want = skewed.join(dim, "k", how)
-        got = lookup(skewed, dim, ["k"], "i", how, broadcast_rows=rows)
+        got = lookup(skewed, dim, ["k"], "i", how, broadcast_bytes=rows)
         assert got.columns == want.columns
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert ("strategy=broadcast" in plan) == (rows > 0)
 
 
+def test_broadcast_goes_by_bytes(spark):
+    dim = spark.createDataFrame([("a" * 5000, 1, ["x"]), (None, 2, None)], "k string, v int, l array<string>")
+    assert 5000 < lookup_module.payload_bytes(dim) < 5200
+    assert lookup_module.payload_bytes(dim.limit(0)) == 0
+
+
 def test_hot_keys_are_found(skewed):
-    assert ordering.hot_keys(skewed, "k", 150) == ["hot"]
-    assert set(ordering.hot_keys(skewed, "k", 0)) == {"hot", "k1", "k2", "k3", None}
-
-
-def test_transcript_parts_are_whole(skewed):
-    whole = transcript.append_fragments(skewed, "k", ["t", "i"]).collect()
-    want = {r.k: r.chunks for r in whole}
-    assert all(r.part_no == 0 and r.n_chunks == len(r.chunks) for r in whole)
-    assert not any(c.strip() == "" for chunks in want.values() for c in chunks)
-    for limit in (10**6, 0):
-        parts = transcript.append_fragments(
-            skewed, "k", ["t", "i"], part_fragments=16, rows_per_task=limit
-        ).collect()
-        got = {}
-        for r in sorted(parts, key=lambda r: r.part_no):
-            assert r.n_chunks <= 16
-            got.setdefault(r.k, []).extend(r.chunks)
-        assert got == want
+    found = lambda n: {r._hot for r in ordering.hot_keys(skewed, "k", n).collect()}
+    assert found(150) == {"hot"}
+    assert found(0) == {"hot", "k1", "k2", "k3", None}
+
+
+def test_any_number_of_hot_keys(spark):
+    rows = spark.range(36_000).selectExpr("id % 12000 AS k", "id AS i")
+    got = ordering.number_rows(rows, "k", ["i"], rows_per_task=2)
+    assert got.where("n != i div 12000 + 1").count() == 0 and got.count() == 36_000
+
+
+def test_fragments_keep_one_shape(spark, skewed):
+    want = transcript.append_fragments(skewed, "k", ["t", "i"]).collect()
+    assert not any(r.text.strip() == "" for r in want)
+    got = transcript.append_fragments(skewed, "k", ["t", "i"], rows_per_task=0).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    long = spark.range(600).selectExpr("'m' AS k", "id AS t", "concat('w', id) AS text")
+    for limit in (10**6, 100):
+        said = transcript.append_fragments(long, "k", ["t"], rows_per_task=limit)
+        assert said.count() == 600
+        only = transcript.transcript_of(said, "k", "m").collect()
+        assert [tuple(r) for r in only] == [("m", 600, " ".join(f"w{n}" for n in range(600)))]
 
 
 def test_full_transcript_default(spark, tmp_path):
@@ -169,12 +180,12 @@ def test_full_transcript_default(spark, tmp_path):
     said = spark.createDataFrame(
         [("a", 2, "world"), ("a", 1, "hello"), ("b", 1, " \n")], "job string, n int, text string"
     )
-    got = {r.job: (r.n_chunks, r.transcript) for r in transcript.full_transcripts(jobs, said, "job", ["n"]).collect()}
-    assert got == {"a": (2, "hello world"), "b": (0, NO_TRANSCRIPT)}
+    rows = transcript.full_transcripts(jobs, said, "job", ["n"]).collect()
+    assert sorted(map(tuple, rows)) == [("a", 1, "hello"), ("a", 2, "world"), ("b", 0, NO_TRANSCRIPT)]
     appended = transcript.append_fragments(said, "job", ["n"])
     write_by_job(appended, str(tmp_path / "t"), "job")
     appended = read_by_job(spark, str(tmp_path / "t"), "job")
-    assert [r.chunks for r in transcript.transcript_of(appended, "job", "a").collect()] == [["hello", "world"]]
+    assert [tuple(r) for r in transcript.transcript_of(appended, "job", "a").collect()] == [("a", 2, "hello world")]
     assert transcript.transcript_of(appended, "job", "b").count() == 0
 
 

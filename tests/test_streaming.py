@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rostrum.operators import lifecycle, segments, transcript
 from rostrum.plans import flows
+from rostrum.session import stage
 from rostrum.sources.sinks import append_files, read_batches
 from rostrum.sources.tables import read_files, stream_files
 from rostrum.streaming import intake, meetings
@@ -63,16 +64,64 @@ def test_recordings_become_points(spark, event_files):
     assert read_batches(spark, f"{out}/rec/slices").count() > got.count()
 
 
-def test_state_grows_batch_by_batch(spark, event_files):
+def in_batches(spark, whole, cuts):
+    state = spark.createDataFrame([], "job_id string, ts timestamp_ntz, kind string")
+    for cut in cuts:
+        state = stage(meetings.next_state(state, whole.where(cut)), "state")  # as the stream does
+    return {r.job_id: r.stop_ts for r in meetings.ends(state).collect()}
+
+
+def test_state_does_not_depend_on_order(spark, event_files):
     whole, _, _ = event_files
-    empty = spark.createDataFrame([], "job_id string, created_at timestamp_ntz, stop_ts timestamp_ntz")
-    state = empty
-    for n in range(0, 120, 30):
-        state = meetings.next_state(state, whole.where(f"event_id >= {n} and event_id < {n + 30}"))
-    got = {r.job_id: (r.created_at, r.stop_ts) for r in state.collect()}
-    once = {r.job_id: (r.created_at, r.stop_ts) for r in meetings.next_state(empty, whole).collect()}
-    stops = {r.job_id: r.stop_ts for r in lifecycle.stop_times(whole).collect()}
-    assert got == once and {k: v[1] for k, v in got.items() if v[1]} == stops
+    want = {r.job_id: r.stop_ts for r in lifecycle.stop_times(whole).collect()}
+    parts = [f"event_id >= {n} and event_id < {n + 30}" for n in range(0, 120, 30)]
+    assert want and in_batches(spark, whole, parts) == want
+    assert in_batches(spark, whole, [*parts[::-1], parts[2]]) == want  # backwards, one of them twice
+
+
+def test_a_stop_may_come_before_its_meeting(spark):
+    schema = "event_id int, job_id string, ts timestamp_ntz, kind string"
+    rows = [(1, "a", at(5), "stop"), (2, "a", at(1), "start"), (3, "b", at(3), "start"),
+            (4, "b", at(2), "stop"), (5, "b", at(9), "stop"), (6, "b", at(1), "slice"), (7, "c", at(1), "stop")]
+    whole = spark.createDataFrame(rows, schema)
+    assert in_batches(spark, whole, [f"event_id = {n}" for n in range(1, 8)]) == {"a": at(5), "b": at(2)}
+    assert in_batches(spark, whole, ["event_id < 6"]) == {"a": at(5), "b": at(9)}
+
+
+def test_late_slices_equal_batch_in_any_order(spark, event_files, tmp_path):
+    whole, _, out = event_files
+    whole.repartition(6, "event_id").write.parquet(f"{out}/mixed")
+    for _ in range(2):  # the second run finds nothing new
+        meetings.keep_timely_slices(
+            stream(spark, whole, f"{out}/mixed"), f"{out}/late", f"{out}/ck"
+        ).awaitTermination()
+    slices = whole.where("kind = 'slice'").select("event_id", "job_id", "ts")
+    want = lifecycle.drop_late(slices, lifecycle.stop_times(whole))
+    stored = read_batches(spark, f"{out}/late/slices")
+    assert ids(meetings.still_timely(stored, f"{out}/late")) == ids(want)
+    for folder in (tmp_path / "late" / "state").glob("state_bucket=*"):
+        assert len(list(folder.glob("version=*"))) <= 2
+
+
+def test_progress_is_kept_across_batches(spark, event_files):
+    whole, path, out = event_files
+    meetings.keep_progress(
+        stream(spark, whole, path), f"{out}/rows", f"{out}/ck", "job_id", "kind"
+    ).awaitTermination()
+    got = meetings.latest_progress(spark, f"{out}/rows", "job_id")
+    want = meetings.running_progress(whole, "job_id", "kind")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_redelivered_message_is_read_once(spark, tmp_path):
+    message = '{"jobId":"a","fileId":"f","metadata":null}'
+    for k in range(2):
+        spark.createDataFrame([(message,), (message,)], "value string").write.mode("append").text(f"{tmp_path}/in")
+        intake.consume_messages(
+            spark.readStream.text(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck"
+        ).awaitTermination()
+    stored = read_batches(spark, f"{tmp_path}/out/accepted")
+    assert stored.count() == 4 and intake.accepted_once(stored).count() == 1
 
 
 def test_restart_resumes_and_adds_nothing(spark, event_files):
