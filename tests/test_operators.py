@@ -132,16 +132,16 @@ def test_scratch_is_shared_and_cleared(spark, skewed):
     assert not Path(scratch_path(spark, "y")).parent.exists()
 
 
-@pytest.mark.parametrize("rows", [10, 0])
-def test_lookup_equals_join(spark, skewed, rows):
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_lookup_equals_join(spark, skewed, limit):
     dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k9", 3)], "k string, v int")
     for how in ("left", "inner", "left_anti", "left_semi"):
         want = skewed.join(dim, "k", how)
-        got = lookup(skewed, dim, ["k"], "i", how, broadcast_bytes=rows)
+        got = lookup(skewed, dim, ["k"], "i", how, broadcast_bytes=limit)
         assert got.columns == want.columns
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         plan = got._jdf.queryExecution().optimizedPlan().toString()
-        assert ("strategy=broadcast" in plan) == (rows > 0)
+        assert ("strategy=broadcast" in plan) == (limit > 0)
 
 
 def test_broadcast_goes_by_bytes(spark):
