@@ -32,8 +32,9 @@ ROUNDS = 30
 BITS = 8  # of a substring
 WITHIN = 256  # codes of a shard that the radius must hold
 SHARD_ROWS = 8_192
-QUERY_ROWS = 512
-_BYTE = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+QUERY_ROWS = 2_048
+SLICE = 256  # queries compared with a shard at a time
+_CELLS = 1 << 22
 
 
 class Codes:
@@ -57,40 +58,70 @@ class Codes:
         return np.packbits((vectors - self.mean) @ self.turn >= 0, axis=1)
 
 
-def within_radius(queries: np.ndarray, codes: np.ndarray, least: int) -> np.ndarray:
-    """For each query which codes lie within its radius: the smallest that holds
-    ``least`` codes (all, if there are fewer)."""
-    m, far = codes.shape[1], np.iinfo(np.int32).max
-    number = len(codes)
-    least = min(least, number)
-    tables = [np.argsort(codes[:, j], kind="stable") for j in range(m)]
-    ends = [np.searchsorted(codes[t, j], np.arange(257)) for j, t in enumerate(tables)]
-    buckets = _BYTE[np.arange(256)[:, None] ^ np.arange(256)]
-    radius = np.full(len(queries), far, np.int64)
-    distance = np.full((len(queries), number), far, np.int32)
-    open_ = np.arange(len(queries))
-    for a in range(BITS + 1):
-        hit = np.zeros((len(open_), number), bool)
-        for j in range(m):
-            near = buckets[queries[open_, j]] <= a  # query x bucket
-            rows, probed = np.nonzero(near)
-            if len(probed) > 24 * len(open_):  # most of the table: by code, not by bucket
-                hit |= near[:, codes[:, j]]
-                continue
-            size = ends[j][probed + 1] - ends[j][probed]
-            at = np.repeat(ends[j][probed] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            hit[np.repeat(rows, size), tables[j][at]] = True
-        new = hit & (distance[open_] == far)
-        i, j = np.nonzero(new)
-        distance[open_[i], j] = _BYTE[queries[open_[i]] ^ codes[j]].sum(axis=1)
-        kth = np.partition(distance[open_], least - 1, axis=1)[:, least - 1] if least else \
-            np.zeros(len(open_), np.int64)
-        done = (kth <= m * (a + 1) - 1) | (a == BITS)
-        radius[open_[done]] = kth[done]
-        open_ = open_[~done]
-        if not len(open_):
-            break
-    return distance <= radius[:, None]
+class Index:
+    """The codes of a shard, with a table per substring: its 256 buckets, each a set of
+    codes as bits."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.number, self.substrings = codes.shape
+        self.words = _as_words(codes)
+        buckets = np.arange(256, dtype=np.uint8)[:, None]
+        table = np.zeros((self.substrings, 256, -(-self.number // 64) * 8), np.uint8)
+        for j in range(self.substrings):
+            packed = np.packbits(codes[:, j] == buckets, axis=1)
+            table[j, :, :packed.shape[1]] = packed
+        self.tables = [table.view(np.uint64)]
+
+    def _probes(self, a: int) -> np.ndarray:
+        """For each value of each substring the union of the buckets within ``a`` of it."""
+        while len(self.tables) <= a:
+            table, values = self.tables[-1], np.arange(256)
+            wider = table.copy()
+            for bit in range(BITS):
+                wider |= table[:, values ^ (1 << bit)]
+            self.tables.append(wider)
+        return self.tables[a]
+
+    def probed(self, queries: np.ndarray, a: int) -> np.ndarray:
+        """For each query which codes are within ``a`` of it in some substring."""
+        probes = self._probes(a)
+        hit = np.zeros((len(queries), probes.shape[2]), np.uint64)
+        for j in range(self.substrings):
+            hit |= probes[j][queries[:, j]]
+        return np.unpackbits(hit.view(np.uint8), axis=1, count=self.number).view(bool)
+
+    def within_radius(self, queries: np.ndarray, least: int) -> np.ndarray:
+        """For each query which codes lie within its radius: the smallest that holds
+        ``least`` codes (all, if there are fewer)."""
+        m, least = self.substrings, min(least, self.number)
+        kind = np.min_scalar_type(8 * m + 1)
+        far = np.iinfo(kind).max
+        asked = _as_words(queries)
+        out = np.zeros((len(queries), self.number), bool)
+        open_ = np.arange(len(queries) if least else 0)
+        for a in range(BITS + 1):
+            if not len(open_):
+                break
+            hit = self.probed(queries[open_], a)
+            distance = np.full(hit.shape, far, kind)
+            if 4 * np.count_nonzero(hit) < hit.size:
+                i, j = np.nonzero(hit)
+                differ = asked[open_[i]] ^ self.words[j]
+                distance[i, j] = np.bitwise_count(differ).sum(axis=1, dtype=kind)
+            else:  # most of the shard: a word of all pairs at once
+                whole = np.zeros(hit.shape, kind)
+                for w in range(self.words.shape[1]):
+                    whole += np.bitwise_count(asked[open_, w][:, None] ^ self.words[:, w])
+                np.copyto(distance, whole, where=hit)
+            kth = np.partition(distance, least - 1, axis=1)[:, least - 1]
+            done = (kth <= m * (a + 1) - 1) | (a == BITS)
+            out[open_[done]] = distance[done] <= kth[done][:, None]
+            open_ = open_[~done]
+        return out
+
+
+def _as_words(codes: np.ndarray) -> np.ndarray:
+    return np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
 
 
 def _vectors(column) -> np.ndarray:
@@ -111,17 +142,19 @@ def _search(codes: Codes, k: int, least: int):
                 q, x, qid, xid = all_[asks], all_[~asks], ids[asks], ids[~asks]
                 if not len(q) or not len(x):
                     continue
-                near = within_radius(codes(q), codes(x), least)
-                rough = np.where(near, q @ x.T, -np.inf)
-                kth = np.partition(rough, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
-                i, j = np.nonzero(near & (rough >= kth[:, None] - 1e-9))
-                # Each row by itself, so equal pairs give equal sums wherever they stand.
-                score = (q[i] * x[j]).sum(axis=1)
-                order = np.lexsort((xid[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                kept = place < k
-                yield batch_of(schema, qid[i[kept]], xid[j[kept]], score[kept])
+                index, width = Index(codes(x)), max(1, x.shape[1])
+                for at in range(0, len(q), SLICE):
+                    part, part_id = q[at:at + SLICE], qid[at:at + SLICE]
+                    i, j = np.nonzero(index.within_radius(codes(part), least))
+                    # Each row by itself, so equal pairs give equal sums wherever they stand.
+                    step = max(1, _CELLS // width)
+                    score = np.concatenate([
+                        (part[i[n:n + step]] * x[j[n:n + step]]).sum(axis=1)
+                        for n in range(0, max(1, len(i)), step)])
+                    order = np.lexsort((xid[j], -score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    yield batch_of(schema, part_id[i[kept]], xid[j[kept]], score[kept])
     return run
 
 
