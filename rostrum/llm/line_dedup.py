@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rostrum.llm.common import id_and_text
 from rostrum.session import stage
 
-MIN_WORDS = 8
+MIN_WORDS = 4  # of shorter lines, only equal ones are the same
 _BITS = (1 << 40) - 1  # a sum over millions of words stays far below 64 bits
 
 
@@ -48,14 +48,16 @@ def _word_count(line: Column) -> Column:
 
 def _ends() -> Column:
     """Hashes of the first and the last ``p`` words, ``p`` the greatest power of two
-    up to half the words; lines where that has just doubled give both."""
+    up to half the words; lines where that has just doubled give both, but for lines
+    of ``MIN_WORDS``, which no shorter line is compared with."""
     def pair(p: str) -> list[Column]:
         return [F.expr(f"xxhash64('front', {p}, substring_index(line, ' ', {p}))"),
                 F.expr(f"xxhash64('back', {p}, substring_index(line, ' ', -{p}))")]
 
     return (
         F.when(F.col("words") < MIN_WORDS, F.array().cast("array<bigint>"))
-        .when(F.col("words") == 2 * F.col("p"), F.array(*pair("p"), *pair("cast(p / 2 as int)")))
+        .when((F.col("words") == 2 * F.col("p")) & (F.col("words") > MIN_WORDS),
+              F.array(*pair("p"), *pair("cast(p / 2 as int)")))
         .otherwise(F.array(*pair("p")))
     )
 
