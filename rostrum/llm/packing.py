@@ -3,7 +3,8 @@
 Every document is tokenized once. Its full windows are sequences of their own; the
 rest, shorter than a window, is what has to be packed. Combinations of up to three
 lengths that fill a window exactly are enumerated, and non-negative least squares
-finds how often each should be used for the histogram of lengths; rounded down,
+finds how often each should be used for the histogram of lengths, swept until the
+residual stops falling (``TOLERANCE``); rounded down,
 they take whole rests. What is left over is laid out one after another and cut at
 window borders; the last, incomplete window is cut into powers of two, which need
 no padding. So nothing is padded at all.
@@ -30,7 +31,7 @@ from rostrum.session import stage
 
 WINDOW = 2048
 END_ID = 1
-PASSES = 2
+TOLERANCE = 1e-3  # of the squared histogram; sweeps end when one gains less
 
 
 def combinations(window: int, counts: np.ndarray) -> np.ndarray:
@@ -46,9 +47,13 @@ def combinations(window: int, counts: np.ndarray) -> np.ndarray:
     return rows[(counts[rows[:, 1]] > 0) & (counts[rows[:, 2]] > 0)]
 
 
-def repeats(rows: np.ndarray, counts: np.ndarray, passes: int = PASSES) -> np.ndarray:
+def repeats(rows: np.ndarray, counts: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
     """Repeat counts, by cyclic coordinate descent on ``|A x - counts|`` over
-    ``x >= 0``, rounded down and held to what the histogram has."""
+    ``x >= 0``, rounded down and held to what the histogram has.
+
+    A sweep never makes ``|A x - counts|`` squared greater; sweeps end when one takes
+    less than ``tolerance`` times ``|counts|`` squared off it, so there are at most
+    ``1 / tolerance + 1``."""
     left = counts.astype(float).tolist()
     left[0] = 0.0
     order = np.arange(len(rows))
@@ -57,7 +62,9 @@ def repeats(rows: np.ndarray, counts: np.ndarray, passes: int = PASSES) -> np.nd
     x = [0.0] * len(rows)
     combos = rows.tolist()
     norm = [float(sum(k.count(v) ** 2 for v in set(k) if v)) for k in combos]
-    for _ in range(passes):
+    start = before = sum(v * v for v in left)
+    gain = start
+    while gain and gain >= tolerance * start:
         for j in order.tolist():
             a, b, c = combos[j]
             step = ((left[a] if a else 0.0) + left[b] + left[c]) / norm[j]
@@ -68,6 +75,8 @@ def repeats(rows: np.ndarray, counts: np.ndarray, passes: int = PASSES) -> np.nd
                     left[a] -= step
                 left[b] -= step
                 left[c] -= step
+        after = sum(v * v for v in left)
+        gain, before = before - after, after
     out = np.zeros(len(rows), np.int64)
     spare = counts.astype(np.int64).tolist()
     for j in sorted(range(len(rows)), key=lambda j: -x[j]):

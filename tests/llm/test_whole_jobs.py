@@ -2,7 +2,9 @@
 
 import random
 
-from rostrum.llm import line_dedup
+import numpy as np
+
+from rostrum.llm import line_dedup, packing
 
 
 def one_word_edit(a, b):
@@ -32,3 +34,21 @@ def test_short_lines(spark):
                                "doc_id long, text string")
     got = sorted(r.doc_id for r in line_dedup.line_report(df).collect() if r.n_kept)
     assert got == kept
+
+
+def test_sweeps_end_at_the_least_residual():
+    rng = np.random.default_rng(5)
+    window = 64
+    counts = rng.integers(0, 400, window)
+    counts[0] = 0
+    rows = packing.combinations(window, counts)
+
+    def taken(x):
+        used = np.bincount(rows.ravel(), np.repeat(x, 3), window)
+        used[0] = 0
+        assert (used <= counts).all()
+        return used.sum() / counts.sum()
+
+    near, close = (taken(packing.repeats(rows, counts, t)) for t in (packing.TOLERANCE, 1e-9))
+    assert near > close - 0.02
+    assert near > taken(packing.repeats(rows, counts, 1.0)) + 0.02
