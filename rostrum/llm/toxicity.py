@@ -21,6 +21,7 @@ from rostrum.llm.common import id_and_text
 from rostrum.session import stage
 
 FIT_ROWS = 40_000
+SLICE_BITS, PARTS = 12, 8  # slices of the hash; partitions the trees are fitted on
 FOLDS = 5  # rows whose crc32 of the id is 0 modulo this are never learned from
 LEXICON = 2_000
 MIN_TEXTS = 4  # toxic texts that a lexicon entry must occur in
@@ -190,6 +191,26 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         F.min("text").alias("text"), F.max("label").alias("label"))
 
 
+def fit_sample(train: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The ``fit_rows`` rows of ``train`` whose ids have the least hashes.
+
+    Counts per slice of the hash give the last slice needed, so one task orders
+    ``fit_rows`` ids and those of a slice, without texts; the texts stay where they are.
+    """
+    ids = train.select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("at"))
+    part = F.shiftright("at", 64 - SLICE_BITS)
+    counts = ids.groupBy(part.alias("slice")).count().collect()  # 2 ** SLICE_BITS at most
+    if sum(r["count"] for r in counts) <= fit_rows:
+        return train
+    taken = 0
+    for last, count in sorted((r["slice"], r["count"]) for r in counts):
+        taken += count
+        if taken >= fit_rows:
+            break
+    chosen = ids.where(part <= last).orderBy("at", "doc_id").limit(fit_rows).select("doc_id")
+    return train.join(F.broadcast(chosen), "doc_id")
+
+
 def with_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """``row, doc_id, score, predicted`` per row of ``docs``; ``row`` holds its columns.
@@ -208,10 +229,10 @@ def with_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
         return own.select("row", "doc_id", F.lit(share).alias("score"),
                           F.lit(int(share)).alias("predicted"))
     entries = lexicon(train)
-    sample = train.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(fit_rows)
-    # A third of the sample calibrates.
-    rows = stage(described(sample, entries).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))), "described")
+    # A third of the sample calibrates. Dealt by id, so that the trees don't depend on files.
+    rows = stage(described(fit_sample(train, fit_rows), entries).withColumn(
+        "part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))
+    ).repartition(PARTS, "doc_id").sortWithinPartitions("doc_id"), "described")
     fitted, others = rows.where("part > 0"), rows.where("part = 0")
     if any(part.select("label").distinct().count() < 2 for part in (fitted, others)):
         fitted = others = rows  # too few of a class to be split

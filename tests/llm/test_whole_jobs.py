@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from rostrum.llm import line_dedup, packing
+from rostrum.llm import line_dedup, packing, toxicity
 
 
 def one_word_edit(a, b):
@@ -52,3 +53,13 @@ def test_sweeps_end_at_the_least_residual():
     near, close = (taken(packing.repeats(rows, counts, t)) for t in (packing.TOLERANCE, 1e-9))
     assert near > close - 0.02
     assert near > taken(packing.repeats(rows, counts, 1.0)) + 0.02
+
+
+def test_fit_sample(spark):
+    train = spark.range(0, 5000, 1, 8).select(
+        F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.lit(1).alias("label"))
+    sample = toxicity.fit_sample(train, 700)
+    want = train.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(700)
+    assert sorted(sample.collect()) == sorted(want.collect())
+    assert sample.select(F.spark_partition_id().alias("p")).distinct().count() == 8
+    assert toxicity.fit_sample(train, 5000).count() == 5000
