@@ -24,6 +24,14 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def groups_in_order(
     batches: Iterator[pa.RecordBatch], keys: list[str]
 ) -> Iterator[pa.Table]:

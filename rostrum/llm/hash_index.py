@@ -1,6 +1,10 @@
 """Nearest neighbours by multi-index hashing of learned binary codes.
 
-Codes: vectors are centred and turned by ``ROTATIONS`` learned rotations (iterative
+Nearness is the inner product, codes know angles only. So entries get one more component,
+``sqrt(M**2 - length**2)`` with the greatest length M of all, which gives all the same
+length, and queries get a zero there: the order by angle is then that by inner product.
+
+Codes: these vectors are centred and turned by ``ROTATIONS`` learned rotations (iterative
 quantization on at most ``FIT_ROWS`` vectors, chosen by hash); the signs are the bits.
 Index: the codes of a shard are split into substrings of 8 bits, each with its
 table of 256 buckets. A query probes all buckets within a substring radius ``a``;
@@ -38,12 +42,15 @@ _CELLS = 1 << 22
 
 
 class Codes:
-    """Learned rotated signs, as bytes."""
+    """Learned rotated signs, as bytes. ``longest`` is the length of the longest entry."""
 
-    def __init__(self, sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = ROUNDS) -> None:
-        self.mean = sample.mean(axis=0)
-        centred = sample - self.mean
-        width = sample.shape[1]
+    def __init__(self, sample: np.ndarray, longest: float, rotations: int = ROTATIONS,
+                 rounds: int = ROUNDS) -> None:
+        self.longest = longest
+        lifted = self.lifted(sample)
+        self.mean = lifted.mean(axis=0)
+        centred = lifted - self.mean
+        width = lifted.shape[1]
         rng = np.random.default_rng(29)
         turns = []
         for _ in range(rotations):
@@ -54,7 +61,20 @@ class Codes:
             turns.append(r)
         self.turn = np.concatenate(turns, axis=1)
 
-    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+    def lifted(self, vectors: np.ndarray) -> np.ndarray:
+        """Entries with the component that makes them all as long as the longest, at length 1."""
+        short = vectors / self.longest
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (short * short).sum(axis=1)))
+        return np.column_stack([short, rest])
+
+    def entries(self, vectors: np.ndarray) -> np.ndarray:
+        return self._signs(self.lifted(vectors))
+
+    def queries(self, vectors: np.ndarray) -> np.ndarray:
+        lengths = np.sqrt((vectors * vectors).sum(axis=1))
+        return self._signs(np.column_stack([vectors / lengths[:, None], np.zeros(len(vectors))]))
+
+    def _signs(self, vectors: np.ndarray) -> np.ndarray:
         return np.packbits((vectors - self.mean) @ self.turn >= 0, axis=1)
 
 
@@ -142,10 +162,10 @@ def _search(codes: Codes, k: int, least: int):
                 q, x, qid, xid = all_[asks], all_[~asks], ids[asks], ids[~asks]
                 if not len(q) or not len(x):
                     continue
-                index, width = Index(codes(x)), max(1, x.shape[1])
+                index, width = Index(codes.entries(x)), max(1, x.shape[1])
                 for at in range(0, len(q), SLICE):
                     part, part_id = q[at:at + SLICE], qid[at:at + SLICE]
-                    i, j = np.nonzero(index.within_radius(codes(part), least))
+                    i, j = np.nonzero(index.within_radius(codes.queries(part), least))
                     # Each row by itself, so equal pairs give equal sums wherever they stand.
                     step = max(1, _CELLS // width)
                     score = np.concatenate([
@@ -194,7 +214,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, vec_id: str =
         rows.where(F.col("vec_id") % every == 0).select("vec_id", "vector")
         .join(entries.select("vector", "entry"), "vector").select("vec_id", "entry"), "asking")
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(fit_rows).select("vector").toPandas()
-    codes = Codes(np.stack(sample["vector"].to_numpy()).astype(float))
+    longest = entries.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
+    codes = Codes(np.stack(sample["vector"].to_numpy()).astype(float), float(np.sqrt(longest)))
     shards = -(-entries.count() // shard_rows)
     asked = asking.select("entry").distinct()
     parts = -(-asked.count() // query_rows)

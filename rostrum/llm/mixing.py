@@ -49,33 +49,57 @@ def targets(sizes: dict[str | None, int], weights: tuple = WEIGHTS, share: float
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length (ascending, above 0) come nearest to
-    ``budget`` words without passing it."""
-    total = int(lengths @ counts)
-    if budget >= total:
+    ``budget`` words without passing it.
+
+    Each length gives its share, the longest that still fit go on top, and the programme
+    fills what lacks. If that doesn't meet the budget to the word, some of each length are
+    taken back and the programme decides on them too: first one, then twice as many, until
+    it meets the budget or as many were taken back as can matter. Two choices that differ
+    by more than twice the longest length in documents share a part of equal words, which
+    can be left as it is, so taking back more can't bring the sum nearer.
+    """
+    if budget >= int(lengths @ counts):
         return counts.copy()
-    # Python integers, so that products of corpus sizes can't overflow.
-    taken = np.array([int(n) * budget // total for n in counts], np.int64)
-    left = budget - int(lengths @ taken)
-    for i in range(len(lengths) - 1, -1, -1):  # what remains is below the longest
-        if lengths[i] <= left and taken[i] < counts[i]:
-            taken[i] += 1
-            left -= int(lengths[i])
-    reach, steps, mask = 1, [], (1 << (left + 1)) - 1  # bit w: w words can be made
-    for i in range(len(lengths)):
-        spare, size = min(int(counts[i] - taken[i]), left // int(lengths[i])), 1
-        while spare > 0 and not reach >> left & 1:  # 1, 2, 4, ... of one length
-            size = min(size, spare)
-            steps.append((i, size, reach))
-            reach |= reach << size * int(lengths[i]) & mask
-            spare, size = spare - size, size * 2
-        if reach >> left & 1:
+    unit = int(np.gcd.reduce(lengths))  # every sum is a multiple
+    size, budget = [int(n) // unit for n in lengths], budget // unit
+    have = [int(n) for n in counts]  # Python integers can't overflow
+    total = sum(s * n for s, n in zip(size, have))
+    taken = [n * budget // total for n in have]
+    left = budget - sum(s * n for s, n in zip(size, taken))
+    for i in range(len(size) - 1, -1, -1):
+        more = min(left // size[i], have[i] - taken[i])
+        taken[i] += more
+        left -= more * size[i]
+    back = 0
+    while True:
+        given = [min(n, back) for n in taken]
+        room = left + sum(s * n for s, n in zip(size, given))
+        add, made = _fill(size, [h - t + g for h, t, g in zip(have, taken, given)], room)
+        if made == room or back >= min(2 * size[-1], max(taken)):
+            return np.array([t - g + a for t, g, a in zip(taken, given, add)], np.int64)
+        back = max(1, 2 * back)
+
+
+def _fill(size: list[int], spare: list[int], room: int) -> tuple[list[int], int]:
+    """How many of each size, up to ``spare``, make the greatest sum up to ``room``, and
+    that sum: a bounded knapsack, its reachable sums the bits of an integer."""
+    reach, steps, mask = 1, [], (1 << (room + 1)) - 1
+    for i in range(len(size)):
+        if reach >> room & 1:
             break
-    at = reach.bit_length() - 1
-    for i, size, before in reversed(steps):
+        n, part = min(spare[i], room // size[i]), 1
+        while n > 0 and not reach >> room & 1:  # 1, 2, 4, ... of one size
+            part = min(part, n)
+            steps.append((i, part, reach))
+            reach |= reach << part * size[i] & mask
+            n, part = n - part, part * 2
+    add, at = [0] * len(size), reach.bit_length() - 1
+    made = at
+    for i, part, before in reversed(steps):
         if not before >> at & 1:
-            taken[i] += size
-            at -= size * int(lengths[i])
-    return taken
+            add[i] += part
+            at -= part * size[i]
+    return add, made
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",

@@ -14,6 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rostrum.operators.ordering import number_rows
+from rostrum.session import stage
+
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
 
@@ -43,26 +46,43 @@ def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
     )
 
 
-def answer_swapped_pairs(chats: DataFrame) -> DataFrame:
-    """``conv_id, chosen, rejected``: each conversation up to its last assistant turn,
-    and the same with the last assistant turn of the conversation next to it.
+def _said(turns: str) -> Column:
+    """Places, from 1, of the assistant turns in an array of turns."""
+    return F.filter(F.when(F.size(turns) > 0, F.sequence(F.lit(1), F.size(turns))),
+                    lambda i: F.element_at(turns, i)["role"] == LEARNED)
+
+
+def forked_pairs(chats: DataFrame) -> DataFrame:
+    """``conv_id, chosen, rejected`` for every conversation with an assistant turn.
 
-    Neighbours are ``2k`` and ``2k + 1``, so a pair meets in one grouping whatever
-    the conversations hold. A conversation without assistant turn, or whose
-    neighbour has none, makes no pair.
+    Chosen is the conversation up to its last assistant turn. Conversations are numbered
+    by ``conv_id`` and taken in twos, an odd last one with the one before it (a single one
+    with itself). Rejected leaves the chosen one at an assistant turn, the one that the
+    number picks, and goes on with what the other conversation says from such a turn on.
+    Conversations without an assistant turn give no row.
     """
-    size = F.size("turns")
-    last = size - F.array_position(
-        F.transform(F.reverse("turns"), lambda t: t["role"] == LEARNED), True).cast("int")
-    spoken = chats.withColumn("last", last).where("last < size(turns)").select(
-        "conv_id", F.expr("slice(turns, 1, last + 1)").alias("chosen"))
-    answer = spoken.select(
-        F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") + 1)
-        .otherwise(F.col("conv_id") - 1).alias("conv_id"),
-        F.element_at("chosen", -1).alias("other"))
-    return spoken.join(answer, "conv_id").select(
-        "conv_id", "chosen",
-        F.concat(F.expr("slice(chosen, 1, size(chosen) - 1)"), F.array("other")).alias("rejected"))
+    spoken = stage(
+        chats.withColumn("said", _said("turns")).where("size(said) > 0").select(
+            "conv_id", "said", F.expr("slice(turns, 1, element_at(said, -1))").alias("chosen")),
+        "spoken")
+    # Only ids are numbered, by ranges: no task sorts them all.
+    numbered = stage(number_rows(
+        spoken.select("conv_id", F.lit(0).alias("all")), "all", ["conv_id"], "n", 0), "numbers")
+    total = numbered.count()
+    mate = F.when(F.col("n") % 2 == 0, F.col("n") - 1).when(
+        F.col("n") < total, F.col("n") + 1).otherwise(F.greatest(F.col("n") - 1, F.lit(1)))
+    at = F.get("said", (F.col("n") % F.size("said")).cast("int"))
+    sides = spoken.join(numbered.select("conv_id", "n"), "conv_id").withColumn("at", at)
+    other = numbered.select("conv_id", "n").join(spoken, "conv_id").select(
+        F.col("n").alias("mate"), F.col("said").alias("mate_said"),
+        F.col("chosen").alias("mate_turns"))
+    start = F.get("mate_said", (F.col("n") % F.size("mate_said")).cast("int"))
+    return (
+        sides.withColumn("mate", mate).join(other, "mate").withColumn("start", start)
+        .select("conv_id", "chosen", F.concat(
+            F.expr("slice(chosen, 1, at - 1)"),
+            F.expr("slice(mate_turns, start, size(mate_turns))")).alias("rejected"))
+    )
 
 
 def _rendered(turn: Column) -> Column:
@@ -91,7 +111,8 @@ def formatted(pairs: DataFrame) -> DataFrame:
     from ``conv_id, chosen, rejected``, arrays of ``role, text``.
 
     Equal conversations are all prompt, with empty completions; without a common
-    turn the prompt is empty. A null side counts as no turns.
+    turn the prompt is empty. A null side counts as no turns, an empty table gives an
+    empty one. A pair is a row, however long its turns are.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
     sides = pairs.select("conv_id", *[F.coalesce(c, none).alias(c) for c in ("chosen", "rejected")])
@@ -124,30 +145,58 @@ WITH t AS (
   FROM (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
                replace(coalesce(text, ''), '<|', '< |') AS text
         FROM conversations WHERE conv_id IS NOT NULL)
+), said AS (
+  SELECT conv_id, n, row_number() OVER (PARTITION BY conv_id ORDER BY n) - 1 AS j
+  FROM t WHERE role = 'assistant'
 ), l AS (
-  SELECT conv_id, max(n) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id
+  SELECT conv_id, max(n) AS last, count(*) AS answers, row_number() OVER (ORDER BY conv_id) AS k,
+         count(*) OVER () AS total
+  FROM said GROUP BY conv_id
 ), p AS (
-  SELECT a.conv_id, a.last, CASE WHEN a.conv_id % 2 = 0 THEN a.conv_id + 1 ELSE a.conv_id - 1 END
-         AS other, b.last AS other_last
-  FROM l a JOIN l b
-    ON b.conv_id = CASE WHEN a.conv_id % 2 = 0 THEN a.conv_id + 1 ELSE a.conv_id - 1 END
+  SELECT a.conv_id, a.last, b.conv_id AS other, b.last AS other_last, x.n AS fork, y.n AS start
+  FROM l a
+  JOIN l b ON b.k = CASE WHEN a.k % 2 = 0 THEN a.k - 1 WHEN a.k < a.total THEN a.k + 1
+                         ELSE greatest(a.k - 1, 1) END
+  JOIN said x ON x.conv_id = a.conv_id AND x.j = a.k % a.answers
+  JOIN said y ON y.conv_id = b.conv_id AND y.j = a.k % b.answers
+), c AS (
+  SELECT p.conv_id, t.n, t.role, t.text FROM p JOIN t ON t.conv_id = p.conv_id AND t.n <= p.last
 ), r AS (
-  SELECT p.conv_id, p.last, c.text = o.text AS same, c.text AS chosen_text, o.text AS rejected_text
-  FROM p JOIN t c ON c.conv_id = p.conv_id AND c.n = p.last
-         JOIN t o ON o.conv_id = p.other AND o.n = p.other_last
+  SELECT c.conv_id, c.n, c.role, c.text FROM c JOIN p ON p.conv_id = c.conv_id AND c.n < p.fork
+  UNION ALL
+  SELECT p.conv_id, p.fork + t.n - p.start, t.role, t.text
+  FROM p JOIN t ON t.conv_id = p.other AND t.n >= p.start AND t.n <= p.other_last
+), d AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, min(coalesce(c.n, r.n)) - 1 AS prefix
+  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.n = r.n
+  WHERE c.n IS NULL OR r.n IS NULL OR c.role <> r.role OR c.text <> r.text
+  GROUP BY 1
+), f AS (
+  SELECT p.conv_id, coalesce(d.prefix, p.last) AS prefix FROM p LEFT JOIN d ON d.conv_id = p.conv_id
+), s AS (
+  SELECT 'chosen' AS side, c.* FROM c UNION ALL SELECT 'rejected', r.* FROM r
+), o AS (
+  SELECT s.conv_id, s.side, s.n, s.role, s.n <= f.prefix AS shared,
+         '<|im_start|>' || s.role || chr(10) || s.text || '<|im_end|>' || chr(10) AS line,
+         length(s.role) + 13 AS head, length(s.text) + 10 AS body
+  FROM s JOIN f ON f.conv_id = s.conv_id
+), w AS (
+  SELECT *, sum(length(line)) OVER (PARTITION BY conv_id, side, shared ORDER BY n) - length(line)
+            + head AS start
+  FROM o
 ), q AS (
-  SELECT r.conv_id, coalesce(string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>'
-         || chr(10), '' ORDER BY t.n), '') AS prompt
-  FROM r LEFT JOIN t ON t.conv_id = r.conv_id AND (t.n < r.last OR (r.same AND t.n = r.last))
-  GROUP BY r.conv_id
+  SELECT conv_id,
+    string_agg(CASE WHEN side = 'chosen' AND shared THEN line END, '' ORDER BY n) AS prompt,
+    string_agg(CASE WHEN side = 'chosen' AND NOT shared THEN line END, '' ORDER BY n) AS chosen,
+    string_agg(CASE WHEN side = 'rejected' AND NOT shared THEN line END, '' ORDER BY n) AS rejected,
+    string_agg(CASE WHEN side = 'chosen' AND NOT shared AND role = 'assistant'
+      THEN CAST(start AS BIGINT) || '-' || CAST(start + body AS BIGINT) END, ',' ORDER BY n) AS chosen_spans,
+    string_agg(CASE WHEN side = 'rejected' AND NOT shared AND role = 'assistant'
+      THEN CAST(start AS BIGINT) || '-' || CAST(start + body AS BIGINT) END, ',' ORDER BY n) AS rejected_spans
+  FROM w GROUP BY conv_id
 )
-SELECT r.conv_id, CAST(CASE WHEN same THEN last ELSE last - 1 END AS INTEGER) AS prefix_turns, prompt,
-  CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || chosen_text || '<|im_end|>'
-    || chr(10) END AS chosen,
-  CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || rejected_text || '<|im_end|>'
-    || chr(10) END AS rejected,
-  CASE WHEN same THEN '' ELSE '22-' || CAST(22 + length(chosen_text) + 10 AS VARCHAR) END AS chosen_spans,
-  CASE WHEN same THEN '' ELSE '22-' || CAST(22 + length(rejected_text) + 10 AS VARCHAR) END
-    AS rejected_spans
-FROM r JOIN q USING (conv_id)
+SELECT f.conv_id, CAST(f.prefix AS INTEGER) AS prefix_turns, coalesce(prompt, '') AS prompt,
+  coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
+  coalesce(chosen_spans, '') AS chosen_spans, coalesce(rejected_spans, '') AS rejected_spans
+FROM f JOIN q ON q.conv_id = f.conv_id
 """

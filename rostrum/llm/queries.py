@@ -56,7 +56,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = preference_chat.conversations(read_table(spark, sf_dir, "conversations"))
-    rows = preference_chat.formatted(preference_chat.answer_swapped_pairs(chats))
+    rows = preference_chat.formatted(preference_chat.forked_pairs(chats))
     return rows.withColumns({c: preference_chat.spans_text(c)
                              for c in ("chosen_spans", "rejected_spans")})
 

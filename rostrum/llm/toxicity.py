@@ -1,23 +1,27 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated.
 
-The lexicon is counted over all labelled training rows: words, and word beginnings
-of ``STEM`` letters, that are much more frequent in toxic texts. Every text gets
-the features named in ``FEATURES``. Trees (Spark ML) are fitted on a sample of
-at most ``FIT_ROWS`` labelled rows, chosen by hash, and calibrated by isotonic
-regression on labelled rows that the trees have not seen.
+The lexicon is counted over two thirds of the labelled training rows, dealt by a hash
+of the id: words, and word beginnings of ``STEM`` letters, that are much more frequent in
+toxic texts. Every text gets the features named in ``FEATURES``. Trees (Spark ML) are
+fitted on these rows of a sample of at most ``FIT_ROWS`` labelled rows, chosen by hash,
+and calibrated by isotonic regression on its rows of the last third, which neither the
+lexicon nor the trees have seen.
+
+Only a key and the text of a row enter Python, and only the key and the features leave
+it, in portions of bounded bytes; so very long texts and wide rows cost no more memory
+than others. A score depends on the text alone: equal texts, equal scores.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rostrum.llm.common import id_and_text
+from rostrum.llm.common import id_and_text, unused_name
+from rostrum.llm.toxic_features import STEM, keyed_features
+from rostrum.operators.lookup import lookup
 from rostrum.session import stage
 
 FIT_ROWS = 40_000
@@ -25,23 +29,7 @@ SLICE_BITS, PARTS = 12, 8  # slices of the hash; partitions the trees are fitted
 FOLDS = 5  # rows whose crc32 of the id is 0 modulo this are never learned from
 LEXICON = 2_000
 MIN_TEXTS = 4  # toxic texts that a lexicon entry must occur in
-STEM = 5
-NEAR = 6  # words within which a second person counts as near a lexicon hit
 TREES, DEPTH = 20, 3
-KNOWN_WORDS = 200_000  # kept per task; then the table starts anew
-FEATURES = [
-    "hits", "hit_density", "weight_sum", "weight_top", "weight_density", "stem_hits",
-    "second_person", "second_near_hit", "capital_words", "capital_letters", "exclamation",
-    "question", "punctuation", "repeated_marks", "obfuscated", "obfuscated_hits", "log_words",
-]
-# Second-person words of the languages met.
-SECOND_PERSON = (
-    "you your yours yourself u ur du dich dir dein deine deiner ihr euch euer sie ihnen "
-    "tu te toi ton ta tes vous votre vos tú ti tuyo tuya usted ustedes vosotros vos os su"
-).split()
-# Characters that stand for letters.
-LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s",
-              "!": "i", "|": "l"}
 _TRIM = r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$]+$"
 
 
@@ -80,101 +68,12 @@ def lexicon(labelled: DataFrame, size: int = LEXICON) -> dict[str, float]:
     return {r["entry"]: float(r["odds"]) for r in best}
 
 
-def _features(entries: dict[str, float]):
-    """An Arrow function of texts; a word is looked at once per task, as long as no more
-    than ``KNOWN_WORDS`` are met, however often it occurs."""
-    second = set(SECOND_PERSON)
-    table = str.maketrans(LOOKALIKES)
-
-    def describe(word: str) -> tuple:
-        bare = word.strip("\"'.,;:!?()[]{}<>*_-~#/\\…¡¿«»„“”‘’")
-        low = bare.lower()
-        weight = entries.get(low, 0.0)
-        stem = entries.get("^" + low[:STEM], 0.0) if len(low) > STEM else 0.0
-        letters = sum(c.isalpha() for c in bare)
-        odd = 0 < letters < len(bare) and any(
-            not c.isalpha() and c not in "'’-" and not (c.isdigit() and bare.isdigit())
-            for c in bare)
-        plain = 0.0
-        if odd or "*" in word or "." in bare or "-" in bare:
-            undone = "".join(c for c in low.translate(table) if c.isalpha())
-            if undone != low:
-                plain = max(entries.get(undone, 0.0), entries.get("^" + undone[:STEM], 0.0)
-                            if len(undone) > STEM else 0.0)
-        return (weight, stem, low in second, letters > 1 and bare.isupper(), odd, plain,
-                sum(c.isupper() for c in word), letters, word.count("!"), word.count("?"),
-                sum(not c.isalnum() for c in word),
-                "!!" in word or "??" in word or "!?" in word)
-
-    place: dict[str, int] = {}
-    known = np.zeros((1 << 12, 12))
-
-    def about(words: list[str]) -> np.ndarray:
-        nonlocal known
-        if len(place) + len(words) > KNOWN_WORDS:
-            place.clear()
-        new = [w for w in words if w not in place]
-        at = len(place)
-        place.update(zip(new, range(at, at + len(new))))
-        if len(place) > len(known):
-            known = np.concatenate([known, np.zeros((max(len(known), len(new)), 12))])
-        if new:
-            known[at:at + len(new)] = [describe(w) for w in new]
-        return known[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
-
-    def run(texts: pa.Array) -> pa.Array:
-        parts = [np.zeros((0, len(FEATURES)))]
-        for start in range(0, len(texts), 2000):
-            lists = pc.utf8_split_whitespace(pc.fill_null(texts.slice(start, 2000), ""))
-            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            encoded = lists.flatten().dictionary_encode()
-            words = encoded.dictionary.to_pylist()
-            index = encoded.indices.to_numpy(zero_copy_only=False)
-            parts.append(_dense(about(words), index, counts,
-                                np.array([w != "" for w in words], float)))
-        rows = np.concatenate(parts)
-        offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES))
-        return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
-    return run
-
-
-def _dense(table: np.ndarray, index: np.ndarray, counts: np.ndarray,
-           real: np.ndarray) -> np.ndarray:
-    number = len(counts)
-    owner = np.repeat(np.arange(number), counts)
-
-    def total(values: np.ndarray) -> np.ndarray:
-        return np.bincount(owner, values[index], number) if len(index) else np.zeros(number)
-
-    weight = np.maximum(table[:, 0], table[:, 5])
-    both = np.maximum(weight, table[:, 1])
-    words = np.maximum(total(real), 1)
-    letters = np.maximum(total(table[:, 7]), 1)
-    top = np.zeros(number)
-    if len(index):
-        np.maximum.at(top, owner, both[index])
-    at = np.flatnonzero(both[index] > 0)
-    near = np.zeros(number)
-    you = np.flatnonzero(table[index, 2] > 0)
-    if len(at) and len(you):  # the distance of each hit to the second person next to it
-        after = np.searchsorted(you, at)
-        for side in (np.minimum(after, len(you) - 1), np.maximum(after - 1, 0)):
-            close = (owner[you[side]] == owner[at]) & (np.abs(you[side] - at) <= NEAR)
-            gain = np.where(close, 1 / (1 + np.abs(you[side] - at)), 0)
-            np.maximum.at(near, owner[at], gain)
-    hits, sums = total((weight > 0) * 1.0), total(both)
-    return np.column_stack([
-        hits, hits / words, sums, top, sums / words, total((table[:, 1] > 0) * 1.0),
-        total(table[:, 2]) / words, near, total(table[:, 3]) / words,
-        total(table[:, 6]) / letters, total(table[:, 8]) / words, total(table[:, 9]) / words,
-        total(table[:, 10]) / words, total(table[:, 11]), total(table[:, 4]) / words,
-        total((table[:, 5] > 0) * 1.0), np.log1p(total(real))])
-
-
 def described(docs: DataFrame, entries: dict[str, float]) -> DataFrame:
     """``docs`` with the vector ``features`` in place of ``text``."""
-    features = F.arrow_udf(_features(entries), "array<double>")
-    return docs.withColumn("features", array_to_vector(features("text"))).drop("text")
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    rows = docs.select(*[c for c in docs.columns if c != "text"], "text").mapInArrow(
+        keyed_features(entries), ", ".join([*kept, "features array<double>"]))
+    return rows.withColumn("features", array_to_vector("features"))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
@@ -182,12 +81,15 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """``doc_id, text, label`` of the labelled documents that may be learned from.
 
     One row per document: a document labelled twice counts as toxic if a label says so.
+    The labels meet the documents first: as long as the labelled ids can be broadcast, only
+    labelled texts are shuffled.
     """
     known = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"),
                           F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     known = known.where("doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy(
         "doc_id").agg(F.max("label").alias("label"))
-    return id_and_text(docs, doc_id, text).join(known, "doc_id").groupBy("doc_id").agg(
+    texts = id_and_text(docs, doc_id, text).where("doc_id is not null")
+    return lookup(texts, known, ["doc_id"], "text", "inner").groupBy("doc_id").agg(
         F.min("text").alias("text"), F.max("label").alias("label"))
 
 
@@ -211,62 +113,86 @@ def fit_sample(train: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     return train.join(F.broadcast(chosen), "doc_id")
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``row, doc_id, score, predicted`` per row of ``docs``; ``row`` holds its columns.
-
-    A null text is an empty one, and is scored like one. Without labelled rows of
-    both classes the score is the share of toxic labels (0 without any). Labels
-    other than 0 and 1, and of documents that aren't there, are left out.
-    """
-    own = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    train = stage(labelled_rows(docs, labels, doc_id, text, label), "labelled")
-    seen = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    if len(seen) < 2:
-        share = 1.0 if seen.get(1) else 0.0
-        return own.select("row", "doc_id", F.lit(share).alias("score"),
-                          F.lit(int(share)).alias("predicted"))
-    entries = lexicon(train)
-    # A third of the sample calibrates. Dealt by id, so that the trees don't depend on files.
-    rows = stage(described(fit_sample(train, fit_rows), entries).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))
-    ).repartition(PARTS, "doc_id").sortWithinPartitions("doc_id"), "described")
-    fitted, others = rows.where("part > 0"), rows.where("part = 0")
-    if any(part.select("label").distinct().count() < 2 for part in (fitted, others)):
-        fitted = others = rows  # too few of a class to be split
-    trees = GBTClassifier(
-        featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=32,
-        stepSize=0.3, seed=7, minInstancesPerNode=3, predictionCol="tree_says",
-    ).fit(fitted.select("features", "label"))
-    margin = vector_to_array("rawPrediction")[1]
-    isotonic = IsotonicRegression(featuresCol="margin", labelCol="label").fit(
-        trees.transform(others).select(
-            margin.alias("margin"), F.col("label").cast("double").alias("label")))
-    ranked = isotonic.transform(
-        trees.transform(described(own, entries)).withColumn("margin", margin))
-    # Isotonic steps tie; the margin, at a thousandth, keeps the order within one.
-    score = 0.999 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))) \
-        + 0.001 / (1 + F.exp(-2 * F.col("margin")))
-    return ranked.select("row", "doc_id", score.alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int"))
+class Model:
+    """What is learned from labelled rows; ``scores`` applies it to texts."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
+                 text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> None:
+        train = stage(labelled_rows(docs, labels, doc_id, text, label), "labelled").withColumn(
+            "part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)))
+        fits = (F.col("part") > 0).alias("fits")
+        seen = {(r["label"], r["fits"]): r["count"]
+                for r in train.groupBy("label", fits).count().collect()}
+        self.trees = None
+        self.share = float(any(one == 1 for one, _ in seen))
+        if len({one for one, _ in seen}) < 2:
+            return
+        # A third calibrates, unless that leaves too few of a class on either side.
+        apart = len(seen) == 4
+        self.entries = lexicon(train.where("part > 0") if apart else train)
+        # Dealt by id, so that the trees don't depend on files.
+        rows = stage(described(fit_sample(train, fit_rows), self.entries).repartition(
+            PARTS, "doc_id").sortWithinPartitions("doc_id"), "described")
+        fitted, others = (rows.where("part > 0"), rows.where("part = 0")) if apart else (rows, rows)
+        if any(part.select("label").distinct().count() < 2 for part in (fitted, others)):
+            fitted = others = rows  # the sample has too few of a class
+        self.trees = GBTClassifier(
+            featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=32,
+            stepSize=0.3, seed=7, minInstancesPerNode=3, predictionCol="tree_says",
+        ).fit(fitted.select("features", "label"))
+        self.isotonic = IsotonicRegression(featuresCol="margin", labelCol="label").fit(
+            self.trees.transform(others).select(
+                _margin().alias("margin"), F.col("label").cast("double").alias("label")))
+
+    def scores(self, texts: DataFrame) -> DataFrame:
+        """``score, predicted`` in place of ``text``."""
+        kept = [c for c in texts.columns if c != "text"]
+        if self.trees is None:
+            return texts.select(*kept, F.lit(self.share).alias("score"),
+                                F.lit(int(self.share)).alias("predicted"))
+        ranked = self.isotonic.transform(self.trees.transform(
+            described(texts, self.entries)).withColumn("margin", _margin()))
+        # Isotonic steps tie; the margin, at a thousandth, keeps the order within one.
+        score = 0.999 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))) \
+            + 0.001 / (1 + F.exp(-2 * F.col("margin")))
+        return ranked.select(*kept, score.alias("score")).withColumn(
+            "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _margin() -> Column:
+    return vector_to_array("rawPrediction")[1]
 
 
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
            label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
-    A row without ``doc_id`` is scored and not held out; see ``with_scores``. Other
-    columns are ignored.
+    A null text is an empty one, and is scored like one; a row without ``doc_id`` is
+    scored and not held out; a row repeated whole gives as many rows. Without labelled
+    rows of both classes the score is 1 if all labels are toxic, else 0. Labels other
+    than 0 and 1, and of documents that aren't there, are left out, and so are other
+    columns. An empty table gives an empty one.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label"))
-    return with_scores(rows, known, label="label", fit_rows=fit_rows).select(
+    model = Model(docs, known, doc_id, text, "label", fit_rows)
+    return model.scores(id_and_text(docs, doc_id, text)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
                   text: str = "text", label: str = "toxic") -> DataFrame:
-    """``docs`` without the rows scored at 0.5 or more; all columns stay."""
-    return with_scores(docs, labels, doc_id, text, label).where("predicted = 0").select("row.*")
+    """``docs`` without the rows whose text is scored at 0.5 or more; all columns stay.
+
+    The rows themselves stay where they are: texts are scored under two hashes of theirs,
+    and rows that share both with a toxic one go. As long as the hashes of the toxic texts
+    can be broadcast, no row is shuffled. See ``scored`` for nulls and odd labels.
+    """
+    key = [F.xxhash64(F.lit(n), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+           for n in (1, 2)]
+    names = [unused_name(docs, f"_toxic{n}") for n in (1, 2)]
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label"))
+    texts = docs.select(*[k.alias(n) for k, n in zip(key, names)],
+                        F.col(f"`{text}`").cast("string").alias("text"))
+    toxic = Model(docs, known, doc_id, text, "label").scores(texts).where("predicted = 1")
+    return lookup(docs.withColumns(dict(zip(names, key))), toxic.select(*names).distinct(),
+                  names, text, "left_anti").drop(*names)

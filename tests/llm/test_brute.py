@@ -7,13 +7,14 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from rostrum.llm import jaccard_join, line_dedup, mixing, token_counts, transport_stream
+from rostrum.llm import hash_index, jaccard_join, line_dedup, mixing, token_counts, transport_stream
 from rostrum.llm.tokenizing import WordTokens
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -90,7 +91,7 @@ def brute_lines(rows):
     buckets = defaultdict(list)
     for line, at in first.items():
         w = tuple(line.split(" "))
-        if len(w) >= 8:
+        if len(w) >= 4:
             buckets[w].append((at, -1))
             for j in range(len(w)):
                 buckets[w[:j] + w[j + 1:]].append((at, j))
@@ -122,13 +123,27 @@ def test_lines(spark, docs):
 
 def test_fit_is_the_best_sum():
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        lengths = np.unique(rng.integers(1, 60, rng.integers(1, 5)))
-        counts = rng.integers(1, 5, len(lengths))
+    assert np.array([8, 20, 27, 47]) @ mixing.fit(
+        np.array([8, 20, 27, 47]), np.array([2, 1, 2, 4]), 37) == 36
+    for _ in range(1500):
+        lengths = np.unique(rng.integers(1, 60, rng.integers(1, 6)))
+        counts = rng.integers(1, 6, len(lengths))
         budget = int(rng.integers(0, lengths @ counts + 2))
         taken = mixing.fit(lengths, counts, budget)
-        assert (taken >= 0).all() and (taken <= counts).all() and lengths @ taken <= budget
-        assert budget - lengths @ taken < lengths.max() or (taken == counts).all()
+        sums = {0}
+        for length, count in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + length * n for s in sums for n in range(count + 1)}
+        assert (taken >= 0).all() and (taken <= counts).all()
+        assert lengths @ taken == max(s for s in sums if s <= budget)
+
+
+def test_fit_of_many():
+    lengths, counts = np.array([999, 1000]), np.array([1, 1_000_000])
+    taken = mixing.fit(lengths, counts, 500_500)
+    assert lengths @ taken == 500_000
+    lengths = np.arange(1, 4000)
+    taken = mixing.fit(lengths, np.full(3999, 1_000_000), 7_000_000_000_001)
+    assert lengths @ taken == 7_000_000_000_001
 
 
 def test_targets():
@@ -199,19 +214,37 @@ def test_streams():
     assert transport_stream.read_stream(b"x" * 1000).payload == b""
 
 
-def test_recall(spark):
-    rows = duckdb.execute(f"select * from '{MORE}/embeddings.parquet' order by vec_id").df()
+def recall(rows, got, k=20):
+    """The share of each query's ``k`` best that was found, and the ranks' form."""
     x = np.stack(rows.embedding).astype(float)
-    got = run(spark, "op2_hash_index", MORE)
-    shares = []
+    shares, place = [], {v: i for i, v in enumerate(rows.vec_id)}
     for q, part in got.groupby("query_id"):
-        i = int(np.flatnonzero(rows.vec_id == q)[0])
+        i = place[q]
         score = x @ x[i]
         score[i] = -np.inf
-        best = rows.vec_id[np.lexsort((rows.vec_id, -score))[:20]]
-        shares.append(len(set(best) & set(part.vec_id)) / 20)
-        assert sorted(part["rank"]) == list(range(1, 21))
-    assert len(shares) == sum(rows.vec_id % 20 == 0) and np.mean(shares) >= 0.9
+        best = rows.vec_id.to_numpy()[np.lexsort((rows.vec_id, -score))[:k]]
+        shares.append(len(set(best) & set(part.vec_id)) / k)
+        assert sorted(part["rank"]) == list(range(1, k + 1))
+    assert len(shares) == sum(rows.vec_id % 20 == 0)
+    return np.mean(shares)
+
+
+def test_recall(spark):
+    rows = duckdb.execute(f"select * from '{MORE}/embeddings.parquet' order by vec_id").df()
+    assert recall(rows, run(spark, "op2_hash_index", MORE)) >= 0.9
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.7])
+def test_recall_over_shards(spark, spread):
+    """Lengths equal or log-normal; shards of 2,000 codes, of which 256 are within reach."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8_000, 32))
+    x *= (np.exp(spread * rng.normal(size=8_000)) / np.sqrt((x * x).sum(axis=1)))[:, None]
+    rows = pd.DataFrame({"vec_id": np.arange(8_000), "embedding": list(x.astype("f4").tolist())})
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = hash_index.nearest(df, shard_rows=2_000, query_rows=150).toPandas()
+    rows["embedding"] = [np.array(v, "f4") for v in rows.embedding]
+    assert recall(rows, got) >= 0.9
 
 
 def test_held_out(spark):

@@ -154,7 +154,8 @@ def test_chats(spark):
             (1, 0, "user", "x"), (1, 1, "assistant", None), (2, None, None, None), (2, 1, "assistant", "a"),
             (3, 0, "assistant", "a"), (4, 0, "user", "alone"), (None, 0, "user", "lost")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    pairs = preference_chat.answer_swapped_pairs(preference_chat.conversations(df.withColumn("last", F.lit(1))))
+    pairs = preference_chat.forked_pairs(preference_chat.conversations(
+        df.withColumns({"last": F.lit(1), "said": F.lit("x"), "n": F.lit(2)})))
     out = {r.conv_id: r for r in preference_chat.formatted(pairs).collect()}
     assert set(out) == {0, 1, 2, 3}
     assert out[0].prompt == "<|im_start|>user\nq<|im_end|>\n" and out[0].prefix_turns == 1
@@ -166,7 +167,7 @@ def test_chats(spark):
     assert (out[3].prefix_turns, out[3].chosen, out[3].prompt) == (
         1, "", "<|im_start|>assistant\na<|im_end|>\n")
     assert preference_chat.formatted(
-        preference_chat.answer_swapped_pairs(preference_chat.conversations(df.limit(0)))).count() == 0
+        preference_chat.forked_pairs(preference_chat.conversations(df.limit(0)))).count() == 0
 
 
 def test_pipeline_on_odd_rows(spark, odd, labels, tmp_path):
