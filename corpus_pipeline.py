@@ -4,6 +4,10 @@ Each stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parque
 in the shared folder and read again as the next one's ``docs``. The classifier and
 the tokenizer can't be put in SQL, so ``ORACLE_SQL`` is None; the stages are tested
 against brute force on small tables.
+
+All stages keep null texts and null ids as rows of their own, take rows repeated whole as
+copies, give an empty table for an empty one, and carry columns of any other name along;
+the operators' docstrings say how each treats them.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.llm import jaccard_join, line_dedup, mixing, packing, toxicity
+from rostrum.llm.common import unused_name
 from rostrum.session import stage
 from rostrum.sources.tables import read_table
 
@@ -24,11 +29,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and with them documents that had no other lines."""
-    left = line_dedup.without_repeated_lines(docs, left="_left", lost="_lost")
-    changed = F.when(F.col("_lost") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return left.where("_left > 0 or _lost = 0").withColumn(
-        "n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Repeated lines go, and with them documents that had no other lines.
+
+    ``n_chars``, if there is one, follows the text.
+    """
+    left, lost = unused_name(docs, "lines_left"), unused_name(docs, "lines_lost")
+    rows = line_dedup.without_repeated_lines(docs, left=left, lost=lost)
+    rows = rows.where((F.col(left) > 0) | (F.col(lost) == 0))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col(lost) > 0, F.length("text")).otherwise(F.col("n_chars"))
+        rows = rows.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
