@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rostrum.llm import (
-    hash_index, jaccard_join, language_id, line_dedup, mixing, packing, preference_chat,
+    ball_codes, cover_tree, hash_index, jaccard_join, language_id, line_dedup, mixing, packing, preference_chat,
     token_counts, toxicity, transport_stream,
 )
 from rostrum.llm.common import documents
@@ -61,12 +61,24 @@ def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                              for c in ("chosen_spans", "rejected_spans")})
 
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.compressed(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_hash_index, op3_language_id, op4_packing, op5_mixing,
         op6_transport_stream, op7_toxicity, op8_line_dedup, op9_token_counts,
-        op10_preference_chat,
+        op10_preference_chat, op11_cover_tree, op12_ball_codes,
     )
 }
 
-ORACLES: dict[str, str] = {"op10_preference_chat": preference_chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op10_preference_chat": preference_chat.ORACLE_SQL,
+    "op11_cover_tree": cover_tree.ORACLE_SQL,
+    "op12_ball_codes": ball_codes.oracle_sql(),
+}
