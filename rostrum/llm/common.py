@@ -24,6 +24,18 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
+def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """Up to ``rows`` rows of ``df``, which has ``total``: those of least hash of ``key``.
+
+    Only about twice as many are looked at, so what tasks send to the last one doesn't
+    grow with their number.
+    """
+    at = F.xxhash64(F.lit(11), key)
+    share = 2 * rows / max(total, 1)
+    some = df if share >= 1 else df.where(at < int((2 * share - 1) * 2**63))
+    return some.orderBy(at, key).limit(rows)
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """``name``, longer if ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rostrum.llm.common import batch_of, group_starts, groups_in_order
+from rostrum.llm.common import batch_of, group_starts, groups_in_order, sampled
 from rostrum.llm.components import components
 from rostrum.operators.lookup import lookup
 from rostrum.session import stage
@@ -372,8 +372,8 @@ def near_duplicates(
         {"cell": F.lit(-1), "far": F.lit(0.0)})
     whole = None
     if most:
-        sample = entries.join(large.select("label"), "label", "left_semi").orderBy(
-            F.xxhash64("entry"), "entry").limit(fit_rows).select("vector").toPandas()
+        sample = sampled(entries.join(large.select("label"), "label", "left_semi"), "entry",
+                         fit_rows, large.agg(F.sum("n")).first()[0]).select("vector").toPandas()
         centres = farthest_first(unit(np.stack(sample["vector"].to_numpy()).astype(float)),
                                  min(cells, 2 * -(-most // block_rows)))
         marked = lookup(entries.drop("f1", "f2"), large.select("label", F.lit(True).alias("large")),

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rostrum.llm.common import batch_of, group_starts, groups_in_order
+from rostrum.llm.common import batch_of, group_starts, groups_in_order, sampled
 from rostrum.session import stage
 
 NEAREST = 20
@@ -213,10 +213,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, vec_id: str =
     asking = stage(
         rows.where(F.col("vec_id") % every == 0).select("vec_id", "vector")
         .join(entries.select("vector", "entry"), "vector").select("vec_id", "entry"), "asking")
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(fit_rows).select("vector").toPandas()
+    number = entries.count()
+    sample = sampled(entries, "entry", fit_rows, number).select("vector").toPandas()
     longest = entries.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
     codes = Codes(np.stack(sample["vector"].to_numpy()).astype(float), float(np.sqrt(longest)))
-    shards = -(-entries.count() // shard_rows)
+    shards = -(-number // shard_rows)
     asked = asking.select("entry").distinct()
     parts = -(-asked.count() // query_rows)
     if not parts:

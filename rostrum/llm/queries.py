@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rostrum.llm import (
     ball_codes, cover_tree, hash_index, jaccard_join, language_id, line_dedup, mixing, packing, preference_chat,
-    token_counts, toxicity, transport_stream,
+    token_counts, token_spans, toxicity, transport_stream,
 )
 from rostrum.llm.common import documents
 from rostrum.sources.tables import read_table
@@ -69,11 +69,17 @@ def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_codes.compressed(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.aligned(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_hash_index, op3_language_id, op4_packing, op5_mixing,
         op6_transport_stream, op7_toxicity, op8_line_dedup, op9_token_counts,
-        op10_preference_chat, op11_cover_tree, op12_ball_codes,
+        op10_preference_chat, op11_cover_tree, op12_ball_codes, op13_token_spans,
     )
 }
 
