@@ -35,11 +35,13 @@ from rostrum.llm.common import by_bytes, id_and_text
 from rostrum.operators.lookup import lookup
 from rostrum.session import stage
 
-KNOWN_CHARACTERS = 6_000_000  # of units kept per Python worker; then the table starts anew
-TEXT_BYTES = 4 << 20  # of texts looked at together
+KNOWN_CHARACTERS = 5_000_000  # of units kept per Python worker; then the table starts anew
+TEXT_BYTES = 2 << 20  # of texts looked at together
+UNITS = 2_000  # new ones encoded together
 PAIR_BYTES = 64 << 20  # up to which the table of pairs is broadcast
 _SPACE = "▁"  # how B writes a space
 _UNITS = re.compile(r"[ \n]*\n(?=[^ \n])|[ \n]*[^ \n]+(?:[ \n]+\Z)?")
+_PLAIN = re.compile(r" ?[^\s]+")
 _AT_SPACES = re.compile(r"(?<=\S)(?= )")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
@@ -100,6 +102,9 @@ class Aligner:
         self.n_b = len(pieces)
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64)
                                     for x in (self.bytes_a, self.bytes_b))
+        # Ids as they stand after a comma, a bar, at the beginning, and after a semicolon.
+        self.most = max(size, self.n_b)
+        self.names = [m + str(i) for m in (",", "|", "", ";") for i in range(self.most)]
         self.parts = (
             not any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces)
             and self._splits_at_spaces(json.loads(self.a.to_str())))
@@ -132,30 +137,58 @@ class Aligner:
             return found
         return _UNITS.findall(whole)
 
-    def learn(self, units: list[str], alone: bool = False) -> None:
-        """Align ``units``. ``alone``: they are whole texts, nothing follows."""
-        joined = "".join(units)
-        data = np.frombuffer(joined.encode(), np.uint8)
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-        byte_at = np.concatenate([[0], np.cumsum(width)])  # of each character, and the end
-        chars = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-        low = byte_at[chars]  # where each unit begins in bytes
-        number = len(units)
-
+    def learn(self, units: list[str]) -> None:
+        """Align ``units`` that stand within texts, and keep them under their numbers."""
+        plain, others = [], []
+        for u in units:
+            (plain if _PLAIN.fullmatch(u) else others).append(u)
+        for at in range(0, len(plain), UNITS):
+            self._align(plain[at:at + UNITS], self._together)
+        if others:
+            self._align(others, self._one_by_one)
+        self.codes.update(zip(chain(plain, others), range(len(self.texts) - len(units), len(self.texts))))
+
+    def _together(self, units: list[str], chars: np.ndarray, byte_at: np.ndarray):
+        """Ids, spans in bytes and owners of both tokenizers' tokens, all units in one text.
+
+        A line feed stands between two units, which both tokenizers part from either side.
+        """
+        text = "\n".join(units) + "\n"
+        numbers = np.arange(len(units))
+        begins = chars[:-1] + numbers  # where units begin in that text
+        found = self.a.encode(text, add_special_tokens=False)
+        ids = np.array(found.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+        owner = np.searchsorted(begins, spans[:, 0], "right") - 1
+        spans -= owner[:, None]
+        kept = spans[:, 0] < chars[owner + 1]
+        a = ids[kept], byte_at[spans[kept, 0]], byte_at[spans[kept, 1]], owner[kept]
+
+        proto = self.b.encode("\n" + text, return_type="proto", num_threads=1)
+        flat = np.fromiter(chain.from_iterable([(p.id, p.begin, p.end) for p in proto.pieces]),
+                           np.int64).reshape(-1, 3)[2:]  # without the space put before, and the line feed
+        low = byte_at[chars]
+        begin, end = flat[:, 1] - 1, flat[:, 2] - 1
+        owner = np.searchsorted(low[:-1] + numbers, begin, "right") - 1
+        begin, end = begin - owner, end - owner
+        kept = begin < low[owner + 1]
+        return a, (flat[kept, 0], begin[kept], end[kept], owner[kept])
+
+    def _one_by_one(self, units: list[str], chars: np.ndarray, byte_at: np.ndarray, whole: bool = False):
+        """The same for units with more white space, each by itself. ``whole``: they are
+        whole texts, nothing follows."""
+        low, number = byte_at[chars], len(units)
         # White space that a letter follows is not split as at the end of a text.
-        runs = [not alone and u.isspace() for u in units]
+        runs = [not whole and u.isspace() for u in units]
         found = self.a.encode_batch([u + "a" if r else u for u, r in zip(units, runs)],
                                     add_special_tokens=False)
         ids = [e.ids[:-1] if r else e.ids for e, r in zip(found, runs)]
         spans = [e.offsets[:-1] if r else e.offsets for e, r in zip(found, runs)]
-        n_a = np.fromiter(map(len, ids), np.int64, number)
-        owner_a = np.repeat(np.arange(number), n_a)
-        ids_a = np.fromiter(chain.from_iterable(ids), np.int64, int(n_a.sum()))
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int64,
-                           2 * int(n_a.sum())).reshape(-1, 2) + chars[owner_a][:, None]
-        ends_a, holds_a = refined_ends(
-            byte_at[flat[:, 0]], byte_at[flat[:, 1]], self.size_a[ids_a], _firsts(owner_a))
+        owner = np.repeat(np.arange(number), np.fromiter(map(len, ids), np.int64, number))
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int64).reshape(-1, 2)
+        flat += chars[owner][:, None]
+        a = (np.fromiter(chain.from_iterable(ids), np.int64),
+             byte_at[flat[:, 0]], byte_at[flat[:, 1]], owner)
 
         # B puts a space before: in place of the unit's own, or before a line feed that is cut off.
         spaced = np.array([u.startswith(" ") for u in units], bool)
@@ -163,14 +196,24 @@ class Aligner:
                                return_type="proto", num_threads=1)
         cut = np.where(spaced, 0, 2)
         pieces = [[(p.id, p.begin, p.end) for p in x.pieces][c:] for x, c in zip(protos, cut)]
-        n_b = np.fromiter(map(len, pieces), np.int64, number)
-        owner_b = np.repeat(np.arange(number), n_b)
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(pieces)), np.int64,
-                           3 * int(n_b.sum())).reshape(-1, 3)
-        ids_b, moved, first = flat[:, 0], np.where(spaced, 1, -1)[owner_b], _firsts(owner_b)
-        begin = np.where(first, 0, flat[:, 1] + moved) + low[owner_b]
-        ends_b, holds_b = refined_ends(
-            begin, flat[:, 2] + moved + low[owner_b], self.size_b[ids_b], first)
+        owner = np.repeat(np.arange(number), np.fromiter(map(len, pieces), np.int64, number))
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(pieces)), np.int64).reshape(-1, 3)
+        moved = np.where(spaced, 1, -1)[owner]
+        begin = np.where(_firsts(owner), 0, flat[:, 1] + moved) + low[owner]
+        return a, (flat[:, 0], begin, flat[:, 2] + moved + low[owner], owner)
+
+    def _align(self, units: list[str], spans) -> None:
+        joined, number = "".join(units), len(units)
+        data = np.frombuffer(joined.encode(), np.uint8)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        byte_at = np.concatenate([[0], np.cumsum(width)])  # of each character, and the end
+        chars = np.concatenate([[0], np.cumsum([len(u) for u in units])])
+        low = byte_at[chars]  # where each unit begins in bytes
+        (ids_a, begin, end, owner_a), (ids_b, begin_b, end_b, owner_b) = spans(units, chars, byte_at)
+        n_a, n_b = (np.bincount(x, minlength=number) for x in (owner_a, owner_b))
+        ends_a, holds_a = refined_ends(begin, end, self.size_a[ids_a], _firsts(owner_a))
+        ends_b, holds_b = refined_ends(begin_b, end_b, self.size_b[ids_b], _firsts(owner_b))
 
         good = np.ones(number, bool)
         for owner, ends, holds, ids_, table in (
@@ -195,12 +238,11 @@ class Aligner:
         common = np.flatnonzero(marks == 3)
         n_links = np.diff(np.searchsorted(cuts, low, "right"))
         n_groups = np.diff(np.searchsorted(common, low, "right"))
-        texts = self._group_texts(ids_a, np.searchsorted(ends_a, common, "right"),
-                                  ids_b, np.searchsorted(ends_b, common, "right"))
-        at = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
+        texts = self._texts(number, (ids_a, owner_a[keep_a], np.searchsorted(common, ends_a)),
+                            (ids_b, owner_b[keep_b], np.searchsorted(common, ends_b)))
 
         base = len(self.texts)
-        self.texts += [";".join(texts[s:e]) for s, e in zip(at, at[1:])]
+        self.texts += texts
         while base + number > len(self.first):
             self.first, self.numbers = (np.concatenate([x, np.zeros_like(x)])
                                         for x in (self.first, self.numbers))
@@ -213,51 +255,57 @@ class Aligner:
         self.used += len(links)
         self.characters += len(joined)
 
-    @staticmethod
-    def _group_texts(ids_a, last_a, ids_b, last_b) -> list[str]:
-        a, b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        out, i, j = [], 0, 0
-        for p, q in zip(last_a.tolist(), last_b.tolist()):
-            out.append(f"{','.join(a[i:p])}|{','.join(b[j:q])}")
-            i, j = p, q
-        return out
+    def _texts(self, number: int, *sides) -> list[str]:
+        """The groups of each unit in text, from ids, owners and group numbers of both sides."""
+        ids, owner, group = (np.concatenate([side[k] for side in sides]) for k in range(3))
+        is_b = np.repeat([False, True], [len(side[0]) for side in sides])
+        by = np.lexsort((is_b, group))  # stable: ids of a side stay in order
+        ids, owner, group, is_b = ids[by], owner[by], group[by], is_b[by]
+        opens = np.ones(len(ids), bool)
+        opens[1:] = (group[1:] != group[:-1]) | (is_b[1:] != is_b[:-1])
+        mark = np.where(~opens, 0, np.where(is_b, 1, np.where(_firsts(owner), 2, 3)))
+        names = self.names
+        parts = [names[k] for k in (mark * self.most + ids).tolist()]
+        ends = np.cumsum(np.bincount(owner, minlength=number)).tolist()
+        return ["".join(parts[s:e]) for s, e in zip([0, *ends], ends)]
 
     def align(self, texts: list[str | None]):
         """``(numbers per text, digests, pair keys, their counts, pairs per text)``."""
         if self.characters > KNOWN_CHARACTERS:
             self.forget()
         units = [self.units(t) if t else [] for t in texts]
-        codes, alone = self.codes, [i for i, u in enumerate(units) if len(u) == 1 and u[0].isspace()]
-        lonely = {i: units[i] for i in alone}
-        for i in alone:
-            units[i] = []
-        new = list(dict.fromkeys(u for x in units for u in x if u not in codes))
+        # Texts of white space only, or that can't be parted, are looked at by themselves.
+        whole = [i for i, u in enumerate(units) if len(u) == 1 and (u[0].isspace() or not self.parts)]
+        alone = [units[i] for i in whole]
+        for i in whole:
+            units[i] = [" "]  # a place to be filled
+        flat = list(chain.from_iterable(units))
+        new = list(set(flat).difference(self.codes))
         if new:
-            codes.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
             self.learn(new)
-        rows = [[codes[u] for u in x] for x in units]
-        for i, u in lonely.items():
-            rows[i] = [len(self.texts)]
-            self.learn(u, alone=True)
-        count = np.fromiter(map(len, rows), np.int64, len(rows))
-        owner = np.repeat(np.arange(len(rows)), count)
-        code = np.fromiter(chain.from_iterable(rows), np.int64, int(count.sum()))
-        bad = np.zeros(len(rows), bool)
+        count = np.fromiter(map(len, units), np.int64, len(units))
+        owner = np.repeat(np.arange(len(units)), count)
+        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        ends = np.cumsum(count)
+        for i, u in zip(whole, alone):
+            code[ends[i] - 1] = len(self.texts)
+            self._align(u, functools.partial(self._one_by_one, whole=True))
+        bad = np.zeros(len(units), bool)
         bad[owner[self.numbers[code, 4] == 0]] = True
-        numbers = np.zeros((len(rows), 4), np.int64)
+        numbers = np.zeros((len(units), 4), np.int64)
         for k in range(4):
-            numbers[:, k] = np.bincount(owner, self.numbers[code, k], len(rows))
+            numbers[:, k] = np.bincount(owner, self.numbers[code, k], len(units))
         numbers[bad] = 0
-        known = self.texts
-        digests = ["" if b or not r else hashlib.sha256(
-            ";".join([known[c] for c in r]).encode()).hexdigest() for r, b in zip(rows, bad.tolist())]
+        said = list(map(self.texts.__getitem__, code.tolist()))
+        digests = ["" if b or not n else hashlib.sha256(";".join(said[e - n:e]).encode()).hexdigest()
+                   for e, n, b in zip(ends.tolist(), count.tolist(), bad.tolist())]
         kept = ~bad[owner]
         code, owner = code[kept], owner[kept]
         n = self.numbers[code, 3]
         place = np.repeat(self.first[code] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         span = len(self.bytes_a) * self.n_b
         keys, times = np.unique(np.repeat(owner, n) * span + self.pairs[place], return_counts=True)
-        return numbers, digests, keys % span, times, np.bincount(keys // span, minlength=len(rows))
+        return numbers, digests, keys % span, times, np.bincount(keys // span, minlength=len(units))
 
 
 def _firsts(owner: np.ndarray) -> np.ndarray:
