@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KNOWN_WORDS = 1_000_000  # kept per Python worker; then the table starts anew
+# Kept per Python worker, over its tasks and beside whatever it runs next; then the table starts
+# anew. Most different words occur once, so a longer memory saves little.
+KNOWN_WORDS = 400_000
 
 
 # A word of plain letters, with a mark after it or not: its ids are those of its
