@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rostrum.llm import shingles as sh
-from rostrum.llm.common import batch_of, group_starts, groups_in_order, id_and_text
+from rostrum.llm.common import batch_of, group_starts, groups_in_order, id_and_text, released
 from rostrum.llm.components import components
 from rostrum.session import stage
 
@@ -267,7 +267,7 @@ def jaccard_classes(
     least = least_matches(threshold, tolerance)
     own = id_and_text(docs, doc_id, text)
     known = own.where("doc_id is not null")
-    sketch = stage(known.mapInArrow(_sketches, _ddl(_SKETCH)), "sketches")
+    sketch = stage(known.mapInArrow(released(_sketches), _ddl(_SKETCH)), "sketches")
     texts = stage(
         sketch.where("sig is not null").groupBy("f1", "f2")
         .agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"),

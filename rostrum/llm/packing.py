@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rostrum.llm.common import by_bytes, id_and_text
+from rostrum.llm.common import by_bytes, id_and_text, released
 from rostrum.llm.tokenizing import word_tokens
 from rostrum.session import stage
 
@@ -162,7 +162,7 @@ def _tokenize(path: str, end_id: int, window: int):
         width = "<u2" if tokens.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         rests, full = np.zeros(window, np.int64), 0
         for whole in batches:
-            for batch in by_bytes(whole, "text", 8 << 20):
+            for batch in by_bytes(whole, "text", 4 << 20):
                 flat, counts = tokens.encode(batch.column("text"))
                 ends = np.cumsum(counts)
                 small = flat.astype(width)
@@ -219,7 +219,7 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     are ignored.
     """
     own = id_and_text(docs, doc_id, text)
-    rows = stage(own.mapInArrow(_tokenize(tokenizer, end_id, window), _IDS), "ids")
+    rows = stage(own.mapInArrow(released(_tokenize(tokenizer, end_id, window)), _IDS), "ids")
     # One row per task and length: how many rests and full windows a task has.
     per_task = stage(rows.groupBy("task", "rest").agg(
         F.count("*").alias("rests"),

@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rostrum.llm.common import id_and_text, unused_name
+from rostrum.llm.common import id_and_text, released, unused_name
 from rostrum.llm.toxic_features import STEM, keyed_features
 from rostrum.operators.lookup import lookup
 from rostrum.session import stage
@@ -72,7 +72,7 @@ def described(docs: DataFrame, entries: dict[str, float]) -> DataFrame:
     """``docs`` with the vector ``features`` in place of ``text``."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
     rows = docs.select(*[c for c in docs.columns if c != "text"], "text").mapInArrow(
-        keyed_features(entries), ", ".join([*kept, "features array<double>"]))
+        released(keyed_features(entries)), ", ".join([*kept, "features array<double>"]))
     return rows.withColumn("features", array_to_vector("features"))
 
 
