@@ -476,6 +476,9 @@ SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, user_id AS job_id, c
 FROM events GROUP BY 1, 2""",
 }
 ORACLES["stream_late_drop"] = ORACLES["late_drop"]
+ORACLES["stream_timely_slices"] = ORACLES["late_drop"]
+ORACLES["stream_meeting_state"] = f"WITH {MEETINGS} SELECT job_id, created_at, status, stop_ts FROM meetings"
+ORACLES["stream_running_transcript"] = ORACLES["stream_transcript"]
 ORACLES["stream_sessions"] = ORACLES["pause_segments"]
 ORACLES["recording_points"] = f"""{WITH_CHUNKS},
 recorded AS (

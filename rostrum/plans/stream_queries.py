@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.functions.names import format_names, object_id
-from rostrum.limits import PAUSE
+from rostrum.limits import PAUSE, STATUS_DONE, STATUS_OPEN
 from rostrum.operators import transcript, vector_table
 from rostrum.plans import fixtures as fx
 from rostrum.plans.queries import point_report, query
@@ -15,9 +15,10 @@ from rostrum.schemas import EVENTS
 from rostrum.session import scratch_path
 from rostrum.sources.sinks import append_files, read_batches
 from rostrum.sources.tables import stream_files
-from rostrum.streaming import intake, meetings
+from rostrum.streaming import intake, keyed, meetings
 
 DELAY = "10 minutes"
+ANY_ORDER = "60000 days"  # a delay no event of a table exceeds
 FILES_PER_STEP = 64  # bounds what one micro-batch takes in
 STEPS = 4
 
@@ -35,6 +36,19 @@ def _shuffled(df: DataFrame, key: str) -> DataFrame:
     return stream_files(spark, path, df.schema, files_per_step=-(-n // STEPS))
 
 
+def _settled(df: DataFrame, key: str, last: DataFrame, label: str, job) -> DataFrame:
+    """What ``job`` emits for a table in ``STEPS`` micro-batches that do not follow its
+    order, and then for ``last``, rows so late in time that all before them is settled."""
+    spark = keyed.keyed_state(df.sparkSession)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), STEPS)
+    path = scratch_path(spark, label)
+    for rows in (df.repartition(n, key), last):
+        rows.select(*df.columns).write.mode("append").parquet(f"{path}/in")
+        stream = stream_files(spark, f"{path}/in", df.schema, files_per_step=-(-n // STEPS))
+        append_files(job(stream), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/rows")
+
+
 def _closed(spark: SparkSession, folder: str, label: str, windows) -> DataFrame:
     """All windows over the events, the last ones too.
 
@@ -123,6 +137,42 @@ def stream_late_drop(spark, folder):
     return meetings.still_timely(stored, path).select("event_id", "job_id")
 
 
+def _meeting_states(spark: SparkSession, folder: str) -> DataFrame:
+    events = fx.meeting_events(fx.events(spark, folder))
+    far = spark.createDataFrame([("end", "none", dt.datetime(2250, 1, 1))], "j string, kind string, ts timestamp")
+    last = far.select(
+        F.lit(None).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("job_id"),
+        F.col("ts").cast(events.schema["ts"].dataType).alias("ts"), "kind")
+    return _settled(events, "event_id", last, "states",
+                    lambda rows: keyed.meeting_states(rows, ANY_ORDER))
+
+
+@query
+def stream_meeting_state(spark, folder):
+    """Meetings as they were settled, from events that come out of order."""
+    rows = _meeting_states(spark, folder).where("what = 'meeting'")
+    return rows.select(
+        F.col("job_id").cast("long").alias("job_id"), _local("created_at"), _local("stop_ts"),
+        F.when(F.col("stop_ts").isNull(), STATUS_OPEN).otherwise(STATUS_DONE).alias("status"))
+
+
+@query
+def stream_timely_slices(spark, folder):
+    """Slices decided by the state of their meeting, each once and for good."""
+    rows = _meeting_states(spark, folder).where("what = 'slice'")
+    return rows.select("event_id", F.col("job_id").cast("long").alias("job_id"))
+
+
+@query
+def stream_running_transcript(spark, folder):
+    """Transcripts numbered while fragments come in out of order, late ones corrected."""
+    said = fx.spoken(fx.turns(spark, folder))
+    changes = _settled(said, "turn", said.limit(0), "transcripts",
+                       lambda rows: keyed.running_transcript(rows, "conv_id", "turn"))
+    return keyed.current_transcript(changes).select(
+        F.col("job_id").cast("long").alias("conv_id"), "chunk_no", F.md5("text").alias("text_md5"))
+
+
 @query
 def stream_recordings(spark, folder):
     """The stored points of recordings that arrived as a stream."""
