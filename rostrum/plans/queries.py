@@ -13,7 +13,7 @@ from rostrum.functions.text import is_blank
 from rostrum.functions.vectors import dense, feature_norm, hashed_features
 from rostrum.limits import CHAT_HITS, HISTORY_PAGE, TRANSCRIPT_HITS, VECTOR_WIDTH
 from rostrum.operators import (
-    attempts, chats, chunks, frames, intake, lifecycle, quality, retrieval, segments,
+    attempts, chats, chunks, frames, intake, lifecycle, postings, quality, retrieval, segments,
     transcript, vector_table,
 )
 from rostrum.plans import fixtures as fx, flows
@@ -527,6 +527,17 @@ def text_topk_all(spark, folder):
     return _snippet_hits(fx.spread_turns(spark, folder), before=False)
 
 
+@query
+def text_topk_index(spark, folder):
+    """The same by posting lists per meeting and bucket, read only as far as they can matter."""
+    tn = fx.spread_turns(spark, folder)
+    said = chunks.features(fx.spoken(tn))
+    return postings.top_by_index(
+        _prompt_vectors(tn), said, postings.posting_lists(said, "conv_id", "turn"),
+        TRANSCRIPT_HITS, job="conv_id", prompt_id="prompt_turn", candidate_id="turn",
+    ).withColumnsRenamed({"prompt_id": "prompt_turn", "candidate_id": "turn"})
+
+
 @query
 def topk_chats(spark, folder):
     tn = fx.spread_turns(spark, folder)
