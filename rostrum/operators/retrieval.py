@@ -65,7 +65,7 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(picked)
 
 
-def _block_hits(k: int, size: int, sparse: bool, ordered: bool, distinct: bool, schema: pa.Schema):
+def block_hits(k: int, size: int, sparse: bool, ordered: bool, distinct: bool, schema: pa.Schema):
     def vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         m = _matrix(table["_idx"] if sparse else None, table["_val"], size)
         return m, np.sqrt((m * m).sum(axis=1))
@@ -118,7 +118,7 @@ def _block_hits(k: int, size: int, sparse: bool, ordered: bool, distinct: bool,
     return hits
 
 
-def _side(df: DataFrame, job: str, ident: str, ident_name: str, vector: str,
+def block_side(df: DataFrame, job: str, ident: str, ident_name: str, vector: str,
           order: str | None, sparse: bool) -> DataFrame:
     """The columns a block needs; without a meeting there is nothing to find.
 
@@ -161,8 +161,8 @@ def top_similar(
     """
     sparse = isinstance(prompts.schema[vector].dataType.elementType, T.StructType)
     ordered = prompt_order is not None
-    left = _side(prompts, job, prompt_id, "prompt_id", vector, prompt_order, sparse)
-    right = _side(candidates, job, candidate_id, "candidate_id", vector, candidate_order, sparse)
+    left = block_side(prompts, job, prompt_id, "prompt_id", vector, prompt_order, sparse)
+    right = block_side(candidates, job, candidate_id, "candidate_id", vector, candidate_order, sparse)
 
     sizes = _sizes(left, right)
     asked, both = F.col("_p") > 0, F.greatest("_p", "_c")
@@ -207,7 +207,7 @@ def top_similar(
         T.StructField("candidate_id", right.schema["candidate_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    kernel = _block_hits(k, size, sparse, ordered, exclude_self, to_arrow_schema(result))
+    kernel = block_hits(k, size, sparse, ordered, exclude_self, to_arrow_schema(result))
     keys = ["_cell", "_pb", "_cb"]
     hits = (
         lay_out(left, "_p", "prompt_id").groupBy(*keys)

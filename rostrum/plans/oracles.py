@@ -475,6 +475,7 @@ FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S')""",
 SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, user_id AS job_id, count(*) AS n
 FROM events GROUP BY 1, 2""",
 }
+ORACLES["topk_pruned"] = ORACLES["topk_chunks"]
 ORACLES["text_topk_index"] = ORACLES["text_topk_all"]
 ORACLES["stream_late_drop"] = ORACLES["late_drop"]
 ORACLES["stream_timely_slices"] = ORACLES["late_drop"]

@@ -13,8 +13,8 @@ from rostrum.functions.text import is_blank
 from rostrum.functions.vectors import dense, feature_norm, hashed_features
 from rostrum.limits import CHAT_HITS, HISTORY_PAGE, TRANSCRIPT_HITS, VECTOR_WIDTH
 from rostrum.operators import (
-    attempts, chats, chunks, frames, intake, lifecycle, postings, quality, retrieval, segments,
-    transcript, vector_table,
+    attempts, chats, chunks, frames, intake, lifecycle, postings, pruned, quality, retrieval,
+    segments, transcript, vector_table,
 )
 from rostrum.plans import fixtures as fx, flows
 from rostrum.session import scratch_path
@@ -24,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 DENSE_WIDTH = 64
+PRUNED_BLOCK = 32
 PAUSE_SECONDS = 1800
 
 
@@ -494,6 +495,19 @@ def topk_chunks(spark, folder):
     ).select("job_id", "prompt_id", F.col("candidate_id").alias("vec_id"), "rank", "score")
 
 
+@query
+def topk_pruned(spark, folder):
+    """The same with blocks small enough for the given meetings to have several, of which
+    those too far away are skipped."""
+    stored = spark.read.parquet(f"{folder}/embeddings.parquet").select(
+        F.col("label").cast("bigint").alias("job_id"), "vec_id", F.col("embedding").alias("vector")
+    )
+    return pruned.top_pruned(
+        stored, stored, TRANSCRIPT_HITS, job="job_id", prompt_id="vec_id", candidate_id="vec_id",
+        exclude_self=True, size=DENSE_WIDTH, block_rows=PRUNED_BLOCK,
+    ).select("job_id", "prompt_id", F.col("candidate_id").alias("vec_id"), "rank", "score")
+
+
 def _prompt_vectors(tn: DataFrame) -> DataFrame:
     return chunks.features(fx.prompts(tn), "question")
 

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rostrum.functions.vectors import FEATURES
-from rostrum.operators import postings, retrieval
+from rostrum.operators import postings, pruned, retrieval
 
 
 def rows_of(df):
@@ -62,3 +63,34 @@ def test_nothing_asked_or_found(spark, texts):
     assert postings.top_by_index(texts.limit(0), texts, lists, 5, **names).count() == 0
     none = texts.limit(0)
     assert postings.top_by_index(texts, none, postings.posting_lists(none, "job", "id"), 5, **names).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    """A large meeting of a few tight groups, small ones, rows that can't be compared."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    x = centres[rng.integers(0, 12, 600)] + 0.05 * rng.normal(size=(600, 8))
+    x[:5] = x[5]
+    rows = [("hot" if i % 4 else f"j{i % 24}", i, int(rng.integers(0, 400)), v.tolist()) for i, v in enumerate(x)]
+    rows += [("hot", 900, 5, None), ("hot", 901, 5, []), ("hot", 902, 5, [0.0] * 8), (None, 903, 5, [1.0] * 8),
+             ("hot", 904, 5, [float("nan")] * 8), ("lone", 905, 5, [1.0] * 8)]
+    return spark.createDataFrame(rows, "job string, id int, said int, vector array<double>").withColumn(
+        "_cell", F.lit("x"))
+
+
+@pytest.mark.parametrize("block", [20, 64, 4096])
+@pytest.mark.parametrize("order,self_", [(None, True), (None, False), ("said", False)])
+def test_pruned_equals_full_search(vectors, block, order, self_):
+    settings = dict(job="job", prompt_id="id", candidate_id="id", prompt_order=order, candidate_order=order,
+                    exclude_self=self_, size=8)
+    asked = vectors.where("id % 2 = 0")
+    got = pruned.top_pruned(asked, vectors, 4, block_rows=block, **settings)
+    assert rows_of(got) == rows_of(retrieval.top_similar(asked, vectors, 4, **settings))
+
+
+def test_block_pairs_are_skipped(vectors):
+    seen = {}
+    pruned.top_pruned(vectors, vectors, 4, job="job", prompt_id="id", candidate_id="id", size=8,
+                      exclude_self=True, block_rows=30, visited=seen)
+    assert seen["all"] > 100 and seen["first"] + seen["second"] < 0.5 * seen["all"]
