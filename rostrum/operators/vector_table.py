@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rostrum.functions.names import iso_utc
 from rostrum.functions.vectors import dense, hashed_features, l2_norm, width
 from rostrum.limits import VECTOR_WIDTH
+from rostrum.schemas import POINTS
 from rostrum.sources.by_job import write_by_job
+from rostrum.sources.snapshots import BUCKETS, last_written, merge_rows, read_snapshot
+
+WRITTEN = ["upload_timestamp", "seq"]  # the order of writes of one point
 
 
 def point_id(job: Column, source: Column, chunk_idx: Column) -> Column:
@@ -44,13 +48,10 @@ def latest_points(points: DataFrame, key: str = "id") -> DataFrame:
     """One row per key, the last written.
 
     The rank limit runs before the shuffle too, so a key that was replayed many
-    times moves one row per task.
+    times moves one row per task. Writes of one time and number are told apart by what
+    they hold.
     """
-    last = Window.partitionBy(key).orderBy(F.desc("upload_timestamp"), F.desc("seq"))
-    return (
-        points.withColumn("_rank", F.row_number().over(last))
-        .where(F.col("_rank") == 1).drop("_rank")
-    )
+    return last_written(points, key, WRITTEN)
 
 
 def embed(df: DataFrame, text: str, name: str = "vector",
@@ -88,6 +89,20 @@ def contract_report(df: DataFrame, job: str, vector: str, size: int) -> DataFram
     )
 
 
+def merge_points(points: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    """Merge a delivery into the stored points, last write wins; the table's new version.
+
+    Only the buckets of the delivery's points are read and written.
+    """
+    return merge_rows(points, path, "id", WRITTEN, buckets)
+
+
+def merged_points(spark: SparkSession, path: str, version: int | None = None,
+                  schema=None) -> DataFrame:
+    """The points as of a version, one per key: nothing is left to be sorted out."""
+    return read_snapshot(spark, path, schema or POINTS, version)
+
+
 def write_points(points: DataFrame, path: str, job: str = "job_id", **options) -> None:
     """Appended, not replaced: last write wins when read through ``latest_points``."""
     write_by_job(points, path, job, **options)

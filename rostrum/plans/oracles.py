@@ -475,6 +475,15 @@ FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S')""",
 SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, user_id AS job_id, count(*) AS n
 FROM events GROUP BY 1, 2""",
 }
+ORACLES["stream_once"] = ORACLES["stream_ingest"]
+ORACLES["merge_points"] = f"""{WITH_CHUNKS},
+written AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 2 THEN 2 WHEN doc_id % 2 = 1 THEN 1 ELSE 0 END AS seq
+  FROM documents)
+SELECT sha256(d.source || '|' || c.doc_id || '|' || c.chunk_idx) AS id, d.source AS job_id,
+  'rec-' || c.doc_id || '-' || d.seq || '.webm' AS filename,
+  TIMESTAMP '2024-01-01 00:00:00' + to_seconds(c.doc_id + 60 * d.seq) AS upload_timestamp,
+  md5(c.text) AS text_md5, c.summary
+FROM summarised c JOIN written d USING (doc_id)"""
 ORACLES["topk_pruned"] = ORACLES["topk_chunks"]
 ORACLES["text_topk_index"] = ORACLES["text_topk_all"]
 ORACLES["stream_late_drop"] = ORACLES["late_drop"]

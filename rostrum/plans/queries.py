@@ -392,14 +392,11 @@ def vector_contract(spark, folder):
     )
 
 
-@query
-def vector_upsert(spark, folder):
-    """Chunks of every document delivered twice, the second time for odd documents only
-    with a later time; one point per chunk remains."""
+def _delivered(spark: SparkSession, folder: str, numbers) -> DataFrame:
+    """Points of every document's chunks, once per number that ``numbers`` gives for its id;
+    each number is a minute later than the one before."""
     rows = chunks.summarised(chunks.chunked(fx.spread_documents(spark, folder), ["doc_id", "source"]))
-    delivered = rows.withColumn(
-        "seq", F.explode(F.when(F.col("doc_id") % 2 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    ).select(
+    delivered = rows.withColumn("seq", F.explode(numbers(F.col("doc_id")))).select(
         F.col("source").alias("job_id"), F.col("doc_id").alias("source_id"), "chunk_idx",
         "text", "summary",
         F.concat(F.lit("rec-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("seq").cast("string"),
@@ -408,12 +405,34 @@ def vector_upsert(spark, folder):
                         F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("ts"),
         "seq",
     )
-    points = vector_table.latest_points(vector_table.transcript_points(delivered))
+    return vector_table.transcript_points(delivered)
+
+
+def _point_texts(points: DataFrame) -> DataFrame:
     return points.select(
         "id", "job_id", "filename", "upload_timestamp", F.md5("text").alias("text_md5"), "summary"
     )
 
 
+@query
+def vector_upsert(spark, folder):
+    """Chunks of every document delivered twice, the second time for odd documents only
+    with a later time; one point per chunk remains."""
+    numbers = lambda doc: F.when(doc % 2 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return _point_texts(vector_table.latest_points(_delivered(spark, folder, numbers)))
+
+
+@query
+def merge_points(spark, folder):
+    """Three deliveries merged one after the other into the buckets they touch: all
+    documents, every third one later, and last those of odd number from in between."""
+    path = scratch_path(spark, "merged")
+    for number, step in ((0, 1), (2, 3), (1, 2)):
+        chosen = lambda doc: F.when(doc % step == step - 1, F.array(F.lit(number)))
+        vector_table.merge_points(_delivered(spark, folder, chosen), path)
+    return _point_texts(vector_table.merged_points(spark, path))
+
+
 @query
 def recording_points(spark, folder):
     """Documents as the slices of their source's meeting, from event to stored point."""

@@ -15,12 +15,13 @@ from rostrum.schemas import EVENTS
 from rostrum.session import scratch_path
 from rostrum.sources.sinks import append_files, read_batches
 from rostrum.sources.tables import stream_files
-from rostrum.streaming import intake, keyed, meetings
+from rostrum.streaming import intake, keyed, ledger, meetings
 
 DELAY = "10 minutes"
 ANY_ORDER = "60000 days"  # a delay no event of a table exceeds
 FILES_PER_STEP = 64  # bounds what one micro-batch takes in
 STEPS = 4
+LEDGER_BUCKETS = 16
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,6 +118,21 @@ def stream_ingest(spark, folder):
     )
 
 
+@query
+def stream_once(spark, folder):
+    """Published messages consumed, then all of them delivered again, and refused at intake."""
+    published = _accepted_messages(spark, folder)
+    path = scratch_path(spark, "once")
+    for copies in (2, 1):
+        again = F.explode(F.array_repeat("value", copies))
+        spark.read.text(published).select(again.alias("value")).write.mode("append").text(f"{path}/in")
+        messages = spark.readStream.option("maxFilesPerTrigger", 4).text(f"{path}/in")
+        ledger.consume_once(messages, path, f"{path}/checkpoint", buckets=LEDGER_BUCKETS).awaitTermination()
+    return read_batches(spark, f"{path}/accepted").select(
+        "job_id", "file_id", F.col("metadata.originalFileName").alias("file_name"),
+        F.col("metadata.size").alias("size_bytes"))
+
+
 @query
 def stream_dedup(spark, folder):
     """Every event delivered twice, kept once."""

@@ -35,3 +35,13 @@ EVENTS = T.StructType([
     T.StructField("value", T.DoubleType()),
     T.StructField("props", T.StringType()),
 ])
+
+POINTS = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("job_id", T.StringType()),
+    T.StructField("filename", T.StringType()),
+    T.StructField("upload_timestamp", T.TimestampNTZType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("summary", T.StringType()),
+    T.StructField("seq", T.IntegerType()),
+])

@@ -38,19 +38,19 @@ def each_batch(stream: DataFrame, step, checkpoint: str, mode: str = "append") -
     )
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
     """A path and the file system that holds it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
-    target, files = _folder(spark, path)
+    target, files = folder_of(spark, path)
     files.delete(target, True)
 
 
 def folder_exists(spark: SparkSession, path: str) -> bool:
-    target, files = _folder(spark, path)
+    target, files = folder_of(spark, path)
     return files.exists(target)
 
 
@@ -59,7 +59,7 @@ def keep_last_folders(spark: SparkSession, path: str, name: str, last: int, keep
 
     Does nothing unless the folder of ``last`` is there, which is newer than what goes.
     """
-    target, files = _folder(spark, path)
+    target, files = folder_of(spark, path)
     if not files.exists(target):
         return
     numbers = sorted(
