@@ -298,7 +298,7 @@ def jaccard_classes(
 def _candidate_roots(texts: DataFrame, least: list[int]) -> DataFrame:
     """``node, root`` of the components that pruning leaves."""
     sig = texts.select("text_id", "sig")
-    bands = sig.mapInArrow(_bands, "key long, text_id long")
+    bands = sig.mapInArrow(released(_bands), "key long, text_id long")
     leaders = bands.groupBy("key").agg(
         F.min("text_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = stage(bands.join(leaders, "key").where("text_id != leader"), "buckets")
@@ -306,7 +306,7 @@ def _candidate_roots(texts: DataFrame, least: list[int]) -> DataFrame:
         members.select("text_id", "leader").distinct()
         .join(sig, "text_id")
         .join(sig.toDF("leader", "leader_sig"), "leader")
-        .mapInArrow(_star_check(least), "text_id long, leader long, ok boolean"), "stars")
+        .mapInArrow(released(_star_check(least)), "text_id long, leader long, ok boolean"), "stars")
     failed = members.join(stars.where("not ok"), ["text_id", "leader"]).where("n > 2")
     keys = failed.groupBy("key").agg(F.count("*").alias("fails"))
     rest = (
@@ -318,7 +318,7 @@ def _candidate_roots(texts: DataFrame, least: list[int]) -> DataFrame:
     pairs = (
         _blocked(rest, F.ceil(F.col("n") / BUCKET_BLOCK).cast("bigint"), "text_id").drop("n")
         .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-        .mapInArrow(_bucket_check(least), "a long, b long")
+        .mapInArrow(released(_bucket_check(least)), "a long, b long")
     )
     ok = stars.where("ok").select(F.col("text_id").alias("a"), F.col("leader").alias("b"))
     return components(ok.union(pairs))
@@ -341,7 +341,7 @@ def _verified(known: DataFrame, texts: DataFrame, roots: DataFrame, threshold: f
         _blocked(whole, F.col("blocks"), "text_id")
         .select("root", "x", "y", "block", "text_id", "copies", "text")
         .repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
-        .mapInArrow(_exact_links(threshold), "a long, b long, links long")
+        .mapInArrow(released(_exact_links(threshold)), "a long, b long, links long")
     )
 
 

@@ -244,5 +244,5 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         .select("doc_id", "ids", "n", "rest",
                 (F.col("rest_no") + F.col("rest_before")).alias("rest_no"),
                 (F.col("full_no") + F.col("full_before")).alias("full_no"))
-        .mapInArrow(_cut(layout, full_total), _PIECES)
+        .mapInArrow(released(_cut(layout, full_total)), _PIECES)
     )

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 # Kept per Python worker, over its tasks and beside whatever it runs next; then the table starts
 # anew. Most different words occur once, so a longer memory saves little.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 
 
 # A word of plain letters, with a mark after it or not: its ids are those of its
