@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.sources.tables import read_table
 
+TEXT_ROWS = 2_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents")
@@ -19,7 +22,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Just the two columns an operator reads, under fixed names; other columns
-    of the caller can't clash with the operator's own."""
+    of the caller can't clash with the operator's own. Batches of texts that go to Python
+    hold ``TEXT_ROWS`` rows from then on, unless the session says fewer: they are buffers
+    outside the heap, on both sides."""
+    conf = docs.sparkSession.conf
+    if int(conf.get(_BATCH_ROWS)) > TEXT_ROWS:
+        conf.set(_BATCH_ROWS, TEXT_ROWS)
     return docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")
     )
