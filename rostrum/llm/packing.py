@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rostrum.llm.common import by_bytes, id_and_text, released
-from rostrum.llm.tokenizing import word_tokens
+from rostrum.llm.tokenizing import KNOWN_WORDS, word_tokens
 from rostrum.session import stage
 
 WINDOW = 2048
@@ -154,11 +154,11 @@ _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
            "sequence_id long, offset long")
 
 
-def _tokenize(path: str, end_id: int, window: int):
+def _tokenize(path: str, end_id: int, window: int, known_words: int):
     """Ids of each text (16 bits each if the vocabulary allows), and its numbers among
     this task's rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task = word_tokens(path), TaskContext.get().partitionId()
+        tokens, task = word_tokens(path, known_words), TaskContext.get().partitionId()
         width = "<u2" if tokens.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         rests, full = np.zeros(window, np.int64), 0
         for whole in batches:
@@ -208,7 +208,8 @@ def _cut(layout: Layout, full_total: int):
 
 
 def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
-           window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+           window: int = WINDOW, end_id: int = END_ID,
+           known_words: int = KNOWN_WORDS) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``.
 
@@ -216,10 +217,11 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     null text is empty and is one token, ``end_id``; rows repeated whole are packed
     each; a null ``doc_id`` stays null. Sequences hold ``window`` tokens, but for the
     last few, which hold powers of two. An empty table gives no pieces. Other columns
-    are ignored.
+    are ignored. ``known_words`` says how many words a Python worker remembers: fewer take
+    less memory and more time, and change no result.
     """
     own = id_and_text(docs, doc_id, text)
-    rows = stage(own.mapInArrow(released(_tokenize(tokenizer, end_id, window)), _IDS), "ids")
+    rows = stage(own.mapInArrow(released(_tokenize(tokenizer, end_id, window, known_words)), _IDS), "ids")
     # One row per task and length: how many rests and full windows a task has.
     per_task = stage(rows.groupBy("task", "rest").agg(
         F.count("*").alias("rests"),

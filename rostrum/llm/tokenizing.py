@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Kept per Python worker, over its tasks and beside whatever it runs next; then the table starts
-# anew. Most different words occur once, so a longer memory saves little.
-KNOWN_WORDS = 300_000
+# Kept per Python worker, over its tasks and beside whatever it runs next; then the table
+# starts anew.
+KNOWN_WORDS = 1_000_000
 
 
 # A word of plain letters, with a mark after it or not: its ids are those of its
@@ -33,7 +33,8 @@ class WordTokens:
     are cut here, and parts letters from marks.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, known_words: int = KNOWN_WORDS) -> None:
+        self.known_words = known_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -90,7 +91,7 @@ class WordTokens:
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         encoded = lists.flatten().dictionary_encode()
         words = encoded.dictionary.to_pylist()
-        if len(self.codes) + len(words) > KNOWN_WORDS:
+        if len(self.codes) + len(words) > self.known_words:
             self.forget()
         codes = self.codes
         new = [w for w in words if w not in codes]
@@ -111,6 +112,6 @@ class WordTokens:
 
 
 @functools.lru_cache(maxsize=1)
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, known_words: int = KNOWN_WORDS) -> WordTokens:
     """One table per Python worker, kept over its tasks."""
-    return WordTokens(path)
+    return WordTokens(path, known_words)
