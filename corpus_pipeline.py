@@ -20,6 +20,7 @@ from rostrum.llm.common import unused_name
 from rostrum.session import stage
 from rostrum.sources.tables import read_table
 
+KNOWN_WORDS = 300_000  # of packing: its Python workers go on to serve other stages
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -54,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
-    return packing.packed(docs, TOKENIZER)
+    return packing.packed(docs, TOKENIZER, known_words=KNOWN_WORDS)
 
 
 STAGES = [
