@@ -16,39 +16,57 @@ def tumbling_counts(events: DataFrame, job: str, ts: str = "ts", width: str = SL
     )
 
 
-def pause_segments(events: DataFrame, job: str, gap_seconds: int, ts: str = "ts") -> DataFrame:
-    """Activity of a meeting cut where nothing happens for longer than the gap.
+def event_spans(events: DataFrame, job: str, gap: int, ts: str = "ts") -> DataFrame:
+    """Events counted per bucket as wide as the gap: ``job, lo, hi, n``, in microseconds.
 
-    ``job, segment_start, segment_end, n``; the end is the last event plus the
-    gap, and two events exactly one gap apart share a segment.
-
-    Two events in one time bucket as wide as the gap can never be parted, so
-    events are first counted per bucket, on the map side too. The window then
-    runs over buckets, of which a meeting has as many as the calendar allows,
-    not as many as it has events.
+    Two events in one bucket can never be parted by a pause, so what follows runs over
+    buckets, of which a meeting has as many as the calendar allows, not as many as it has
+    events. They are counted on the map side too.
     """
-    gap = gap_seconds * 1_000_000
     at = epoch_micros(F.col(ts))
-    buckets = (
+    return (
         events.where(F.col(ts).isNotNull())
         .select(job, at.alias("_t"), F.floor(at / F.lit(gap)).alias("_b"))
         .groupBy(job, "_b")
-        .agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count("*").alias("_n"))
-    )
-    order = Window.partitionBy(job).orderBy("_b")
-    opens: Column = F.coalesce(
-        (F.col("_lo") - F.lag("_hi").over(order) > gap).cast("int"), F.lit(1)
+        .agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.count("*").alias("n"))
+        .drop("_b")
     )
+
+
+def numbered_runs(spans: DataFrame, job: str, gap: int) -> DataFrame:
+    """Adds ``run``: spans of a meeting that touch, or lie no more than the gap apart, share one.
+
+    Spans may overlap; one that starts within the gap of all that came before joins them.
+    """
+    order = Window.partitionBy(job).orderBy("lo", "hi")
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens: Column = F.coalesce((F.col("lo") - reached > gap).cast("int"), F.lit(1))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        buckets.withColumn("_open", opens)
-        .withColumn("_seg", F.sum("_open").over(running))
-        .groupBy(job, "_seg")
-        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_n").alias("n"))
-        .select(
-            job,
-            micros_to_ntz(F.col("_lo")).alias("segment_start"),
-            micros_to_ntz(F.col("_hi") + gap).alias("segment_end"),
-            "n",
-        )
+    return spans.withColumn("_open", opens).withColumn("run", F.sum("_open").over(running)).drop("_open")
+
+
+def runs(numbered: DataFrame, job: str) -> DataFrame:
+    """One span per run: ``job, lo, hi, n``."""
+    return numbered.groupBy(job, "run").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")
+    ).drop("run")
+
+
+def as_segments(spans: DataFrame, job: str, gap: int) -> DataFrame:
+    return spans.select(
+        job,
+        micros_to_ntz(F.col("lo")).alias("segment_start"),
+        micros_to_ntz(F.col("hi") + gap).alias("segment_end"),
+        "n",
     )
+
+
+def pause_segments(events: DataFrame, job: str, gap_seconds: int, ts: str = "ts") -> DataFrame:
+    """Activity of a meeting cut where nothing happens for longer than the gap.
+
+    ``job, segment_start, segment_end, n``; the end is the last event plus the
+    gap, and two events exactly one gap apart share a segment.
+    """
+    gap = gap_seconds * 1_000_000
+    spans = event_spans(events, job, gap, ts)
+    return as_segments(runs(numbered_runs(spans, job, gap), job), job, gap)

@@ -491,6 +491,7 @@ ORACLES["stream_timely_slices"] = ORACLES["late_drop"]
 ORACLES["stream_meeting_state"] = f"WITH {MEETINGS} SELECT job_id, created_at, status, stop_ts FROM meetings"
 ORACLES["stream_running_transcript"] = ORACLES["stream_transcript"]
 ORACLES["stream_sessions"] = ORACLES["pause_segments"]
+ORACLES["stream_sessions_corrected"] = ORACLES["pause_segments"]
 ORACLES["recording_points"] = f"""{WITH_CHUNKS},
 recorded AS (
   SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS ts, n_chars % 50 = 0 AS stops

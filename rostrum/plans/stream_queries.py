@@ -10,14 +10,15 @@ from rostrum.functions.names import format_names, object_id
 from rostrum.limits import PAUSE, STATUS_DONE, STATUS_OPEN
 from rostrum.operators import transcript, vector_table
 from rostrum.plans import fixtures as fx
-from rostrum.plans.queries import point_report, query
+from rostrum.plans.queries import PAUSE_SECONDS, point_report, query
 from rostrum.schemas import EVENTS
 from rostrum.session import scratch_path
 from rostrum.sources.sinks import append_files, read_batches
 from rostrum.sources.tables import stream_files
-from rostrum.streaming import intake, keyed, ledger, meetings
+from rostrum.streaming import intake, keyed, ledger, meetings, sessions
 
 DELAY = "10 minutes"
+DELAY_SECONDS = 600
 ANY_ORDER = "60000 days"  # a delay no event of a table exceeds
 FILES_PER_STEP = 64  # bounds what one micro-batch takes in
 STEPS = 4
@@ -243,3 +244,14 @@ def stream_sessions(spark, folder):
     return rows.select(
         "job_id", _local("segment_start"), _local("segment_end"), "n"
     )
+
+
+@query
+def stream_sessions_corrected(spark, folder):
+    """Activity between pauses, from events that come out of order and mostly too late."""
+    events = fx.events(spark, folder).select("event_id", F.col("user_id").alias("job_id"), "ts")
+    path = scratch_path(spark, "corrected")
+    run, kept = sessions.keep_sessions(
+        _shuffled(events, "event_id"), path, f"{path}/checkpoint", "job_id", "ts", PAUSE_SECONDS, DELAY_SECONDS)
+    run.awaitTermination()
+    return kept.current(spark)
