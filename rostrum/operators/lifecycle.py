@@ -51,9 +51,12 @@ def stop_times(events: DataFrame) -> DataFrame:
     )
 
 
-def with_status(jobs: DataFrame, meeting_rows: DataFrame, spread: str = "event_id") -> DataFrame:
-    """Adds the meeting's status; a meeting that is not there gives null."""
-    return lookup(jobs, meeting_rows.select("job_id", "status"), ["job_id"], spread)
+def with_status(jobs: DataFrame, meeting_rows: DataFrame, spread: str = "event_id", **limits: int) -> DataFrame:
+    """Adds the meeting's status; a meeting that is not there gives null.
+
+    Beyond the broadcast, each hot meeting gets salts by its share; ``limits`` go to ``lookup``.
+    """
+    return lookup(jobs, meeting_rows.select("job_id", "status"), ["job_id"], spread, salts=None, **limits)
 
 
 def drop_completed(jobs: DataFrame, meeting_rows: DataFrame, spread: str = "event_id") -> DataFrame:

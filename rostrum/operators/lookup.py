@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from rostrum.operators.hot_keys import hot_salts, salted
 from rostrum.session import stage
 
 BROADCAST_BYTES = 32 << 20
@@ -26,7 +27,7 @@ def payload_bytes(table: DataFrame) -> int:
 
 def lookup(
     facts: DataFrame, dim: DataFrame, keys: list[str], spread: str, how: str = "left",
-    stored: bool = False, broadcast_bytes: int = BROADCAST_BYTES, salts: int = SALTS,
+    stored: bool = False, broadcast_bytes: int = BROADCAST_BYTES, salts: int | None = SALTS,
 ) -> DataFrame:
     """``facts`` joined with ``dim``, a narrow table with one row per key.
 
@@ -42,11 +43,19 @@ def lookup(
     A grouping by the keys that follows has its own shuffle then, instead of
     taking over this one, and AQE may split parts that are still too large; it
     does so only where both sides come straight from a shuffle and nothing
-    after the join depends on its partitioning.
+    after the join depends on its partitioning. With ``salts=None`` the keys of the
+    facts are read once more, to give each hot key as many salts as its share of the
+    rows asks for and all others none (``hot_keys``).
     """
     table = dim if stored else stage(dim, "lookup")
     if payload_bytes(table) <= broadcast_bytes:
         return facts.join(F.broadcast(table), keys, how)
+    if salts is None:
+        hot = hot_salts(facts, keys)
+        if not hot:
+            return facts.join(table, keys, how)
+        dealt, copied = salted(facts, table, keys, spread, hot)
+        return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return facts.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -491,6 +491,16 @@ ORACLES["stream_timely_slices"] = ORACLES["late_drop"]
 ORACLES["stream_meeting_state"] = f"WITH {MEETINGS} SELECT job_id, created_at, status, stop_ts FROM meetings"
 ORACLES["stream_running_transcript"] = ORACLES["stream_transcript"]
 ORACLES["stream_sessions"] = ORACLES["pause_segments"]
+ORACLES["meeting_status_skewed"] = f"""WITH moved AS (
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, ts, event_type FROM events),
+{MEETINGS.replace("events", "moved")}
+SELECT e.event_id, e.user_id AS job_id, m.status FROM moved e
+LEFT JOIN meetings m ON m.job_id = e.user_id WHERE e.event_type IN ('click', 'view', 'error')"""
+ORACLES["one_history_page"] = f"""WITH {PAIRS},
+asked AS (SELECT conv_id, count(*) AS n, max(turn) AS last FROM pairs GROUP BY 1 ORDER BY n DESC, conv_id LIMIT 1)
+SELECT conv_id, turn, user_chat, ai_chat FROM (
+  SELECT p.* FROM pairs p JOIN asked a ON a.conv_id = p.conv_id AND p.turn < a.last
+  ORDER BY p.turn DESC LIMIT 5)"""
 ORACLES["stream_sessions_corrected"] = ORACLES["pause_segments"]
 ORACLES["recording_points"] = f"""{WITH_CHUNKS},
 recorded AS (

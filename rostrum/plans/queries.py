@@ -18,6 +18,7 @@ from rostrum.operators import (
 )
 from rostrum.plans import fixtures as fx, flows
 from rostrum.session import scratch_path
+from rostrum.sources import zones
 from rostrum.sources.by_job import read_by_job, write_by_job
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,7 @@ QUERIES: dict[str, Query] = {}
 
 DENSE_WIDTH = 64
 PRUNED_BLOCK = 32
+ZONE_ROWS = 500
 PAUSE_SECONDS = 1800
 
 
@@ -177,6 +179,16 @@ def meeting_status(spark, folder):
     )
 
 
+@query
+def meeting_status_skewed(spark, folder):
+    """The same with every third event in one meeting, too many meetings to broadcast."""
+    ev = fx.events(spark, folder).withColumn(
+        "user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+    rows = lifecycle.meetings(fx.meeting_events(ev))
+    jobs = fx.manifest(ev).select("event_id", "job_id")
+    return lifecycle.with_status(jobs, rows, broadcast_bytes=0).select("event_id", "job_id", "status")
+
+
 @query
 def drop_completed(spark, folder):
     ev = fx.events(spark, folder)
@@ -293,6 +305,19 @@ def chat_history_page(spark, folder):
     return chats.history_pages(rows, "conv_id", "turn", "turn", HISTORY_PAGE, cursor)
 
 
+@query
+def one_history_page(spark, folder):
+    """The page before the last message of the longest conversation, from a laid-out table."""
+    rows = chat_pairs(spark, folder)
+    asked = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last")).orderBy(
+        F.desc("n"), "conv_id").first()
+    path = scratch_path(spark, "zoned")
+    zones.write_zoned(rows, path, "conv_id", "turn", "all", rows_per_file=ZONE_ROWS)
+    if asked is None:
+        return rows.limit(0)
+    return zones.history_page(spark, path, rows.schema, "conv_id", asked.conv_id, "turn", HISTORY_PAGE, asked.last)
+
+
 @query
 def chat_history_all(spark, folder):
     return chats.history_pages(chat_pairs(spark, folder), "conv_id", "turn", "turn", HISTORY_PAGE)
