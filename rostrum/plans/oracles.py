@@ -491,6 +491,7 @@ ORACLES["stream_timely_slices"] = ORACLES["late_drop"]
 ORACLES["stream_meeting_state"] = f"WITH {MEETINGS} SELECT job_id, created_at, status, stop_ts FROM meetings"
 ORACLES["stream_running_transcript"] = ORACLES["stream_transcript"]
 ORACLES["stream_sessions"] = ORACLES["pause_segments"]
+ORACLES["chunk_long"] = ORACLES["chunk_text"]
 ORACLES["meeting_status_skewed"] = f"""WITH moved AS (
   SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, ts, event_type FROM events),
 {MEETINGS.replace("events", "moved")}

@@ -365,6 +365,14 @@ def chunk_text(spark, folder):
     )
 
 
+@query
+def chunk_long(spark, folder):
+    """The chunks of ``chunk_text``, their borders found by doubled pointers."""
+    return chunks.chunked_long(fx.spread_documents(spark, folder), ["doc_id"]).select(
+        "doc_id", "chunk_idx", "words", F.md5("text").alias("text_md5")
+    )
+
+
 @query
 def chunk_summary(spark, folder):
     rows = chunks.summarised(chunks.chunked(fx.spread_documents(spark, folder), ["doc_id"]))

@@ -138,17 +138,19 @@ class Sessions:
             marked.unpersist()
 
     def current(self, spark: SparkSession) -> DataFrame:
-        """Sessions as they stand, open ones too: ``job, segment_start, segment_end, n``."""
-        rows = self.settled(spark).select(*self.spans.names)
-        if folder_exists(spark, f"{self.path}/open"):
-            held = spark.read.schema(T.StructType([*self.spans, T.StructField("batch_id", T.LongType())])).parquet(
-                f"{self.path}/open")
-            newest = held.where(F.col("batch_id") == self._newest(spark))
-            rows = rows.unionByName(newest.select(*self.spans.names))
+        """Sessions as the last completed micro-batch left them, open ones too:
+        ``job, segment_start, segment_end, n``."""
+        newest = self._newest(spark)
+        if newest is None:
+            return as_segments(spark.createDataFrame([], self.spans), self.job, self.gap)
+        held = spark.read.schema(self.spans).parquet(batch_path(f"{self.path}/open", newest))
+        rows = self.settled(spark, newest + 1).select(*self.spans.names).unionByName(held)
         return as_segments(rows, self.job, self.gap)
 
-    def _newest(self, spark: SparkSession) -> int:
+    def _newest(self, spark: SparkSession) -> int | None:
         """The last micro-batch that was completed: ``marks`` are written last."""
+        if not folder_exists(spark, f"{self.path}/marks"):
+            return None
         return spark.read.schema("mark long, batch_id long").parquet(f"{self.path}/marks").agg(
             F.max("batch_id")).first()[0]
 

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import random
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from rostrum.functions import jsontext, names, text, vectors
 from rostrum.limits import CHUNK_WORDS
-from rostrum.operators import intake
+from rostrum.operators import chunks, intake
 
 
 def test_format_names(column):
@@ -196,3 +197,32 @@ def test_cosine_without_direction(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0]), ([1.0, 1.0], [2.0, 2.0])], "a array<float>, b array<float>")
     got = [r[0] for r in rows.select(vectors.cosine(F.col("a"), F.col("b"))).collect()]
     assert got[0] is None and abs(got[1] - 1) < 1e-9
+
+
+def test_doubled_pointers_give_the_same_chunks(spark):
+    pick = random.Random(3)
+
+    def lines(n):
+        out = []
+        while n > 0:
+            words = min(n, pick.choice([1, 3, 9, 20, 60, 139, 140, 141, 300]))
+            out.append(" ".join(f"w{pick.randrange(99)}" for _ in range(words)))
+            n -= words
+        return "\n".join(out)
+
+    texts = [None, "", "\n \n", "a", " ".join("x" * 281), lines(20_000), lines(25_003), "\n".join("a" * 30_000),
+             "\n".join(["b " * 70] * 9), lines(140), lines(20_000), "[noise]\n" + lines(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for limit in (140, 7, 1):
+        short = docs if limit == 140 else docs.where("length(text) < 3000")
+        want = sorted(map(tuple, chunks.chunked(short, ["doc_id"], limit=limit).collect()))
+        got = sorted(map(tuple, chunks.chunked_long(short, ["doc_id"], limit=limit).collect()))
+        assert got == want and len({r[0] for r in got}) >= 5
+
+
+def test_doubled_pointers_on_arrays(column):
+    lines = [None, [], ["a b c", "d"], ["a b", "c d", "e f"]]
+    got = column(lines, "array<string>", lambda x: text.pack_by_pointers(x, 4))
+    assert got[0] is None and got[1] == []
+    assert [(c.text, c.words) for c in got[2]] == [("- a b c\n- d\n", 4)]
+    assert [(c.text, c.words) for c in got[3]] == [("- a b\n- c d\n", 4), ("- e f\n", 2)]

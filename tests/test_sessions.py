@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostrum.operators import segments
+from rostrum.sources.sinks import write_batch
 from rostrum.streaming.sessions import Sessions
 
 GAP = 600
@@ -77,7 +78,27 @@ def test_a_batch_may_run_again(spark, tmp_path):
         assert table(kept.current(spark)) == want(spark, parts)
 
 
+def test_a_half_written_batch_is_not_seen(spark, tmp_path, monkeypatch):
+    parts = [[("a", 0), ("a", 5)], [("a", 30), ("b", 400)]]
+    kept = keep(spark, tmp_path, parts)
+    late = [("a", 18), ("b", 900)]
+    with monkeypatch.context() as broken:
+        broken.setattr(kept, "watermark", lambda *_: 1 << 62)  # everything settles, then the step fails
+        broken.setattr("rostrum.streaming.sessions.keep_last_folders", None)
+        broken.setattr("rostrum.streaming.sessions.write_batch", failing_marks)
+        with pytest.raises(RuntimeError):
+            kept.step(events(spark, late), 2, "ts")
+    assert table(kept.current(spark)) == want(spark, parts)
+
+
+def failing_marks(rows, path, batch_id):
+    if path.endswith("/marks"):
+        raise RuntimeError("lost before its end")
+    write_batch(rows, path, batch_id)
+
+
 def test_no_events_at_all(spark, tmp_path):
+    assert keep(spark, tmp_path / "none", []).current(spark).count() == 0
     kept = keep(spark, tmp_path, [[], [("a", None)]])
     assert kept.current(spark).count() == 0
     kept.step(events(spark, [("a", 3)]), 2, "ts")
