@@ -15,6 +15,14 @@ GAP = 600
 SCHEMA = "event_id int, job_id string, ts timestamp_ntz"
 
 
+@pytest.fixture(autouse=True)
+def few_tasks(spark):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # a step of few rows is mostly tasks to start
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def at(minutes):
     return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
 
