@@ -26,6 +26,7 @@ from rostrum.operators.retrieval import BLOCK_ROWS, block_hits, block_side, top_
 from rostrum.session import stage
 
 PIVOTS = 256  # of a meeting, at most
+PARTS = 16  # of a meeting, as long as they hold no more than ``BLOCK_ROWS`` rows
 CUTS = 64  # quantiles of the order that a cell may be cut at
 SLACK = 2e-6  # more than scores lose when they are rounded
 
@@ -62,24 +63,23 @@ def _placed(side: DataFrame, ident: str, pivots: DataFrame, sizes: DataFrame, co
         _nearest(to_arrow_schema(out)), out)
 
 
-def _cut(placed: DataFrame, ident: str, block_rows: int, ordered: bool) -> DataFrame:
+def _cut(placed: DataFrame, ident: str, sizes: DataFrame, ordered: bool) -> DataFrame:
     """Adds ``_sub``, the block of a row within its cell."""
+    sizes, blocks = sizes.select("job", "_rows"), F.ceil(F.col("_n") / F.col("_rows"))
     if not ordered:
         n = placed.groupBy("job", "_cell").agg(F.count("*").alias("_n"))
-        cut = lookup(placed, n, ["job", "_cell"], ident, "inner")
-        return cut.withColumn("_sub", F.pmod(
-            F.xxhash64(F.lit(6), ident), F.ceil(F.col("_n") / block_rows)).cast("int")).drop("_n")
+        cut = lookup(placed, n.join(sizes, "job"), ["job", "_cell"], ident, "inner")
+        return cut.withColumn("_sub", F.pmod(F.xxhash64(F.lit(6), ident), blocks).cast("int")).drop("_n", "_rows")
     shares = [(i + 1) / CUTS for i in range(CUTS - 1)]
     # Cuts are found on the order as text would not be: the order columns are numbers or times.
     as_number = _number(F.col("_ord"), placed.schema["_ord"].dataType)
     n = placed.groupBy("job", "_cell").agg(
         F.count("*").alias("_n"),
         F.percentile_approx(as_number, shares, F.lit(1000)).alias("_cuts"))
-    cut = lookup(placed, n, ["job", "_cell"], ident, "inner")
+    cut = lookup(placed, n.join(sizes, "job"), ["job", "_cell"], ident, "inner")
     passed = F.size(F.filter("_cuts", lambda c: c < as_number))
-    blocks = F.ceil(F.col("_n") / block_rows)
     return cut.withColumn("_sub", F.floor(passed * F.least(blocks, F.lit(CUTS)) / CUTS).cast("int")).drop(
-        "_n", "_cuts")
+        "_n", "_cuts", "_rows")
 
 
 def _number(column: Column, kind: T.DataType) -> Column:
@@ -107,7 +107,9 @@ def top_pruned(
     """``job, prompt_id, candidate_id, rank, score``, as ``retrieval.top_similar`` gives it
     for dense vectors.
 
-    Meetings of up to ``block_rows`` rows are one block and are left to ``top_similar``.
+    Meetings of up to ``block_rows`` rows are one block and are left to ``top_similar``. The
+    blocks of a larger one hold a ``PARTS``-th of its rows if that is more, up to
+    ``BLOCK_ROWS``: pairs of blocks, and copies of a row, don't grow with its square.
     ``visited`` gets, if given, the numbers of block pairs of the larger ones: ``all``,
     ``first`` and ``second``.
     """
@@ -119,8 +121,10 @@ def top_pruned(
     counts = left.select("job", one.alias("p"), none.alias("c")).unionByName(
         right.select("job", none.alias("p"), one.alias("c"))).groupBy("job").agg(
         F.sum("p").alias("p"), F.sum("c").alias("c"))
-    large = stage(counts.where((F.greatest("p", "c") > block_rows) & (F.col("p") > 0)).select(
-        "job", *[F.ceil(F.greatest(F.col(s), one) / block_rows).alias(f"parts_{s}") for s in "pc"]), "large")
+    most = F.greatest("p", "c")
+    rows_of = F.greatest(F.lit(block_rows), F.least(F.lit(BLOCK_ROWS), F.ceil(most / PARTS)))
+    large = stage(counts.where((most > block_rows) & (F.col("p") > 0)).withColumn("_rows", rows_of).select(
+        "job", "_rows", *[F.ceil(F.greatest(F.col(s), one) / F.col("_rows")).alias(f"parts_{s}") for s in "pc"]), "large")
     kept = dict(job=job, prompt_id=prompt_id, candidate_id=candidate_id, vector=vector,
                 prompt_order=prompt_order, candidate_order=candidate_order,
                 exclude_self=exclude_self, size=size)
@@ -135,11 +139,11 @@ def top_pruned(
     chosen = Window.partitionBy("job").orderBy(F.xxhash64(F.lit(4), "candidate_id"), "candidate_id")
     first = right.select("job", "candidate_id").withColumn("n", F.row_number().over(chosen)).where(
         F.col("n") <= PIVOTS).join(large, "job").where(F.col("n") <= F.col("parts_c"))
-    pivots = stage(right.join(F.broadcast(first.select("job", "candidate_id", "n")), ["job", "candidate_id"])
+    pivots = stage(lookup(right, first.select("job", "candidate_id", "n"), ["job", "candidate_id"], "candidate_id", "inner")
                    .select("job", (F.col("n") - 1).alias("_cell"), F.col("_val").alias("_pivot"))
                    .dropDuplicates(["job", "_cell"]), "pivots")
-    p = stage(_cut(_placed(left, "prompt_id", pivots, large, "parts_p"), "prompt_id", block_rows, ordered), "prompts")
-    c = stage(_cut(_placed(right, "candidate_id", pivots, large, "parts_c"), "candidate_id", block_rows, ordered),
+    p = stage(_cut(_placed(left, "prompt_id", pivots, large, "parts_p"), "prompt_id", large, ordered), "prompts")
+    c = stage(_cut(_placed(right, "candidate_id", pivots, large, "parts_c"), "candidate_id", large, ordered),
               "candidates")
     gaps = pivots.select("job", F.col("_cell").alias("cell_p"), F.col("_pivot").alias("a")).join(
         pivots.select("job", F.col("_cell").alias("cell_c"), F.col("_pivot").alias("b")), "job").select(

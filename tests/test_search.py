@@ -94,3 +94,12 @@ def test_block_pairs_are_skipped(vectors):
     pruned.top_pruned(vectors, vectors, 4, job="job", prompt_id="id", candidate_id="id", size=8,
                       exclude_self=True, block_rows=30, visited=seen)
     assert seen["all"] > 100 and seen["first"] + seen["second"] < 0.5 * seen["all"]
+
+
+def test_block_pairs_do_not_grow_with_the_square_of_a_meeting(spark):
+    x = np.random.default_rng(6).normal(size=(1500, 4))
+    rows = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "job long, id int, vector array<double>")
+    settings, seen = dict(job="job", prompt_id="id", candidate_id="id", exclude_self=True, size=4), {}
+    got = pruned.top_pruned(rows, rows, 3, block_rows=4, visited=seen, **settings)
+    assert seen["all"] <= (2 * pruned.PARTS) ** 2
+    assert rows_of(got) == rows_of(retrieval.top_similar(rows, rows, 3, **settings))
