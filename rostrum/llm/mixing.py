@@ -10,7 +10,8 @@ documents of a length are picked is decided by a seeded hash.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rostrum.session import stage
@@ -20,6 +21,7 @@ SHARE = 1.5  # of all words
 MOST = 2.0  # of a source's words
 SEED = 17
 SLOTS = 4096  # by hash, of the documents of one source and length
+STRIP = 1 << 17  # bytes of reachable sums that are looked at at once
 
 
 def words_of(text: Column) -> Column:
@@ -82,26 +84,43 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 def _fill(size: list[int], spare: list[int], room: int) -> tuple[list[int], int]:
     """How many of each size, up to ``spare``, make the greatest sum up to ``room``, and
-    that sum: a bounded knapsack, its reachable sums the bits of an integer."""
+    that sum: a bounded knapsack, its reachable sums the bits of an integer.
+
+    Of every sum only the first step that reaches it is kept, a few bytes a sum: one integer
+    a step, which the way back could also be read from, would be many times as much."""
     reach, steps, mask = 1, [], (1 << (room + 1)) - 1
+    most = sum(min(n, room // s).bit_length() for s, n in zip(size, spare))
+    first = np.zeros(room + 1, np.uint16 if most < 1 << 16 else np.uint32)
     for i in range(len(size)):
         if reach >> room & 1:
             break
         n, part = min(spare[i], room // size[i]), 1
         while n > 0 and not reach >> room & 1:  # 1, 2, 4, ... of one size
             part = min(part, n)
-            steps.append((i, part, reach))
-            reach |= reach << part * size[i] & mask
+            steps.append((i, part))
+            new = (reach << part * size[i] & mask | reach) ^ reach
+            if new:
+                reach |= new
+                _mark(first, new, len(steps))
             n, part = n - part, part * 2
     add, at = [0] * len(size), reach.bit_length() - 1
     made = at
-    for i, part, before in reversed(steps):
-        if not before >> at & 1:
-            add[i] += part
-            at -= part * size[i]
+    while at:
+        i, part = steps[int(first[at]) - 1]
+        add[i] += part
+        at -= part * size[i]
     return add, made
 
 
+def _mark(first: np.ndarray, bits: int, step: int) -> None:
+    """Writes ``step`` at the places that are set in ``bits``."""
+    low = (bits & -bits).bit_length() - 1
+    bits >>= low
+    raw = np.frombuffer(bits.to_bytes(-(-bits.bit_length() // 8), "little"), np.uint8)
+    for at in range(0, len(raw), STRIP):
+        first[low + 8 * at + np.flatnonzero(np.unpackbits(raw[at:at + STRIP], bitorder="little"))] = step
+
+
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
           weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST,
           seed: int = SEED) -> DataFrame:
@@ -134,16 +153,14 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     plan = spark.createDataFrame(
         plan, "source string, source_size long, target double, whole long, rest long")
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["size"] > 0].sort_values("size")
+    def pick(rows: pa.Table) -> pa.Table:
+        rows = rows.filter(pc.greater(rows["size"], 0)).sort_by("size")
+        picked = counts = rows["n"].to_numpy()
         if len(rows):
-            lengths, counts = rows["size"].to_numpy(), rows["n"].to_numpy()
-            rows = rows.assign(picked=fit(lengths, counts, int(rows["rest"].iloc[0])))
-        else:
-            rows = rows.assign(picked=rows["n"])
-        return rows[["source", "size", "n", "picked"]]
+            picked = fit(rows["size"].to_numpy(), counts, rows["rest"][0].as_py())
+        return rows.select(["source", "size", "n"]).append_column("picked", pa.array(picked, pa.int64()))
 
-    picked = counted.join(plan.select("source", "rest"), "source").groupBy("source").applyInPandas(
+    picked = counted.join(plan.select("source", "rest"), "source").groupBy("source").applyInArrow(
         pick, "source string, size long, n long, picked long").where("picked > 0")
     slot = F.pmod(F.shiftright("order", 20), F.lit(SLOTS))
     rows = own.withColumn("slot", slot)
