@@ -44,24 +44,25 @@ def chat_points(pairs: DataFrame, job: str, chat: str, ts: str) -> DataFrame:
     )
 
 
-def latest_points(points: DataFrame, key: str = "id") -> DataFrame:
+def latest_points(points: DataFrame, key: str = "id", told_by: list[str] | None = None) -> DataFrame:
     """One row per key, the last written.
 
     The rank limit runs before the shuffle too, so a key that was replayed many
     times moves one row per task. Writes of one time and number are told apart by what
-    they hold.
+    they hold, or by the columns in ``told_by``.
     """
-    return last_written(points, key, WRITTEN)
+    return last_written(points, key, WRITTEN, told_by)
 
 
 def embed(df: DataFrame, text: str, name: str = "vector",
           fn: Callable[[Column], Column] | None = None) -> DataFrame:
     """Adds a vector: hashed features made dense, or what ``fn(column)`` returns.
 
-    ``fn`` may wrap an Arrow ``pandas_udf`` returning ``array<float>``.
+    ``fn`` may wrap an Arrow ``pandas_udf`` returning ``array<float>``. The vector comes out
+    of a generator: conditions on it are not moved below and there made from the text anew.
     """
     vector = fn(F.col(text)) if fn else dense(hashed_features(F.col(text)))
-    return df.withColumn(name, vector)
+    return df.withColumn(name, F.explode(F.array(vector)))
 
 
 def usable(df: DataFrame, vector: str = "vector", size: int = VECTOR_WIDTH) -> DataFrame:
@@ -77,8 +78,19 @@ def usable(df: DataFrame, vector: str = "vector", size: int = VECTOR_WIDTH) -> D
 
 def contract_report(df: DataFrame, job: str, vector: str, size: int) -> DataFrame:
     """Per meeting: points, empty, wrong width, without direction, and whether any is left."""
+    return measured_report(measured(df, vector, size), job, size)
+
+
+def measured(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """Adds ``_width`` and ``_good``, all that a report needs of a vector."""
     w = width(F.col(vector))
     good = (w == size) & (F.coalesce(l2_norm(F.col(vector)), F.lit(0.0)) > 0)
+    return df.withColumns({"_width": w, "_good": good})
+
+
+def measured_report(df: DataFrame, job: str, size: int) -> DataFrame:
+    """``contract_report`` of rows that ``measured`` gave: their vectors need not move."""
+    w, good = F.col("_width"), F.col("_good")
     return df.groupBy(job).agg(
         F.count("*").alias("n"),
         F.count_if(w == 0).alias("n_empty"),

@@ -428,7 +428,9 @@ def vector_contract(spark, folder):
 def _delivered(spark: SparkSession, folder: str, numbers) -> DataFrame:
     """Points of every document's chunks, once per number that ``numbers`` gives for its id;
     each number is a minute later than the one before."""
-    rows = chunks.summarised(chunks.chunked(fx.spread_documents(spark, folder), ["doc_id", "source"]))
+    docs = fx.spread_documents(spark, folder)
+    docs = docs.where(F.coalesce(F.size(numbers(F.col("doc_id"))), F.lit(0)) > 0)  # others aren't cut
+    rows = chunks.summarised(chunks.chunked(docs, ["doc_id", "source"]))
     delivered = rows.withColumn("seq", F.explode(numbers(F.col("doc_id")))).select(
         F.col("source").alias("job_id"), F.col("doc_id").alias("source_id"), "chunk_idx",
         "text", "summary",
@@ -512,8 +514,10 @@ def stored_points(spark, folder):
     )), "text")
     path = scratch_path(spark, "points")
     vector_table.write_points(vector_table.usable(points), path)
-    stored = vector_table.latest_points(read_by_job(spark, path, "job_id"))
-    return vector_table.contract_report(stored, "job_id", "vector", VECTOR_WIDTH)
+    stored = read_by_job(spark, path, "job_id")
+    latest = vector_table.latest_points(
+        vector_table.measured(stored, "vector", VECTOR_WIDTH), told_by=stored.columns)
+    return vector_table.measured_report(latest, "job_id", VECTOR_WIDTH)
 
 
 # ---- retrieval

@@ -81,12 +81,16 @@ def read_snapshot(spark: SparkSession, path: str, schema, version: int | None =
     return spark.read.schema(schema).parquet(*paths)
 
 
-def last_written(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+def last_written(rows: DataFrame, key: str, order: list[str], told_by: list[str] | None = None) -> DataFrame:
     """One row per key, the greatest by ``order``; rows that tie there are told apart by a
-    hash of all they hold, so a merge gives the same whenever it is run."""
-    last = Window.partitionBy(key).orderBy(
-        *[F.desc_nulls_last(c) for c in order], F.desc(F.xxhash64(*[f"`{c}`" for c in rows.columns])))
-    return rows.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank")
+    hash of all they hold, so a merge gives the same whenever it is run.
+
+    The hash is taken before rows move, so columns that nothing asks for later stay behind;
+    ``told_by`` names the columns it is made of, if not all."""
+    last = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order], F.desc("_tie"))
+    tie = F.xxhash64(*[f"`{c}`" for c in told_by or rows.columns])
+    return rows.withColumn("_tie", tie).withColumn("_rank", F.row_number().over(last)).where(
+        "_rank = 1").drop("_rank", "_tie")
 
 
 def _write(rows: DataFrame, path: str, bucket: Column) -> str:
@@ -103,20 +107,25 @@ def merge_rows(rows: DataFrame, path: str, key: str, order: list[str],
     Only buckets that hold a key of ``rows`` are read and written; the other buckets'
     files stay. Merging the same rows again changes no row. Rows without key are left out.
     ``buckets`` counts for a table that isn't there yet. Raises ``Conflict``, with nothing
-    changed, if another merge came first.
+    changed, if another merge came first. The delivery is made once, and lies beside the
+    table meanwhile.
     """
     spark = rows.sparkSession
     about = read_version(spark, path)
     number, buckets, writes = (about["version"], about["buckets"], dict(about["writes"])) if about \
         else (0, buckets, {})
     bucket = job_bucket(F.col(key), buckets)
-    rows = rows.where(F.col(key).isNotNull())
-    touched = sorted(r[0] for r in rows.select(bucket.alias("b")).distinct().collect())  # `buckets` at most
-    if not touched:
-        return number
-    known = read_snapshot(spark, path, rows.schema, number or None, touched)
-    merged = last_written(known.unionByName(rows), key, order)
-    write = _write(merged, path, bucket)
+    beside = f"{path}/incoming/{uuid.uuid4().hex}"
+    try:
+        rows.where(F.col(key).isNotNull()).write.parquet(beside)
+        rows = spark.read.schema(rows.schema).parquet(beside)
+        touched = sorted(r[0] for r in rows.select(bucket.alias("b")).distinct().collect())  # `buckets` at most
+        if not touched:
+            return number
+        known = read_snapshot(spark, path, rows.schema, number or None, touched)
+        write = _write(last_written(known.unionByName(rows), key, order), path, bucket)
+    finally:
+        drop_folder(spark, beside)
     _commit(spark, path, number + 1, buckets, writes | dict.fromkeys(touched, write))
     return number + 1
 

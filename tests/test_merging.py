@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from rostrum.operators import vector_table
 from rostrum.sources import snapshots
 from rostrum.sources.sinks import read_batches
 from rostrum.streaming import ledger
@@ -126,3 +127,33 @@ def test_the_exact_table_is_hardly_asked(spark, tmp_path):
         fresh = few.unseen(spark.range(number * 50, number * 50 + 100).withColumnRenamed("id", "k"), number)
         assert fresh.count() == 100 - 50 * number
         few.enter(fresh, number)
+
+
+def test_a_delivery_is_made_once_and_leaves_nothing_beside(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        made.add(1)
+        return str(i), i, 0, "a"
+
+    delivery = spark.createDataFrame(spark.sparkContext.parallelize(range(30), 3).map(counted), SCHEMA)
+    snapshots.merge_rows(delivery, str(tmp_path), "id", ORDER, buckets=4)
+    assert made.value == 30 and len(read(spark, str(tmp_path), SCHEMA)) == 30
+    assert not os.listdir(tmp_path / "incoming")
+
+
+def test_stored_vectors_are_made_once_and_stay_where_they_are(spark, capsys):
+    texts = spark.createDataFrame([(str(i), i, i, f"word {i}") for i in range(4)],
+                                  "id string, upload_timestamp int, seq int, text string")
+    points = vector_table.usable(vector_table.embed(texts, "text"))
+    points.explain(mode="extended")
+    assert capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical")[0].count("md5(") == 1
+    rows = spark.createDataFrame([("a", 1, 1, 7, [1.0, 0.0]), ("a", 2, 1, 7, [0.0, 0.0]), ("b", 1, 1, 7, [])],
+                                 "id string, upload_timestamp int, seq int, job int, vector array<float>")
+    latest = vector_table.latest_points(vector_table.measured(rows, "vector", 2), told_by=rows.columns)
+    report = vector_table.measured_report(latest, "job", 2)
+    want = vector_table.contract_report(vector_table.latest_points(rows), "job", "vector", 2)
+    assert list(map(tuple, report.collect())) == list(map(tuple, want.collect()))
+    report.explain()
+    moved = capsys.readouterr().out
+    assert "vector" not in moved.split("Window")[1].split("Exchange")[0]
