@@ -29,6 +29,12 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
     return stream_files(spark, f"{folder}/events*.parquet", EVENTS, files_per_step=FILES_PER_STEP)
 
 
+def _message_files(spark: SparkSession) -> int:
+    """Files of messages that a micro-batch takes in: one a core, so that what a micro-batch
+    costs by itself, and what it looks up, isn't paid for every few files."""
+    return max(spark.sparkContext.defaultParallelism, STEPS)
+
+
 def _shuffled(df: DataFrame, key: str) -> DataFrame:
     """A table as a stream of ``STEPS`` micro-batches that do not follow its order."""
     spark = df.sparkSession
@@ -109,7 +115,7 @@ def stream_ingest(spark, folder):
     """Published messages, each delivered twice, consumed once."""
     published = _accepted_messages(spark, folder)
     path = scratch_path(spark, "ingest")
-    messages = spark.readStream.option("maxFilesPerTrigger", 4).text(published).withColumn(
+    messages = spark.readStream.option("maxFilesPerTrigger", _message_files(spark)).text(published).withColumn(
         "value", F.explode(F.array("value", "value"))
     )
     intake.consume_messages(messages, path, f"{path}/checkpoint").awaitTermination()
@@ -127,7 +133,7 @@ def stream_once(spark, folder):
     for copies in (2, 1):
         again = F.explode(F.array_repeat("value", copies))
         spark.read.text(published).select(again.alias("value")).write.mode("append").text(f"{path}/in")
-        messages = spark.readStream.option("maxFilesPerTrigger", 4).text(f"{path}/in")
+        messages = spark.readStream.option("maxFilesPerTrigger", _message_files(spark)).text(f"{path}/in")
         ledger.consume_once(messages, path, f"{path}/checkpoint", buckets=LEDGER_BUCKETS).awaitTermination()
     return read_batches(spark, f"{path}/accepted").select(
         "job_id", "file_id", F.col("metadata.originalFileName").alias("file_name"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostrum.operators import lifecycle, segments, transcript
-from rostrum.plans import flows
+from rostrum.plans import flows, stream_queries
 from rostrum.session import stage
 from rostrum.sources.sinks import append_files, read_batches
 from rostrum.sources.tables import read_files, stream_files
@@ -219,3 +219,7 @@ def test_declared_schema_reads(spark, tmp_path):
     spark.range(3).selectExpr("id AS event_id").write.json(str(tmp_path / "j"))
     got = read_files(spark, str(tmp_path / "j"), spark.range(1).selectExpr("id AS event_id").schema, "json")
     assert got.count() == 3
+
+
+def test_message_files_of_a_step_follow_the_cores(spark):
+    assert stream_queries._message_files(spark) == spark.sparkContext.defaultParallelism == 8
