@@ -1,16 +1,15 @@
 """Alignment of two tokenizers' tokens over the same texts.
 
 A is a byte-level BPE (tokenizers), B a sentencepiece BPE with byte fallback. Both encode
-a space and the text (B puts the space there itself). A token's place comes from what its
-library says: character offsets of A, proto spans of B, both in bytes of the text. These
-are coarse cuts: tokens that share a character, or stand for single bytes of one, have
-the same or empty spans. Within such a run the decoded bytes of the tokens tell where
-each ends, and they must add up to the run. Where both end at once, a group ends.
+a space and the text (B puts the space there itself). The decoded bytes of the tokens tell
+where each ends, and they must be the bytes of the text. So only ids are asked for, no
+offsets of A and no protos of B. Where both end at once, a group ends.
 
 Texts are looked at in units that neither tokenizer can join, so each different unit is
 aligned once per task: a unit begins at a space after a character that isn't white space,
 or around line feeds between two such characters. No piece of B spans these places (its
-vocabulary is looked through), nor does a match of A's splitting pattern. Where that can't
+vocabulary is looked through), nor does a match of A's splitting pattern. A unit of letters
+is one such match, and goes to A's model at once. Where that can't
 be shown, for other tokenizers or other white space, units are larger, up to whole texts.
 
 How often a pair of ids is linked in all texts is counted by Spark from pairs counted per
@@ -31,17 +30,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rostrum.llm.common import by_bytes, id_and_text
+from rostrum.llm.common import by_bytes, id_and_text, released
 from rostrum.operators.lookup import lookup
 from rostrum.session import stage
 
-KNOWN_CHARACTERS = 5_000_000  # of units kept per Python worker; then the table starts anew
-TEXT_BYTES = 2 << 20  # of texts looked at together
+KNOWN_CHARACTERS = 2_500_000  # of units kept per Python worker; then the table starts anew
+TEXT_BYTES = 1 << 19  # of texts looked at together
 UNITS = 2_000  # new ones encoded together
 PAIR_BYTES = 64 << 20  # up to which the table of pairs is broadcast
 _SPACE = "▁"  # how B writes a space
 _UNITS = re.compile(r"[ \n]*\n(?=[^ \n])|[ \n]*[^ \n]+(?:[ \n]+\Z)?")
 _PLAIN = re.compile(r" ?[^\s]+")
+# Blocks that are all letters in any version of Unicode since 6.0.
+_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ʯЀ-ҁҊ-ԣ一-龥가-힣ぁ-ゖァ-ヺ]+")
 _AT_SPACES = re.compile(r"(?<=\S)(?= )")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
@@ -59,26 +60,6 @@ def piece_bytes(piece: str) -> bytes:
     return bytes([int(one[1], 16)]) if one else piece.replace(_SPACE, " ").encode()
 
 
-def refined_ends(begin: np.ndarray, end: np.ndarray, size: np.ndarray,
-                 first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(where each token ends, whether its run holds)`` from coarse spans.
-
-    ``size`` is the number of bytes a token decodes to, ``first`` marks the first token of
-    each unit. A run begins where the token before it has a span that ends there.
-    """
-    if not len(begin):
-        return begin, np.zeros(0, bool)
-    starts = first.copy()
-    starts[1:] |= (begin[1:] >= end[:-1]) & (end[:-1] > begin[:-1])
-    at = np.flatnonzero(starts)
-    run = np.cumsum(starts) - 1
-    total = np.cumsum(size)
-    ends = begin[at][run] + total - (total[at] - size[at])[run]
-    last = np.append(at[1:], len(begin)) - 1
-    holds = ends[last] == np.maximum.reduceat(end, at)
-    return ends, holds[run]
-
-
 class Aligner:
     """Aligned units, each looked at once as long as they are kept."""
 
@@ -91,8 +72,10 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        self.model = self.a.model
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         plain = byte_level_bytes()
+        self.characters_of = {b: c for c, b in plain.items()}
         size = self.a.get_vocab_size(with_added_tokens=True)
         tokens = [self.a.id_to_token(i) or "" for i in range(size)]
         self.bytes_a = [bytes(plain[c] for c in t) if all(c in plain for c in t) else t.encode()
@@ -108,6 +91,8 @@ class Aligner:
         self.parts = (
             not any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces)
             and self._splits_at_spaces(json.loads(self.a.to_str())))
+        self.letters = self.parts and all(
+            t.special for t in self.a.get_added_tokens_decoder().values())
         self.forget()
 
     @staticmethod
@@ -121,7 +106,7 @@ class Aligner:
         self.codes: dict[str, int] = {}
         self.characters = 0
         self.texts: list[str] = []  # groups of a unit, in text
-        self.numbers = np.zeros((1 << 12, 5), np.int64)  # of A, B, groups, links; whether it holds
+        self.numbers = np.zeros((1 << 12, 5), np.int32)  # of A, B, groups, links; whether it holds
         self.first = np.zeros(1 << 12, np.int64)
         self.pairs = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -139,97 +124,82 @@ class Aligner:
 
     def learn(self, units: list[str]) -> None:
         """Align ``units`` that stand within texts, and keep them under their numbers."""
-        plain, others = [], []
+        letters, plain, others = [], [], []
         for u in units:
-            (plain if _PLAIN.fullmatch(u) else others).append(u)
-        for at in range(0, len(plain), UNITS):
-            self._align(plain[at:at + UNITS], self._together)
-        if others:
-            self._align(others, self._one_by_one)
-        self.codes.update(zip(chain(plain, others), range(len(self.texts) - len(units), len(self.texts))))
-
-    def _together(self, units: list[str], chars: np.ndarray, byte_at: np.ndarray):
-        """Ids, spans in bytes and owners of both tokenizers' tokens, all units in one text.
+            (letters if self.letters and _LETTERS.fullmatch(u)
+             else plain if _PLAIN.fullmatch(u) else others).append(u)
+        for kind, encode in ((letters, self._letters), (plain, self._together),
+                             (others, self._one_by_one)):
+            for at in range(0, len(kind), UNITS):
+                self._align(kind[at:at + UNITS], encode)
+        self.codes.update(zip(chain(letters, plain, others),
+                              range(len(self.texts) - len(units), len(self.texts))))
+
+    def _letters(self, units: list[str]):
+        """Ids and owners of both tokenizers' tokens. A takes each unit as one match of its
+        pattern, its bytes as characters."""
+        tokenize, names = self.model.tokenize, self.characters_of
+        return _owned([[t.id for t in tokenize(u.encode().decode("latin-1").translate(names))]
+                       for u in units]), self._lines_b(units)
+
+    def _together(self, units: list[str]):
+        """The same for other units without white space but a space before them, which A
+        takes all in one text.
 
         A line feed stands between two units, which both tokenizers part from either side.
         """
-        text = "\n".join(units) + "\n"
-        numbers = np.arange(len(units))
-        begins = chars[:-1] + numbers  # where units begin in that text
-        found = self.a.encode(text, add_special_tokens=False)
-        ids = np.array(found.ids, np.int64)
-        spans = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
-        owner = np.searchsorted(begins, spans[:, 0], "right") - 1
-        spans -= owner[:, None]
-        kept = spans[:, 0] < chars[owner + 1]
-        a = ids[kept], byte_at[spans[kept, 0]], byte_at[spans[kept, 1]], owner[kept]
-
-        proto = self.b.encode("\n" + text, return_type="proto", num_threads=1)
-        flat = np.fromiter(chain.from_iterable([(p.id, p.begin, p.end) for p in proto.pieces]),
-                           np.int64).reshape(-1, 3)[2:]  # without the space put before, and the line feed
-        low = byte_at[chars]
-        begin, end = flat[:, 1] - 1, flat[:, 2] - 1
-        owner = np.searchsorted(low[:-1] + numbers, begin, "right") - 1
-        begin, end = begin - owner, end - owner
-        kept = begin < low[owner + 1]
-        return a, (flat[kept, 0], begin[kept], end[kept], owner[kept])
-
-    def _one_by_one(self, units: list[str], chars: np.ndarray, byte_at: np.ndarray, whole: bool = False):
+        found = self.a.encode_batch_fast(["\n".join(units) + "\n"], add_special_tokens=False)
+        feed = self.a.encode("\n", add_special_tokens=False).ids
+        a = _split(found[0].ids, feed, len(units))
+        if a is None:  # a line feed is no token of its own
+            a = _owned([e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)])
+        return a, self._lines_b(units)
+
+    def _lines_b(self, units: list[str]):
+        # What comes before the first line feed is the space that B puts there.
+        feed = self.b.encode("\n")[1:]
+        found = self.b.encode("\n" + "\n".join(units) + "\n")[2:]
+        b = _split(found, feed, len(units))
+        return self._alone_b(units) if b is None else b
+
+    def _alone_b(self, units: list[str]):
+        # B puts a space before: in place of the unit's own, or before a line feed that is cut off.
+        spaced = [u.startswith(" ") for u in units]
+        found = self.b.encode([u[1:] if s else "\n" + u for u, s in zip(units, spaced)], num_threads=1)
+        return _owned([ids if s else ids[2:] for ids, s in zip(found, spaced)])
+
+    def _one_by_one(self, units: list[str], whole: bool = False):
         """The same for units with more white space, each by itself. ``whole``: they are
         whole texts, nothing follows."""
-        low, number = byte_at[chars], len(units)
         # White space that a letter follows is not split as at the end of a text.
         runs = [not whole and u.isspace() for u in units]
-        found = self.a.encode_batch([u + "a" if r else u for u, r in zip(units, runs)],
-                                    add_special_tokens=False)
-        ids = [e.ids[:-1] if r else e.ids for e, r in zip(found, runs)]
-        spans = [e.offsets[:-1] if r else e.offsets for e, r in zip(found, runs)]
-        owner = np.repeat(np.arange(number), np.fromiter(map(len, ids), np.int64, number))
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int64).reshape(-1, 2)
-        flat += chars[owner][:, None]
-        a = (np.fromiter(chain.from_iterable(ids), np.int64),
-             byte_at[flat[:, 0]], byte_at[flat[:, 1]], owner)
+        found = self.a.encode_batch_fast([u + "a" if r else u for u, r in zip(units, runs)],
+                                         add_special_tokens=False)
+        return _owned([e.ids[:-1] if r else e.ids for e, r in zip(found, runs)]), self._alone_b(units)
 
-        # B puts a space before: in place of the unit's own, or before a line feed that is cut off.
-        spaced = np.array([u.startswith(" ") for u in units], bool)
-        protos = self.b.encode([u[1:] if s else "\n" + u for u, s in zip(units, spaced)],
-                               return_type="proto", num_threads=1)
-        cut = np.where(spaced, 0, 2)
-        pieces = [[(p.id, p.begin, p.end) for p in x.pieces][c:] for x, c in zip(protos, cut)]
-        owner = np.repeat(np.arange(number), np.fromiter(map(len, pieces), np.int64, number))
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(pieces)), np.int64).reshape(-1, 3)
-        moved = np.where(spaced, 1, -1)[owner]
-        begin = np.where(_firsts(owner), 0, flat[:, 1] + moved) + low[owner]
-        return a, (flat[:, 0], begin, flat[:, 2] + moved + low[owner], owner)
-
-    def _align(self, units: list[str], spans) -> None:
+    def _align(self, units: list[str], encode) -> None:
         joined, number = "".join(units), len(units)
         data = np.frombuffer(joined.encode(), np.uint8)
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-        byte_at = np.concatenate([[0], np.cumsum(width)])  # of each character, and the end
-        chars = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-        low = byte_at[chars]  # where each unit begins in bytes
-        (ids_a, begin, end, owner_a), (ids_b, begin_b, end_b, owner_b) = spans(units, chars, byte_at)
+        width = np.fromiter(map(len, units) if joined.isascii() else (len(u.encode()) for u in units),
+                            np.int64, number)
+        low = np.concatenate([[0], np.cumsum(width)])  # where each unit begins in bytes
+        (ids_a, owner_a), (ids_b, owner_b) = encode(units)
         n_a, n_b = (np.bincount(x, minlength=number) for x in (owner_a, owner_b))
-        ends_a, holds_a = refined_ends(begin, end, self.size_a[ids_a], _firsts(owner_a))
-        ends_b, holds_b = refined_ends(begin_b, end_b, self.size_b[ids_b], _firsts(owner_b))
 
+        sides = ((owner_a, ids_a, self.size_a, self.bytes_a), (owner_b, ids_b, self.size_b, self.bytes_b))
         good = np.ones(number, bool)
-        for owner, ends, holds, ids_, table in (
-                (owner_a, ends_a, holds_a, ids_a, self.bytes_a),
-                (owner_b, ends_b, holds_b, ids_b, self.bytes_b)):
-            good[owner[~holds]] = False
-            last = np.full(number, -1, np.int64)
-            last[owner] = ends  # the last one of each stays
-            good &= last == low[1:]
-            kept = good[owner]
-            made = np.frombuffer(b"".join([table[i] for i in ids_[kept].tolist()]), np.uint8)
-            unit = np.repeat(np.arange(number), np.diff(low))
+        for owner, ids, size, _ in sides:
+            good &= np.bincount(owner, size[ids], number).astype(np.int64) == width
+        unit = np.repeat(np.arange(number), width)
+        for owner, ids, _, table in sides:
+            made = np.frombuffer(b"".join([table[i] for i in ids[good[owner]].tolist()]), np.uint8)
             mine = good[unit]
             good[unit[mine][made != data[mine]]] = False
-        keep_a, keep_b = good[owner_a], good[owner_b]
-        ids_a, ends_a, ids_b, ends_b = ids_a[keep_a], ends_a[keep_a], ids_b[keep_b], ends_b[keep_b]
+        room = np.where(good, width, 0)
+        moved = low[:-1] - np.cumsum(room) + room  # from the bytes of good units alone to all
+        (ids_a, owner_a, ends_a), (ids_b, owner_b, ends_b) = (
+            (ids[k], owner[k], np.cumsum(size[ids[k]]) + moved[owner[k]])
+            for owner, ids, size, k in ((*side[:3], good[side[0]]) for side in sides))
         marks = np.zeros(len(data) + 1, np.uint8)
         marks[ends_a] = 1
         marks[ends_b] |= 2
@@ -238,8 +208,8 @@ class Aligner:
         common = np.flatnonzero(marks == 3)
         n_links = np.diff(np.searchsorted(cuts, low, "right"))
         n_groups = np.diff(np.searchsorted(common, low, "right"))
-        texts = self._texts(number, (ids_a, owner_a[keep_a], np.searchsorted(common, ends_a)),
-                            (ids_b, owner_b[keep_b], np.searchsorted(common, ends_b)))
+        texts = self._texts(number, (ids_a, owner_a, np.searchsorted(common, ends_a)),
+                            (ids_b, owner_b, np.searchsorted(common, ends_b)))
 
         base = len(self.texts)
         self.texts += texts
@@ -308,6 +278,22 @@ class Aligner:
         return numbers, digests, keys % span, times, np.bincount(keys // span, minlength=len(units))
 
 
+def _owned(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and the number of the list that each is of."""
+    return (np.fromiter(chain.from_iterable(found), np.int64),
+            np.repeat(np.arange(len(found)), np.fromiter(map(len, found), np.int64, len(found))))
+
+
+def _split(ids: list[int], feed: list[int], number: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """``_owned`` of ids of ``number`` units with a line feed after each; none if the id of
+    the line feed does not stand for it alone."""
+    flat = np.array(ids, np.int64)
+    feeds = flat == feed[0] if len(feed) == 1 else np.zeros(len(flat), bool)
+    if feeds.sum() != number:
+        return None
+    return flat[~feeds], np.cumsum(feeds)[~feeds]
+
+
 def _firsts(owner: np.ndarray) -> np.ndarray:
     first = np.ones(len(owner), bool)
     first[1:] = owner[1:] != owner[:-1]
@@ -363,7 +349,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id",
     rows = id_and_text(docs, doc_id, text).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     found = stage(rows.mapInArrow(
-        _aligned(path_a, path_b),
+        released(_aligned(path_a, path_b)),
         "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
         "groups_sha256 string, pairs array<long>, times array<int>"), "aligned")
     linked = found.select("row", F.inline(F.arrays_zip(

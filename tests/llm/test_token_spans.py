@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -116,3 +118,43 @@ def test_query(spark, tokenizers):
     docs = duckdb.execute("select text from '/root/testdata/sf0.001/documents.parquet' order by doc_id").fetchall()
     got = rows(entry.queries()["op13_token_spans"](spark, "/root/testdata/sf0.001"))
     assert got == brute([t for t, in docs], tokenizers)
+
+
+def test_a_task_holds_little_beside_what_it_knows():
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefgh.", k=5)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=2000)) for _ in range(300)]  # 3.6 MB
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(300)), pa.array(range(300)), pa.array(texts)], names=["row", "doc_id", "text"])
+    run = token_spans._aligned(A, B)
+    assert sum(b.num_rows for b in run(iter([batch]))) == 300
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for _ in run(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_new_units_are_aligned_a_bounded_number_at_a_time(monkeypatch):
+    tool, most = token_spans.Aligner(A, B), []
+    align = tool._align
+    monkeypatch.setattr(tool, "_align", lambda units, *how: (most.append(len(units)), align(units, *how)))
+    tool.align(["  ".join(f"x{k}" for k in range(5000))])
+    assert sum(most) >= 5000 and max(most) <= token_spans.UNITS
+
+
+def test_letters_and_line_feeds(tokenizers):
+    tool = token_spans.Aligner(A, B)
+    assert tool.letters
+    texts = ["ß ǅ ʯ Ѐҁ Ҋԣ 一龥 가힣 ぁゖ ァヺ ×÷ aⅣ", "a\nb é\n\n가x x가.", "ﬀ ª º ʰ", "Ωμέγα שלום عربي ไทย"]
+    numbers, digests, *_ = tool.align(texts)
+    for k, text in enumerate(texts):
+        a, b, links, groups = one(text, tokenizers)
+        assert numbers[k].tolist() == [len(a), len(b), len(groups), len(links)], text
+        assert digests[k] == (hashlib.sha256(";".join(groups).encode()).hexdigest() if a else "")
+    assert token_spans._split([1, 7, 7], [7], 1) is None and token_spans._split([1, 7], [7, 8], 1) is None
+    tool._lines_b = tool._alone_b  # as where a line feed is no token
+    tool.forget()
+    assert (tool.align(texts)[0] == numbers).all()
