@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,6 @@ KNOWN_WORDS = 1_000_000
 # A word of plain letters, with a mark after it or not: its ids are those of its
 # letters in lower case, and those of the mark.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-_LOWER = re.compile("[a-zß-öø-ÿ]+")
 # Byte-level vocabularies write bytes that print as nothing as characters from 256 on.
 _BYTES = {b: chr(256 + i) for i, b in enumerate(
     b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
@@ -51,20 +51,19 @@ class WordTokens:
         self.length = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.int32)
         self.used = 0
-        self._encode(list(_MARKS))
+        self._encode([], list(_MARKS))
 
-    def _encode(self, words: list[str]) -> None:
+    def _encode(self, letters: list[str], others: list[str]) -> None:
         """What is Latin letters in lower case is one piece as it stands, and goes to the
         model at once, its bytes as characters; the rest takes all steps before it."""
         tokenize = self.model.tokenize
-        found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTES))]
-                 if _LOWER.fullmatch(w) else None for w in words]
-        others = [w for w, ids in zip(words, found) if ids is None]
-        rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
-        found = [next(rest).ids if ids is None else ids for ids in found]
+        found = [[t.id for t in tokenize(w if w.isascii() else
+                                         w.encode().decode("latin-1").translate(_BYTES))]
+                 for w in letters]
+        found += [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum()))
-        at, n = len(self.place), len(words)
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+        at, n = len(self.place), len(found)
         while at + n > len(self.first):
             self.first, self.length = (np.resize(x, 2 * len(x)) for x in (self.first, self.length))
         while self.used + len(flat) > len(self.ids):
@@ -73,16 +72,26 @@ class WordTokens:
         self.length[at:at + n] = lengths
         self.ids[self.used:self.used + len(flat)] = flat
         self.used += len(flat)
-        self.place.update(zip(words, range(at, at + n)))
-
-    def _learn(self, words: list[str]) -> None:
-        parts = [(m[1].lower(), _MARKS[m[2]]) if (m := _PLAIN.fullmatch(w)) else (w, 0)
-                 for w in words]
-        place = self.place
-        new = list(dict.fromkeys(core for core, _ in parts if core not in place))
-        if new:
-            self._encode(new)
-        self.codes.update((w, 3 * place[core] + mark) for w, (core, mark) in zip(words, parts))
+        self.place.update(zip(chain(letters, others), range(at, at + n)))
+
+    def _learn(self, words: list[str]) -> list[int]:
+        """The codes of new words."""
+        place, cores, marks = self.place, [], []
+        letters, others = {}, {}  # in the order met
+        for w in words:
+            if m := _PLAIN.fullmatch(w):
+                core, mark = m[1].lower(), _MARKS[m[2]]
+            else:
+                core, mark = w, 0
+            if core not in place:
+                (letters if m else others)[core] = None
+            cores.append(core)
+            marks.append(mark)
+        if letters or others:
+            self._encode(list(letters), list(others))
+        found = [3 * place[core] + mark for core, mark in zip(cores, marks)]
+        self.codes.update(zip(words, found))
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts, ids per text)``; a null text is empty."""
@@ -90,14 +99,13 @@ class WordTokens:
         lists = pc.split_pattern(spaced, " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         encoded = lists.flatten().dictionary_encode()
-        words = encoded.dictionary.to_pylist()
+        words = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.codes) + len(words) > self.known_words:
             self.forget()
-        codes = self.codes
-        new = [w for w in words if w not in codes]
+        code = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int32, len(words))
+        new = np.flatnonzero(code < 0).tolist()
         if new:
-            self._learn(new)
-        code = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
+            code[new] = self._learn([words[k] for k in new])
         code = code[encoded.indices.to_numpy(zero_copy_only=False)]
         at = np.column_stack([code // 3, code % 3]).ravel()  # letters, mark, letters, mark
         lengths = self.length[at]

@@ -259,3 +259,30 @@ def test_held_out(spark):
     bad = held.toxic == 1
     area = (order[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
     assert area > 0.9
+
+
+class Counted(dict):
+    """Counts how often its keys are looked up."""
+    met = 0
+
+    def __contains__(self, key):
+        self.met += 1
+        return super().__contains__(key)
+
+    def __getitem__(self, key):
+        self.met += 1
+        return super().__getitem__(key)
+
+    def get(self, *key):
+        self.met += 1
+        return super().get(*key)
+
+
+def test_known_words_are_looked_up_once():
+    tool = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pa.array(["Éa b, b\nc. ñ##", None, "c. 12 b,"])
+    flat, counts = tool.encode(texts)
+    tool.codes = Counted(tool.codes)
+    again, same = tool.encode(texts)
+    assert flat.tolist() == again.tolist() and counts.tolist() == same.tolist()
+    assert tool.codes.met == len({"Éa", "b,", "b", "c.", "ñ##", "", "12"})
